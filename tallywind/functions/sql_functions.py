@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,8 +35,6 @@ def register(spark: SparkSession) -> list[str]:
 
 def _arrow_mask():
     """How a Python function is plugged in when no native expression exists: whole Arrow batches, never rows."""
-    import pandas as pd
-
     @F.pandas_udf(T.StringType())
     def mask(accounts: pd.Series) -> pd.Series:
         long_enough = accounts.str.len().ge(4)

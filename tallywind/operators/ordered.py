@@ -15,6 +15,7 @@ task always puts it into the same cell. One shuffle of the rows, on (key, cell).
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
@@ -39,29 +40,24 @@ class Cuts:
 
 
 def _after(value: float) -> float:
-    import math
-
     return math.nextafter(value, math.inf)
 
 
 def plan_cuts(df: DataFrame, value: Column, rows_per_slice: int) -> Cuts:
-    """One aggregate over one column: the row count and a bounded list of quantiles."""
-    value = F.when(~F.isnan(value), value)
-    probabilities = [i / MAX_SLICES for i in range(1, MAX_SLICES)]
-    n, quantiles = df.agg(
-        F.count(F.lit(1)), F.percentile_approx(value, probabilities, 10 * MAX_SLICES)
-    ).first()
-    quantiles = quantiles or []
+    """The row count and a bounded list of quantiles of one column; small inputs need no cut."""
+    n = df.count()
     wanted = min(MAX_SLICES, -(-n // rows_per_slice))
+    if wanted <= 1:
+        return Cuts((), (), 0)
     digits = 0
     while digits < 4 and n / 16 ** digits > rows_per_slice:
         digits += 1
-    if wanted <= 1:
-        return Cuts((), (), 0)
-    step = MAX_SLICES / wanted
-    thinned = [quantiles[int(i * step) - 1] for i in range(1, wanted)] if quantiles else []
-    repeated = sorted({a for a, b in zip(thinned, thinned[1:]) if a == b})
-    bounds = sorted({*thinned, *repeated, *(_after(v) for v in repeated)})
+    # As text: one literal array instead of one call to the JVM per probability.
+    shares = ", ".join(f"{i / wanted!r}D" for i in range(1, wanted))
+    known = df.select(F.when(~F.isnan(value), value).alias("_value"))
+    quantiles = known.agg(F.expr(f"percentile_approx(_value, array({shares}), {max(10_000, 10 * wanted)})")).first()[0] or []
+    repeated = sorted({a for a, b in zip(quantiles, quantiles[1:]) if a == b})
+    bounds = sorted({*quantiles, *repeated, *(_after(v) for v in repeated)})
     return Cuts(tuple(bounds), tuple(repeated), digits)
 
 

@@ -29,11 +29,11 @@ ENRICHED = """filled AS (SELECT * REPLACE (
   COALESCE(currency, 'USD') AS currency_safe,
   COALESCE(risk_score, 0.0) AS risk_score_safe,
   CASE WHEN memo IS NULL THEN '(no memo)' ELSE TRIM(memo) END AS memo_clean,
-  CAST(REPLACE(SUBSTR(timestamp, 1, 19), 'T', ' ') AS TIMESTAMP) AS at FROM txn),
-enr AS (SELECT * EXCLUDE (at),
-  CAST(at AS DATE) AS transaction_date, year(at) AS txn_year, month(at) AS txn_month, day(at) AS txn_day,
-  hour(at) AS txn_hour, dayofweek(at) + 1 AS txn_dayofweek, COALESCE(dayofweek(at) IN (0, 6), FALSE) AS is_weekend,
-  quarter(at) AS txn_quarter, strftime(at, '%Y-%m-%d') AS date_str,
+  CAST(REPLACE(SUBSTR(timestamp, 1, 19), 'T', ' ') AS TIMESTAMP) AS moment FROM txn),
+enr AS (SELECT * EXCLUDE (moment),
+  CAST(moment AS DATE) AS transaction_date, year(moment) AS txn_year, month(moment) AS txn_month, day(moment) AS txn_day,
+  hour(moment) AS txn_hour, dayofweek(moment) + 1 AS txn_dayofweek, COALESCE(dayofweek(moment) IN (0, 6), FALSE) AS is_weekend,
+  quarter(moment) AS txn_quarter, strftime(moment, '%Y-%m-%d') AS date_str,
   CASE WHEN amount < 100 THEN 'MICRO' WHEN amount < 1000 THEN 'SMALL' WHEN amount < 10000 THEN 'MEDIUM'
        WHEN amount < 100000 THEN 'LARGE' ELSE 'WHALE' END AS amount_bucket,
   CAST(ROUND(CAST(amount AS DECIMAL(24,8)) - CAST(fee AS DECIMAL(24,8)), 2) AS DOUBLE) AS net_amount,
