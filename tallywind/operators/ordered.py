@@ -201,19 +201,24 @@ def row_numbers(df: DataFrame, keys: list[str], value: Column, tie: Column, desc
 
 
 def running_total(df: DataFrame, keys: list[str], value: Column, tie: Column, amount: Column, name: str,
-                  rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
-    """Add the sum of ``amount`` over all rows up to and including this one; null until a value was seen."""
+                  rows_per_slice: int = ROWS_PER_SLICE, group_total: str | None = None) -> DataFrame:
+    """Add the sum of ``amount`` over all rows up to and including this one; null until a value was seen.
+
+    ``group_total`` names a further column with the sum over all rows of the keys.
+    """
     ordered = OrderedRows(df.withColumn("_amount", amount), keys, value, tie, False, rows_per_slice)
     carried = (
         ordered.summary(F.sum("_amount").alias("_s"))
-        .withColumn("_sum_before", F.sum("_s").over(ordered.before)).drop("_s")
+        .withColumn("_sum_before", F.sum("_s").over(ordered.before))
+        .withColumn("_sum_all", F.sum("_s").over(ordered.whole)).drop("_s")
     )
     here = F.sum("_amount").over(ordered.local.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     before = F.col("_sum_before")
     both = F.when(before.isNull(), here).when(here.isNull(), before).otherwise(before + here)
     return (
         ordered.attach(carried, "totals").withColumn(name, both)
-        .drop("_value", "_tie", "_cell", "_sum_before", "_amount")
+        .withColumnRenamed("_sum_all", group_total or "_sum_all")
+        .drop("_value", "_tie", "_cell", "_sum_before", "_sum_all", "_amount")
     )
 
 
@@ -291,15 +296,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probabilities: dict[st
     cumulative share reaches the probability is taken.
     """
     histogram = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    counted = running_total(histogram, keys, F.col(value), F.lit("0"), F.col("_n"), "_upto", rows_per_slice)
-    totals = counted.groupBy(*keys).agg(F.max("_upto").alias("_all"))
-    side = lookup_side(totals, "totals")
-    for key in keys:
-        side = side.withColumnRenamed(key, f"_on_{key}")
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & counted[key].eqNullSafe(side[f"_on_{key}"])
-    ranked = counted.join(side, condition)
+    ranked = running_total(histogram, keys, F.col(value), F.lit("0"), F.col("_n"), "_upto", rows_per_slice, "_all")
 
     def at(position: Column) -> Column:
         """The value that covers a 0-based position of the sorted rows."""

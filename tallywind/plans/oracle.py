@@ -65,6 +65,7 @@ def over_txn(query: str) -> str:
 
 
 def over_acct(query: str) -> str:
+    """``query`` may begin with further ``name AS (...)`` parts after a comma."""
     return f"WITH {TXN},\n{ACCT}\n{query}"
 
 
