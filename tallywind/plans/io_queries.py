@@ -85,7 +85,7 @@ _BAD = fx.DAMAGED.format(id="transaction_id")
 def streaming_source(spark, sf_dir):
     """The topic read as a stream into a table of coordinates."""
     path, checkpoint = scratch_path(spark, "s1"), scratch_path(spark, "s1-checkpoint")
-    decoded = tp.decode(tp.stream_files(spark, transaction_topic(spark, sf_dir), max_bytes="64m"), TRANSACTION)
+    decoded = tp.decode(tp.stream_files(spark, transaction_topic(spark, sf_dir), max_bytes=64 << 20), TRANSACTION)
     q = (decoded.select("kafka_partition", "kafka_offset", "transaction_id").writeStream.format("parquet")
          .option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
@@ -105,7 +105,7 @@ def rate_limit(spark, sf_dir):
     """Three files per micro-batch at most; every record arrives all the same."""
     run = transaction_run(spark, sf_dir)
     fewest = -(-FILES // 3)
-    return run["progress"].agg(
+    return mt.measurements(spark, run["stream-metrics"]).agg(
         (F.count(F.lit(1)) >= fewest).alias("several_batches"),
         (F.max("rows") <= F.sum("rows") / 2).alias("within_limit"), F.sum("rows").alias("records"))
 

@@ -100,10 +100,10 @@ BATCH_KEYS = [
 BATCH_SUMS = [
     "CAST(COUNT(*) AS BIGINT) AS n",
     "CAST(SUM(CAST(ROUND(COALESCE(amount, 0) * 100) AS BIGINT)) AS BIGINT) AS c",
-    "MAX(timestamp) AS completed_at",
+    "MAX(timestamp) AS completed_at", "MIN(timestamp) AS started_at",
 ]
 BATCH_COLUMNS = [
-    "run_id", "batch_id", "completed_at",
+    "run_id", "batch_id", "completed_at", "started_at", "n",
     "CASE WHEN run_id IN ('run-0', 'run-2', 'run-4') THEN 'alpha' ELSE 'beta' END AS engine",
     "200000 + (batch_id * 37) % 300000 AS rows",
     "500 + c % 6000 AS transform_ms",
@@ -120,6 +120,48 @@ BATCH_COLUMNS = [
     "8 * n AS tasks",
 ]
 
+# Log lines of a batch, in the formats of the two engines' stream and account jobs; null where a batch has no such line.
+_STAMP = "REPLACE(SUBSTR(completed_at, 1, 19), 'T', ' ')"
+_ZULU = "SUBSTR(completed_at, 1, 19)"
+
+
+def _text(*parts: str) -> str:
+    return "CONCAT(" + ", ".join(parts) + ")"
+
+
+def _number(name: str) -> str:
+    return f"CAST({name} AS VARCHAR(20))"
+
+
+LOG_LINES = [
+    ("alpha", _text(_STAMP, "',123 [INFO] stream: Batch '", _number("batch_id"), "': '", _number("rows"), "' rows | transform '",
+                    _number("transform_ms"), "' ms | delta_write '", _number("write_ms"), "' ms | total '", _number("wall_ms"), "' ms'")),
+    ("alpha", "CASE WHEN batch_id % 4 <> 0 THEN " + _text(
+        _STAMP, "',000 [INFO] upsert: Batch '", _number("batch_id"), "': upserting '", _number("rows - 5"), "' account updates'") + " END"),
+    ("alpha", "CASE WHEN batch_id % 10 = 1 THEN " + _text(
+        _STAMP, "',001 [INFO] upsert: Batch '", _number("batch_id"), "': upserting '", _number("rows - 4"), "' account updates'") + " END"),
+    ("alpha", _text(_STAMP, "',900 [INFO] upsert: Batch '", _number("batch_id"), "': '", _number("rows"), "' rows | upsert '", _number("write_ms"), "' ms'")),
+    ("beta", _text(_ZULU, "'.123456Z  INFO stream: Batch '", _number("batch_id"), "': '", _number("rows"), "' rows | transform '",
+                   _number("transform_ms"), "'ms | write '", _number("write_ms"), "'ms | total '", _number("wall_ms"), "'ms'")),
+    ("beta", _text(_ZULU, "'.654321Z  INFO merge: Account batch '", _number("batch_id"), "': '", _number("n"), "' rows (deduped) | merge '",
+                   _number("write_ms"), "'ms | total '", _number("wall_ms"), "'ms'")),
+    ("beta", _text(_ZULU, "'.654321Z  INFO merge: nothing to report for batch '", _number("batch_id"))),
+]
+
+# One dump of three stages and two executors per transaction; ``c`` are its cents and ``b`` its batch.
+DUMP_KEYS = [*BATCH_KEYS, "transaction_id", "CAST(ROUND(COALESCE(amount, 0) * 100) AS BIGINT) AS c"]
+STAGE_FIELDS = {
+    "inputRecords": "10 + c % 50", "executorRunTime": "100 + c % 900", "executorCpuTime": "(c % 1100) * 1000000 + 300000",
+    "jvmGcTime": "c % 30", "inputBytes": "(c * 7) % 10000000", "outputBytes": "(c * 11) % 10000000",
+    "shuffleReadBytes": "(c * 3) % 5000000", "shuffleWriteBytes": "(c * 5) % 5000000", "numCompleteTasks": "1 + c % 8",
+    "peakExecutionMemory": "(c * 13) % 90000000", "outputRecords": "c % 40", "shuffleReadRecords": "c % 20", "shuffleWriteRecords": "c % 10",
+}
+EXECUTOR_FIELDS = {
+    "totalCores": "4 + c % 2", "totalTasks": "c % 100", "totalGCTime": "c % 70", "totalDuration": "100 + c % 7000",
+    "totalInputBytes": "(c * 7) % 10000000", "totalOutputBytes": "(c * 11) % 10000000", "totalShuffleRead": "(c * 3) % 5000000",
+    "totalShuffleWrite": "(c * 5) % 5000000", "maxMemory": "434031820",
+}
+
 _STAGED: dict[tuple[str, str, str], str] = {}
 
 
@@ -204,3 +246,31 @@ def batch_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("run_id", "batch_id").agg(*sums)
         .selectExpr(*BATCH_COLUMNS)
     )
+
+
+def run_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log text of every run, as ``value`` with the ``run_id`` it was written by."""
+    metrics = batch_metrics(spark, sf_dir)
+    lines = [f"CASE WHEN engine = '{engine}' THEN {text} END" for engine, text in LOG_LINES]
+    return metrics.selectExpr("run_id", f"EXPLODE(ARRAY({', '.join(lines)})) AS value").filter("value IS NOT NULL")
+
+
+def stage_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested dumps as JSON text: ``run_id`` and ``value``."""
+    rows = transactions(spark, sf_dir).selectExpr(*DUMP_KEYS)
+
+    def struct(texts: dict[str, str], **more: str) -> str:
+        named = {**more, **texts}
+        return "NAMED_STRUCT(" + ", ".join(f"'{k}', {v}" for k, v in named.items()) + ")"
+
+    status = "CASE WHEN c % 9 = 0 THEN 'ACTIVE' ELSE 'COMPLETE' END"
+    stages = [
+        struct(STAGE_FIELDS, stageId="batch_id", status=status, description="CONCAT('id = q1 batch = ', batch_id)", name="'load'"),
+        struct(STAGE_FIELDS, stageId="batch_id + 1", status=status, description="''", name="CONCAT('Batch=', batch_id, ' save')"),
+        struct(STAGE_FIELDS, stageId="0", status="'COMPLETE'", description="'warm up'", name="'load'"),
+    ]
+    memory = "NAMED_STRUCT('JVMHeapMemory', (c * 17) % 900000000)"
+    executors = [struct(EXECUTOR_FIELDS, id="'driver'", peakMemoryMetrics=memory), struct(EXECUTOR_FIELDS, id="'1'", peakMemoryMetrics=memory)]
+    dump = (f"NAMED_STRUCT('stages', NAMED_STRUCT('value', ARRAY({', '.join(stages)})), "
+            f"'executors', NAMED_STRUCT('value', ARRAY({', '.join(executors)})))")
+    return rows.selectExpr("run_id", f"TO_JSON({dump}) AS value")

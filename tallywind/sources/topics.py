@@ -29,7 +29,7 @@ def read_kafka(spark: SparkSession, servers: str, topic: str) -> DataFrame:
     return spark.read.format("kafka").options(**kafka_options(servers, topic), endingOffsets="latest").load()
 
 
-def stream_files(spark: SparkSession, path: str, max_files: int | None = None, max_bytes: str | None = None) -> DataFrame:
+def stream_files(spark: SparkSession, path: str, max_files: int | None = None, max_bytes: int | None = None) -> DataFrame:
     """The same envelope from a folder of Parquet files, with a limit per micro-batch."""
     reader = spark.readStream.schema(ENVELOPE)
     if max_files:

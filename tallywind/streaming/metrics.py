@@ -16,7 +16,7 @@ MEASUREMENT = T.StructType([
 ])
 
 PROGRESS = T.StructType([
-    T.StructField("batch_id", T.LongType()), T.StructField("rows", T.LongType()),
+    T.StructField("batch_id", T.LongType()), T.StructField("rows_read", T.LongType()),
     T.StructField("source_ms", T.LongType()), T.StructField("planning_ms", T.LongType()),
     T.StructField("write_ms", T.LongType()), T.StructField("commit_ms", T.LongType()),
     T.StructField("wall_ms", T.LongType()),
@@ -33,7 +33,10 @@ def measurements(spark: SparkSession, path: str) -> DataFrame:
 
 
 def progress_rows(query: StreamingQuery) -> DataFrame:
-    """Spark's own timings of the latest micro-batches (it keeps a bounded number of them)."""
+    """Spark's own timings of the latest micro-batches (it keeps a bounded number of them).
+
+    ``rows_read`` counts every read of a record, so a batch with two jobs over its input counts it twice.
+    """
     rows = []
     for p in query.recentProgress:
         if not p["numInputRows"]:
