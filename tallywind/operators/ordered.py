@@ -22,7 +22,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import lookup_side
+from ..session import lookup_side, stage
 
 ROWS_PER_SLICE = 1_000_000
 MAX_SLICES = 4096
@@ -295,7 +295,8 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probabilities: dict[st
     ``interpolate`` follows the linear rule; otherwise the smallest value whose
     cumulative share reaches the probability is taken.
     """
-    histogram = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    histogram = stage(counts, "histogram")  # read several times below
     ranked = running_total(histogram, keys, F.col(value), F.lit("0"), F.col("_n"), "_upto", rows_per_slice, "_all")
 
     def at(position: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as fn
-from ..session import lookup_side
+from ..session import lookup_side, stage
 from .ordered import ROWS_PER_SLICE, quantiles, row_numbers, running_total
 
 # The log formats, (kind, pattern, names of the groups).
@@ -59,9 +59,9 @@ def paired_batches(records: DataFrame, run: str = "run_id") -> DataFrame:
         F.col("_start.at").alias("started_at"), F.col("at").alias("completed_at"))
 
 
-def batch_records(metrics: DataFrame) -> DataFrame:
-    """Batch metrics in the shape of log records."""
-    return metrics.select("run_id", "batch_id", "rows", "transform_ms", "write_ms", F.col("wall_ms").alias("total_ms"),
+def batch_records(metrics: DataFrame, *more: str) -> DataFrame:
+    """Batch metrics in the shape of log records, with any further columns named."""
+    return metrics.select("run_id", *more, "batch_id", "rows", "transform_ms", "write_ms", F.col("wall_ms").alias("total_ms"),
                           fn.event_time(F.col("completed_at")).alias("completed_at"))
 
 
@@ -91,6 +91,7 @@ def aligned_prefix(records: DataFrame, target: Column, run: str = "run_id", rows
 
     ``target`` may use ``_all``, the rows of the whole run.
     """
+    records = stage(records, "records")  # read several times
     counted = running_total(records, [run], F.col("batch_id"), F.md5(F.col("batch_id").cast("string")), F.col("rows"), "_upto",
                             rows_per_slice, "_all").withColumn("_target", target)
     before = F.col("_upto") - F.col("rows")
@@ -123,6 +124,7 @@ def compare_engines(summaries: DataFrame, names: tuple[str, str]) -> DataFrame:
 
 def spaced_times(records: DataFrame, first: Column, last: Column, run: str = "run_id", rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Evenly spaced instants (epoch seconds) for batches without one, between a run's first and last update; a single batch gets the last."""
+    records = stage(records, "records")  # read several times
     numbered = row_numbers(records, [run], F.col("batch_id"), F.md5(F.col("batch_id").cast("string")), False, rows_per_slice)
     i, n = F.col("row_number") - 1, F.col("group_rows")
     at = F.when(n == 1, last.cast("double")).otherwise(first + (last - first) * i / (n - 1))
@@ -131,6 +133,7 @@ def spaced_times(records: DataFrame, first: Column, last: Column, run: str = "ru
 
 def spread_rows(records: DataFrame, total: Column, run: str = "run_id", rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """A run's total row count divided over its batches; the first ones take the remainder."""
+    records = stage(records, "records")  # read several times
     numbered = row_numbers(records, [run], F.col("batch_id"), F.md5(F.col("batch_id").cast("string")), False, rows_per_slice)
     base = F.floor(total / F.col("group_rows"))
     extra = F.when(F.col("row_number") <= total - base * F.col("group_rows"), 1).otherwise(0)

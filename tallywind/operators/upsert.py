@@ -11,7 +11,7 @@ from __future__ import annotations
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -157,23 +157,24 @@ class AccountTable:
             batches = self._snapshot(head.base_version).withColumn("batch_id", F.lit(-1).cast("long")).unionByName(batches)
         return fold(batches, self.event_time_guard)
 
-    def apply(self, events: DataFrame, batch_id: int) -> bool:
-        """Take in one micro-batch; a batch that was committed before is skipped, so a replay changes nothing."""
+    def apply(self, events: DataFrame, batch_id: int) -> int | None:
+        """Take in one micro-batch and return its number of events.
+
+        A batch that was committed before is skipped (``None``), so a replay changes nothing.
+        """
         head = self.head()
         if head is not None and batch_id <= head.batch_id:
-            return False
-        written = F.count(F.lit(1)).alias("rows")
-        from pyspark.sql import Observation
-
+            return None
         seen = Observation()
-        (batch_source(events).observe(seen, written)
+        counted = [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("transaction_count"), F.lit(0)).alias("events")]
+        (batch_source(events).observe(seen, *counted)
          .write.mode("overwrite").parquet(f"{self.path}/deltas/batch_id={batch_id}"))
         version = head.version + 1 if head else 0
         base = (head.base_version, head.base_batch_id) if head else (-1, -1)
         self._commit(version, batch_id, base, "MERGE" if head else "CREATE", seen.get["rows"])
         if batch_id - base[1] >= self.compact_every:
             self.compact()
-        return True
+        return seen.get["events"]
 
     def compact(self) -> None:
         """Merge all deltas since the last snapshot into the next one, partitioned by country."""

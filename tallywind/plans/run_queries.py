@@ -10,7 +10,7 @@ from ..operators import maintenance as mn
 from ..operators import parity as pr
 from ..operators import profile as pf
 from ..operators import runstats as rs
-from ..session import scratch_path, stage
+from ..session import scratch_path
 from ..sources import fixtures as fx
 from ..sources import tables as tb
 from ..sources.schemas import TRANSACTION, TRANSACTION_PARTITIONS
@@ -53,10 +53,13 @@ def table_info(spark, sf_dir):
     return pf.table_info(spark.read.parquet(light_path(spark, sf_dir)), TRANSACTION_PARTITIONS)
 
 
-@query("v6_schema", "SELECT * FROM (VALUES " + ", ".join(
-    f"({i}, '{f.name}', '{f.dataType.simpleString()}', TRUE)" for i, f in enumerate(TRANSACTION)) + ") AS t(position, column_name, data_type, nullable)")
+@query("v6_schema", over_txn(" UNION ALL ".join(
+    f"SELECT {i} AS position, '{f.name}' AS column_name, '{f.dataType.simpleString()}' AS data_type, TRUE AS nullable, "
+    f"COUNT(*) - COUNT({f.name}) AS nulls FROM txn" for i, f in enumerate(TRANSACTION))))
 def schema(spark, sf_dir):
-    return pf.schema_table(fx.transactions(spark, sf_dir))
+    """The schema as rows, beside the number of nulls found in each column."""
+    txn = fx.transactions(spark, sf_dir)
+    return pf.schema_table(txn).join(pf.null_profile(txn).drop("null_pct"), "column_name")
 
 
 @query("v7_commit_history")
@@ -80,9 +83,9 @@ def compaction(spark, sf_dir):
 _MOMENT = "CAST(REPLACE(SUBSTR(completed_at, 1, 19), 'T', ' ') AS TIMESTAMP)"
 
 
-@query("v10_expired_versions", over_batches(f"""SELECT run_id, version FROM (SELECT run_id, batch_id AS version, {_MOMENT} AS at,
+@query("v10_expired_versions", over_batches(f"""SELECT run_id, version FROM (SELECT run_id, batch_id AS version, {_MOMENT} AS moment,
  MAX({_MOMENT}) OVER (PARTITION BY run_id) AS newest, ARG_MAX(batch_id, (completed_at, batch_id)) OVER (PARTITION BY run_id) AS kept FROM bm)
- WHERE at < newest - INTERVAL '168' HOUR AND version <> kept"""))
+ WHERE moment < newest - INTERVAL '168' HOUR AND version <> kept"""))
 def expired_versions(spark, sf_dir):
     """Every batch taken as a commit of its run's table."""
     commits = fx.batch_metrics(spark, sf_dir).select(
@@ -178,13 +181,18 @@ def parity_report(spark, sf_dir):
 _LEFT_ONLY = ["device_fingerprint", "session_id"]
 
 
-@query("k7_schema_comparison", "SELECT * FROM (VALUES " + ", ".join(
-    f"('{f.name}', '{f.dataType.simpleString()}', {'NULL' if f.name in _LEFT_ONLY else repr('decimal(18,2)' if f.name == 'fee' else f.dataType.simpleString())}, "
-    f"'{'missing' if f.name in _LEFT_ONLY else 'type differs' if f.name == 'fee' else 'match'}')" for f in TRANSACTION)
-    + ") AS t(column_name, left_type, right_type, verdict)")
+@query("k7_schema_comparison", over_txn(" UNION ALL ".join(
+    f"SELECT '{f.name}' AS column_name, '{f.dataType.simpleString()}' AS left_type, "
+    f"{'NULL' if f.name in _LEFT_ONLY else repr('decimal(18,2)' if f.name == 'fee' else f.dataType.simpleString())} AS right_type, "
+    f"'{'missing' if f.name in _LEFT_ONLY else 'type differs' if f.name == 'fee' else 'match'}' AS verdict, "
+    f"COUNT(*) - COUNT({f.name}) AS left_nulls, {'NULL' if f.name in _LEFT_ONLY else f'COUNT(*) - COUNT({f.name})'} AS right_nulls FROM txn"
+    for f in TRANSACTION)))
 def schema_comparison(spark, sf_dir):
+    """Columns of two tables, with the nulls either table has in them."""
     left = fx.transactions(spark, sf_dir)
-    return pf.compare_schemas(left, left.drop(*_LEFT_ONLY).withColumn("fee", F.col("fee").cast("decimal(18,2)")))
+    right = left.drop(*_LEFT_ONLY).withColumn("fee", F.col("fee").cast("decimal(18,2)"))
+    nulls = [pf.null_profile(df).select("column_name", F.col("nulls").alias(f"{side}_nulls")) for side, df in (("left", left), ("right", right))]
+    return pf.compare_schemas(left, right).join(nulls[0], "column_name", "left").join(nulls[1], "column_name", "left")
 
 
 @query("k8_row_count_parity", over_sides("""SELECT left_rows, right_rows, ROUND(LEAST(left_rows, right_rows) * 100 / GREATEST(left_rows, right_rows), 1) AS parity_pct,
@@ -263,8 +271,7 @@ _LONG = " UNION ALL ".join(
  SELECT metric, alpha, beta, PRINTF('%.1fx', GREATEST(alpha, beta) / LEAST(alpha, beta)) AS ratio,
  CASE WHEN alpha = beta THEN 'Tie' WHEN (alpha < beta) = low THEN 'alpha' ELSE 'beta' END AS winner FROM ({_LONG})"""))
 def engine_speed_up(spark, sf_dir):
-    metrics = fx.batch_metrics(spark, sf_dir)
-    records = rs.batch_records(metrics).join(metrics.select("run_id", "engine").distinct(), "run_id")
+    records = rs.batch_records(fx.batch_metrics(spark, sf_dir), "engine")
     return rs.compare_engines(rs.summary(records, "engine"), ("alpha", "beta"))
 
 

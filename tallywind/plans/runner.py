@@ -18,10 +18,10 @@ USED = ["transaction_id", "timestamp", "sender_account", "receiver_account", "am
         "sender_country", "receiver_country", "fee", "risk_score", "is_flagged", "category", "channel", "txn_hour"]
 
 
-def analytics(df: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> dict[str, DataFrame]:
+def analytics(df: DataFrame) -> dict[str, DataFrame]:
     """All analytics of a transaction table, by name; nothing is computed until it is used."""
     results = {
-        "top_per_currency": wn.top_per_currency(df), "currency_stats": ag.currency_statistics(df), "cross_stats": ag.cross_summary(df),
+        "currency_stats": ag.currency_statistics(df), "cross_stats": ag.cross_summary(df),
         "pivot_type_by_currency": ag.type_counts(df), "volume_by_status": ag.status_volumes(df), "mean_by_category": ag.category_means(df),
         "multi_currency_senders": ar.multi_currency_senders(df),
         "top_corridors": top_corridors(df), "flagged_by_channel": flagged_by_channel(df),
@@ -37,13 +37,14 @@ def run_analytics(df: DataFrame, output: str, rows_per_slice: int = ROWS_PER_SLI
     """
     base = df.select(*[c for c in USED if c in df.columns]).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        results = analytics(base, rows_per_slice)
+        results = analytics(base)
         for name in ("currency_stats", "pivot_type_by_currency", "top_corridors"):
             write_result(results[name], f"{output}/{name}")
         counted = {
             "rows": base, "multi_currency_senders": results["multi_currency_senders"],
             "repeat_offenders": jn.tag_repeat_offenders(base).filter("sender_is_repeat_offender"),
-            "circular": jn.circular(base), "one_way": jn.one_way(base), "top_per_currency": results["top_per_currency"],
+            "circular": jn.circular(base), "one_way": jn.one_way(base),
+            "top_per_currency": wn.window_analytics(base, rows_per_slice).filter("rank_by_amount <= 3"),
         }
         return {name: frame.count() for name, frame in counted.items()}
     finally:

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, Observation
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -23,11 +22,10 @@ class AccountSink:
         if events.isEmpty():
             return
         started = time.perf_counter()
-        seen = Observation()
-        applied = self.table.apply(events.observe(seen, F.count(F.lit(1)).alias("records")), batch_id)
-        if applied and self.metrics_path:
+        records = self.table.apply(events, batch_id)
+        if records is not None and self.metrics_path:
             elapsed = (time.perf_counter() - started) * 1000
-            record_batch(self.table.spark, self.metrics_path, batch_id, seen.get["records"], write_ms=elapsed, total_ms=elapsed)
+            record_batch(self.table.spark, self.metrics_path, batch_id, records, write_ms=elapsed, total_ms=elapsed)
 
 
 def start(envelope: DataFrame, sink: AccountSink, checkpoint: str, trigger: dict | None = None,
