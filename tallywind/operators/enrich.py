@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as fn
 
+Stage = Callable[[DataFrame], DataFrame]
+
 
 def fill_nulls(df: DataFrame) -> DataFrame:
     return df.withColumns({
@@ -86,9 +90,11 @@ def session_features(df: DataFrame) -> DataFrame:
 STAGES = [fill_nulls, time_dimensions, amount_features, risk_features, geo_features, anonymized, session_features]
 
 
-def enrich(df: DataFrame) -> DataFrame:
+def enrich(df: DataFrame, done: Sequence[Stage] = ()) -> DataFrame:
+    """All stages in order, but for those already ``done``."""
     for step in STAGES:
-        df = df.transform(step)
+        if step not in done:
+            df = df.transform(step)
     return df
 
 

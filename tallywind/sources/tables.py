@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,6 +15,13 @@ def balanced(df: DataFrame, partition_by: list[str]) -> DataFrame:
     return df.hint("rebalance", *partition_by)
 
 
+def without_dictionaries(writer: DataFrameWriter, columns: list[str]) -> DataFrameWriter:
+    """Write the named columns plainly instead of trying a dictionary in every file first."""
+    for name in columns:
+        writer = writer.option(f"parquet.enable.dictionary#{name}", "false")
+    return writer
+
+
 def append(df: DataFrame, path: str, partition_by: list[str]) -> None:
     df.write.mode("append").partitionBy(*partition_by).parquet(path)
 
