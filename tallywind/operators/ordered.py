@@ -84,10 +84,18 @@ class OrderedRows:
         self.cells = Window.partitionBy(*keys).orderBy("_cell")
         self.before = self.cells.rowsBetween(Window.unboundedPreceding, -1)
         self.whole = Window.partitionBy(*keys)
+        self.whole_cell = self.local.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+    @property
+    def single(self) -> bool:
+        """The whole input fits one slice: every key is one cell, and nothing has to be carried between cells."""
+        return not self.cuts.bounds and not self.cuts.tie_digits
 
     def _in_cells(self, df: DataFrame, value: Column, tie: Column) -> DataFrame:
         cuts, descending = self.cuts, self.descending
         rows = df.withColumns({"_value": value, "_tie": tie})
+        if self.single:
+            return rows.withColumn("_cell", F.lit(0).cast("long"))
         if cuts.bounds:
             rows = Bucketizer(splits=[float("-inf"), *cuts.bounds, float("inf")], inputCol="_value",
                               outputCol="_slice", handleInvalid="keep").transform(rows)
@@ -155,12 +163,30 @@ def rank_columns(df: DataFrame, keys: list[str], value: Column, tie: Column, des
                  rows_per_slice: int = ROWS_PER_SLICE, base: DataFrame | None = None) -> DataFrame:
     """Add ``row_number``, ``rank``, ``dense_rank`` and ``percent_rank`` of each row within its keys."""
     ordered = OrderedRows(df, keys, value, tie, descending, rows_per_slice, base)
+    none = F.lit(0).cast("long")
+    if ordered.single:
+        rows = ordered.rows.withColumns({"_rows_before": none, "_values_before": none, "_peers_before": none,
+                                         "_total": F.count(F.lit(1)).over(ordered.whole_cell)})
+    else:
+        rows = ordered.attach(_carried_ranks(ordered), "ranks")
+    rank = F.col("_peers_before") + F.rank().over(ordered.peers)
+    return rows.withColumns({
+        "row_number": (F.col("_rows_before") + F.row_number().over(ordered.local)).cast("long"),
+        "rank": rank.cast("long"),
+        "dense_rank": (F.col("_values_before") + F.dense_rank().over(ordered.peers)).cast("long"),
+        "percent_rank": F.when(F.col("_total") > 1, (rank - 1) / (F.col("_total") - 1)).otherwise(0.0),
+    }).drop("_value", "_tie", "_cell", "_rows_before", "_values_before", "_peers_before", "_total")
+
+
+def _carried_ranks(ordered: OrderedRows) -> DataFrame:
+    """Per cell: rows, distinct values and peers before it, and the rows of its keys."""
+    keys = ordered.keys
     per_value = ordered.source.groupBy(*keys, "_cell", "_value").agg(F.count(F.lit(1)).alias("_n"))
     cells = per_value.groupBy(*keys, "_cell").agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_d"))
     piece = F.floor(F.col("_cell") / SUB)
     # Peers spread over sub-cells count once: only the first sub-cell of a slice adds distinct values.
     same = Window.partitionBy(*keys, "_piece")
-    carried = (
+    return (
         cells.withColumn("_piece", piece)
         .withColumn("_lead_cell", F.min("_cell").over(same))
         .withColumn("_d", F.when(F.col("_cell") == F.col("_lead_cell"), F.col("_d")).otherwise(0))
@@ -171,33 +197,22 @@ def rank_columns(df: DataFrame, keys: list[str], value: Column, tie: Column, des
         .withColumn("_values_before", F.min("_values_before").over(same))
         .drop("_piece", "_lead_cell", "_n", "_d")
     )
-    rank = F.col("_peers_before") + F.rank().over(ordered.peers)
-    return (
-        ordered.attach(carried, "ranks")
-        .withColumns({
-            "row_number": (F.col("_rows_before") + F.row_number().over(ordered.local)).cast("long"),
-            "rank": rank.cast("long"),
-            "dense_rank": (F.col("_values_before") + F.dense_rank().over(ordered.peers)).cast("long"),
-            "percent_rank": F.when(F.col("_total") > 1, (rank - 1) / (F.col("_total") - 1)).otherwise(0.0),
-        })
-        .drop("_value", "_tie", "_cell", "_rows_before", "_values_before", "_peers_before", "_total")
-    )
 
 
 def row_numbers(df: DataFrame, keys: list[str], value: Column, tie: Column, descending: bool = False,
                 rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Add ``row_number`` and ``group_rows``, the number of rows with the same keys."""
     ordered = OrderedRows(df, keys, value, tie, descending, rows_per_slice)
-    carried = (
-        ordered.summary(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_rows_before", F.coalesce(F.sum("_n").over(ordered.before), F.lit(0)))
-        .withColumn("group_rows", F.sum("_n").over(ordered.whole)).drop("_n")
-    )
-    return (
-        ordered.attach(carried, "positions")
-        .withColumn("row_number", (F.col("_rows_before") + F.row_number().over(ordered.local)).cast("long"))
-        .drop("_value", "_tie", "_cell", "_rows_before")
-    )
+    if ordered.single:
+        rows = ordered.rows.withColumns({
+            "_rows_before": F.lit(0), "group_rows": F.count(F.lit(1)).over(ordered.whole_cell)})
+    else:
+        rows = ordered.attach(
+            ordered.summary(F.count(F.lit(1)).alias("_n"))
+            .withColumn("_rows_before", F.coalesce(F.sum("_n").over(ordered.before), F.lit(0)))
+            .withColumn("group_rows", F.sum("_n").over(ordered.whole)).drop("_n"), "positions")
+    number = (F.col("_rows_before") + F.row_number().over(ordered.local)).cast("long")
+    return rows.withColumn("row_number", number).drop("_value", "_tie", "_cell", "_rows_before")
 
 
 def running_total(df: DataFrame, keys: list[str], value: Column, tie: Column, amount: Column, name: str,
@@ -207,16 +222,18 @@ def running_total(df: DataFrame, keys: list[str], value: Column, tie: Column, am
     ``group_total`` names a further column with the sum over all rows of the keys.
     """
     ordered = OrderedRows(df.withColumn("_amount", amount), keys, value, tie, False, rows_per_slice)
-    carried = (
-        ordered.summary(F.sum("_amount").alias("_s"))
-        .withColumn("_sum_before", F.sum("_s").over(ordered.before))
-        .withColumn("_sum_all", F.sum("_s").over(ordered.whole)).drop("_s")
-    )
     here = F.sum("_amount").over(ordered.local.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    before = F.col("_sum_before")
-    both = F.when(before.isNull(), here).when(here.isNull(), before).otherwise(before + here)
+    if ordered.single:
+        rows, both = ordered.rows.withColumns({"_sum_before": F.lit(None), "_sum_all": F.sum("_amount").over(ordered.whole_cell)}), here
+    else:
+        rows = ordered.attach(
+            ordered.summary(F.sum("_amount").alias("_s"))
+            .withColumn("_sum_before", F.sum("_s").over(ordered.before))
+            .withColumn("_sum_all", F.sum("_s").over(ordered.whole)).drop("_s"), "totals")
+        before = F.col("_sum_before")
+        both = F.when(before.isNull(), here).when(here.isNull(), before).otherwise(before + here)
     return (
-        ordered.attach(carried, "totals").withColumn(name, both)
+        rows.withColumn(name, both)
         .withColumnRenamed("_sum_all", group_total or "_sum_all")
         .drop("_value", "_tie", "_cell", "_sum_before", "_sum_all", "_amount")
     )
@@ -227,6 +244,12 @@ def offset_and_running(df: DataFrame, keys: list[str], value: Column, tie: Colum
     """Add ``previous``, ``following`` (one row away) and ``running`` in one pass over the cells."""
     base = base if base is None else base.withColumn("_amount", total)
     ordered = OrderedRows(df.withColumn("_amount", total), keys, value, tie, False, rows_per_slice, base)
+    local = ordered.local
+    here = F.sum("_amount").over(local.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    if ordered.single:
+        return ordered.rows.withColumns({
+            "previous": F.lag(amount).over(local), "following": F.lead(amount).over(local), "running": here,
+        }).drop("_value", "_tie", "_cell", "_amount")
     # A null value is a real neighbour, so edges are kept inside a struct.
     order = F.struct("_value", "_tie")
     cells = ordered.summary(
@@ -239,8 +262,6 @@ def offset_and_running(df: DataFrame, keys: list[str], value: Column, tie: Colum
         F.lead("_first").over(ordered.cells)[amount].alias("_next"),
         F.sum("_s").over(ordered.before).alias("_sum_before"),
     )
-    local = ordered.local
-    here = F.sum("_amount").over(local.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     before = F.col("_sum_before")
     is_first = F.row_number().over(local) == 1
     has_next = F.lead(F.lit(1)).over(local).isNotNull()
@@ -263,10 +284,18 @@ def centred_mean(df: DataFrame, keys: list[str], value: Column, tie: Column, amo
     ordered = OrderedRows(df.withColumn("_amount", amount), keys, value, tie, False, rows_per_slice, base)
     local = ordered.local
     frame = local.rowsBetween(-reach, reach)
-    whole_cell = local.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    kind = df.select(amount).schema[0].dataType.simpleString()
+    wide = "decimal(28,2)" if kind.startswith("decimal") else kind
+
+    def mean(total: Column, count: Column) -> Column:
+        return F.when(count > 0, F.round(total.cast(wide) / count.cast("decimal(10,0)"), digits).cast("double"))
+
+    if ordered.single:
+        return ordered.rows.withColumns({"_sum": F.sum("_amount").over(frame), "_cnt": F.count("_amount").over(frame)}).withColumn(
+            name, mean(F.col("_sum"), F.col("_cnt"))).drop("_value", "_tie", "_cell", "_sum", "_cnt", "_amount")
     rows = ordered.attach(ordered.neighbours("_amount", reach), "edges").withColumns({
         "_pos": F.row_number().over(local),
-        "_len": F.count(F.lit(1)).over(whole_cell),
+        "_len": F.count(F.lit(1)).over(ordered.whole_cell),
         "_sum": F.sum("_amount").over(frame),
         "_cnt": F.count("_amount").over(frame),
     })
@@ -276,15 +305,11 @@ def centred_mean(df: DataFrame, keys: list[str], value: Column, tie: Column, amo
     borrowed = F.concat(
         F.slice("_past", F.size("_past") - left + 1, left), F.slice("_next", F.lit(1), right)
     )
-    kind = df.select(amount).schema[0].dataType.simpleString()
     known = F.filter("_borrowed", lambda x: x.isNotNull())
-    wide = "decimal(28,2)" if kind.startswith("decimal") else kind
     extra = F.aggregate(known, F.lit(0).cast(wide), lambda acc, x: (acc + x).cast(wide))
     rows = rows.withColumn("_borrowed", borrowed)
     total = F.coalesce(F.col("_sum").cast(wide), F.lit(0).cast(wide)) + extra
-    count = F.col("_cnt") + F.size(known)
-    mean = F.when(count > 0, F.round(total / count.cast("decimal(10,0)"), digits).cast("double"))
-    return rows.withColumn(name, mean).drop(
+    return rows.withColumn(name, mean(total, F.col("_cnt") + F.size(known))).drop(
         "_value", "_tie", "_cell", "_past", "_next", "_pos", "_len", "_sum", "_cnt", "_borrowed", "_amount")
 
 
