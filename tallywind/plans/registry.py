@@ -17,6 +17,13 @@ class Entry:
     oracle: str | None
 
 
+# UTC throughout; and AQE may keep small shuffles on all cores, since a partitioned
+# write of little data is bound by the number of its files.
+SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+}
+
 CATALOG: dict[str, Entry] = {}
 
 
@@ -26,7 +33,8 @@ def query(name: str, oracle: str | None = None) -> Callable[[Builder], Builder]:
             raise ValueError(f"{name} is registered twice")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            for key, value in SETTINGS.items():
+                spark.conf.set(key, value)
             return build(spark, sf_dir)
 
         CATALOG[name] = Entry(name, run, oracle)

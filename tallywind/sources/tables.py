@@ -33,8 +33,10 @@ def overwrite(df: DataFrame, path: str, partition_by: list[str], touched_only: b
 
 
 def write_result(df: DataFrame, path: str, partition_by: list[str] | None = None, files: int = 1) -> None:
-    """Write a small result in few files; ``files=0`` keeps the result's own partitioning."""
-    writer = (df.coalesce(files) if files else df).write.mode("overwrite")
+    """Write a result in a given number of files; ``files=0`` keeps the result's own partitioning."""
+    if files:
+        df = df.coalesce(1) if files == 1 else df.repartition(files)
+    writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
