@@ -11,7 +11,7 @@ from __future__ import annotations
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -165,16 +165,16 @@ class AccountTable:
         head = self.head()
         if head is not None and batch_id <= head.batch_id:
             return None
-        seen = Observation()
-        counted = [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("transaction_count"), F.lit(0)).alias("events")]
-        (batch_source(events).observe(seen, *counted)
-         .write.mode("overwrite").parquet(f"{self.path}/deltas/batch_id={batch_id}"))
+        folder = f"{self.path}/deltas/batch_id={batch_id}"
+        batch_source(events).write.mode("overwrite").parquet(folder)
+        accounts, absorbed = self.spark.read.schema(STORED).parquet(folder).agg(
+            F.count(F.lit(1)), F.coalesce(F.sum("transaction_count"), F.lit(0))).first()
         version = head.version + 1 if head else 0
         base = (head.base_version, head.base_batch_id) if head else (-1, -1)
-        self._commit(version, batch_id, base, "MERGE" if head else "CREATE", seen.get["rows"])
+        self._commit(version, batch_id, base, "MERGE" if head else "CREATE", accounts)
         if batch_id - base[1] >= self.compact_every:
             self.compact()
-        return seen.get["events"]
+        return absorbed
 
     def compact(self) -> None:
         """Merge all deltas since the last snapshot into the next one, partitioned by country."""
