@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, pii, sql
+from . import exact_dedup, pii, sql, token_output
 
 SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
@@ -17,6 +17,7 @@ def _over_documents(operator):
 
 
 QUERIES = {
+    "op1_token_shards": _over_documents(token_output.token_digests),
     "op8_pii": _over_documents(pii.pii_report),
     "op10_exact_dedup": _over_documents(exact_dedup.exact_groups),
 }
