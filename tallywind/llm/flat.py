@@ -19,6 +19,8 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+# All but letters, digits and bytes of longer characters: what stands between words when punctuation does not count.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
@@ -85,10 +87,10 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((prefix[ends] - prefix[starts]) * powers(len(prefix), "down")[starts])
 
 
-def words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, starts: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and the number of words before each row (one more than rows)."""
     inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = ~_SPACE[data]
+    inside[1:-1] = ~between[data]
     begins = inside[1:-1] & ~inside[:-2]
     finish = inside[1:-1] & ~inside[2:]
     edges = starts[:-1][starts[1:] > starts[:-1]]
@@ -99,9 +101,9 @@ def words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return begin, end, np.searchsorted(begin, starts)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, starts: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end of each lower-cased word, and the number of words before each row."""
-    begin, end, before = words(data, starts)
+    begin, end, before = words(data, starts, between)
     return span_hash(prefix_hash(LOWER[data]), begin, end), begin, end, before
 
 

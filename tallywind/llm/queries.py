@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, pii, quality_knn, sql, token_output
+from . import exact_dedup, pii, quality_knn, sql, token_output, toxic_segments
+from .shipping import ship
 
 SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
@@ -10,6 +11,7 @@ SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.execution.arrow.maxR
 def _over_documents(operator, *others):
     """The query that applies ``operator`` to ``documents`` and to the other tables."""
     def build(spark, sf_dir):
+        ship(spark)
         for key, value in SETTINGS.items():
             spark.conf.set(key, value)
         return operator(*(spark.read.parquet(f"{sf_dir}/{table}.parquet") for table in ("documents", *others)))
@@ -20,6 +22,7 @@ def _over_documents(operator, *others):
 QUERIES = {
     "op1_token_shards": _over_documents(token_output.token_digests),
     "op5_quality_knn": _over_documents(quality_knn.quality_scores, "labels"),
+    "op7_toxic_segments": _over_documents(toxic_segments.toxicity, "labels"),
     "op8_pii": _over_documents(pii.pii_report),
     "op10_exact_dedup": _over_documents(exact_dedup.exact_groups),
 }
