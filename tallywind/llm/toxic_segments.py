@@ -1,7 +1,7 @@
 """Toxic passages by maximum-scoring segments of token log-odds.
 
 A word scores the log-odds of toxic against clean text of the best attested of its units (the word and its first 6, 5 and 4 bytes),
-shrunk by a Dirichlet prior in proportion to the unit's overall frequency; units that are not clearly toxic leave the word at a small
+counted once per pair of neighbouring words (so copies and repeated lines count once) and shrunk by a Dirichlet prior in proportion to the unit's overall frequency; units that are not clearly toxic leave the word at a small
 penalty. A linear scan (Ruzzo and Tompa) finds every maximal segment of positive sum. Under the clean word distribution the number of
 segments above S in n words is at most K n exp(-lambda S), lambda the positive root of sum p exp(lambda s) = 1 and K = 1 - (share of
 penalised words) exp(-lambda penalty); the segments of a document are put together by the extreme-value sum statistic, and a
@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 
 from tallywind.session import stage
 
-from .flat import LOWER, PUNCTUATION, flat_bytes, prefix_hash, slices, span_hash, words
+from .flat import LOWER, PUNCTUATION, flat_bytes, mix, prefix_hash, slices, span_hash, words
 from .quality_knn import fold
 
 PER_LABEL = 3000
 STEMS = (6, 5, 4)
-PRIOR_SHARE, CERTAIN, PENALTY, THRESHOLD = 0.02, 3.0, 0.15, 0.3
+PRIOR_SHARE, CERTAIN, LEAST_ODDS, PENALTY, THRESHOLD = 0.02, 4.5, 2.0, 0.15, 0.3
 SEGMENT = "array<struct<start:bigint,end:bigint,score:double,expected:double>>"
 
 
@@ -114,12 +114,13 @@ class ToxicModel:
 
 
 def _log_odds(toxic: np.ndarray, clean: np.ndarray, n1: float, n0: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log-odds, their certainty (in standard errors) and the smoothed clean rate of units."""
-    prior_size = PRIOR_SHARE * (n1 + n0)
-    prior = PRIOR_SHARE * (toxic + clean)
-    a, b = toxic + prior, clean + prior
+    """Shrunk log-odds of units, their certainty (root of the likelihood ratio against equal shares) and the smoothed clean rate."""
+    both, prior_size = toxic + clean, PRIOR_SHARE * (n1 + n0)
+    a, b = toxic + PRIOR_SHARE * both, clean + PRIOR_SHARE * both
     odds = np.log(a / (n1 + prior_size - a)) - np.log(b / (n0 + prior_size - b))
-    return odds, odds / np.sqrt(1 / a + 1 / b), b / (n0 + prior_size)
+    share = both / (n1 + n0)
+    ratio = toxic * np.log(np.maximum(toxic, 1e-9) / (n1 * share)) + clean * np.log(np.maximum(clean, 1e-9) / (n0 * share))
+    return odds, np.sign(odds) * np.sqrt(2 * np.maximum(ratio, 0)), b / (n0 + prior_size)
 
 
 def toxic_units(table: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -130,7 +131,7 @@ def toxic_units(table: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> tupl
         unit, where = np.unique(column[left], return_inverse=True)
         y1, y0 = np.bincount(where, toxic[left], len(unit)), np.bincount(where, clean[left], len(unit))
         odds, sure, rate = _log_odds(y1, y0, n1, n0)
-        good = (sure >= CERTAIN) & (odds > 1)
+        good = (sure >= CERTAIN) & (odds >= LEAST_ODDS)
         kept.append((unit[good], odds[good], sure[good], rate[good]))
         left &= ~np.isin(column, unit[good])
     unit, odds, sure, rate = (np.concatenate(x) for x in zip(*kept))
@@ -169,15 +170,16 @@ def fit_toxic(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) ->
         for batch in slices(batches):
             units, _, _, before = word_units(*flat_bytes(batch.column("text")))
             label = np.repeat(batch.column("label").to_numpy(zero_copy_only=False), np.diff(before))
-            _, first, where = np.unique(units[:, 0], return_index=True, return_inverse=True)
-            toxic = np.bincount(where, label == 1, len(first))
-            total = np.bincount(where, minlength=len(first))
-            yield pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in units[first].T), pa.array(toxic.astype(np.int64)), pa.array((total - toxic).astype(np.int64))],
-                                             names=["u0", "u1", "u2", "u3", "toxic", "clean"])
+            word = np.concatenate([[0], units[:, 0], [0]]).astype(np.uint64)
+            around = mix(mix(word[:-2] + np.uint64(1)) + mix(word[2:]) * np.uint64(3) + word[1:-1])
+            _, once = np.unique(around + label.astype(np.uint64), return_index=True)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in units[once].T), pa.array(around[once].view(np.int64)), pa.array(label[once].astype(np.int32))],
+                                             names=[*keys, "around", "toxic"])
 
     keys = ["u0", "u1", "u2", "u3"]
-    counts = (sample.mapInArrow(count, "u0 long, u1 long, u2 long, u3 long, toxic long, clean long")
-              .groupBy(*keys).agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow())
+    counts = (sample.mapInArrow(count, "u0 long, u1 long, u2 long, u3 long, around long, toxic int")
+              .groupBy(*keys, "around").agg(F.max("toxic").alias("t"), F.max(1 - F.col("toxic")).alias("c"))
+              .groupBy(*keys).agg(F.sum("t").alias("toxic"), F.sum("c").alias("clean")).toArrow())
     table = np.stack([counts[k].to_numpy().view(np.uint64) for k in keys], 1)
     units, odds, sure, rate = toxic_units(table, counts["toxic"].to_numpy().astype(float), counts["clean"].to_numpy().astype(float))
     decay = _decay(odds, rate)
