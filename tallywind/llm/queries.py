@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, pii, quality_knn, sql, token_output, toxic_segments
+from . import decontaminate, exact_dedup, pii, piece_codec, quality_knn, sql, token_output, toxic_segments
 from .shipping import ship
 
 SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
@@ -21,7 +21,9 @@ def _over_documents(operator, *others):
 
 QUERIES = {
     "op1_token_shards": _over_documents(token_output.token_digests),
+    "op4_piece_codec": _over_documents(piece_codec.codec_digests),
     "op5_quality_knn": _over_documents(quality_knn.quality_scores, "labels"),
+    "op6_decontamination": _over_documents(decontaminate.leaks, "benchmark"),
     "op7_toxic_segments": _over_documents(toxic_segments.toxicity, "labels"),
     "op8_pii": _over_documents(pii.pii_report),
     "op10_exact_dedup": _over_documents(exact_dedup.exact_groups),
