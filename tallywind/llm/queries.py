@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, pii, piece_codec, quality_knn, sql, token_output, toxic_segments
+from . import decontaminate, exact_dedup, jaccard_join, pii, piece_codec, quality_knn, sql, token_output, toxic_segments
 from .shipping import ship
 
 SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
@@ -26,6 +26,7 @@ QUERIES = {
     "op6_decontamination": _over_documents(decontaminate.leaks, "benchmark"),
     "op7_toxic_segments": _over_documents(toxic_segments.toxicity, "labels"),
     "op8_pii": _over_documents(pii.pii_report),
+    "op9_jaccard_join": _over_documents(jaccard_join.near_copies),
     "op10_exact_dedup": _over_documents(exact_dedup.exact_groups),
 }
 ORACLES = {"op10_exact_dedup": sql.EXACT_DEDUP}
