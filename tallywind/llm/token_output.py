@@ -16,6 +16,7 @@ key of the smallest long and come first. An empty table gives no rows. Other col
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 
@@ -31,7 +32,8 @@ from . import files
 from .flat import mix, slices
 
 NULL_KEY = -(1 << 63)
-CACHE = 400_000
+CACHE, TOGETHER = 800_000, 500
+PUNCTUATION = ".,;:!?*#$%&|"
 _LATE_SPACE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
 
@@ -41,32 +43,66 @@ class Encoder:
     character, so each such piece is encoded once and kept; the pieces' ids, joined, are the text's."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks of an executor already use its cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
+        self.starts_piece = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.starts_piece[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True  # the space byte's letter
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
 
     def _learn(self, known: dict[str, bytes], pieces: set[str], lead: str) -> None:
+        """Encode unknown pieces. Those with one visible end and no space inside are encoded many to a text, each after its one space,
+        whose token begins the piece's ids; the others alone. Punctuation after a letter is always cut off by the pre-tokenizer."""
         new = [p for p in pieces if p not in known]
-        for p, e in zip(new, self.tokenizer.encode_batch_fast([lead + p for p in new], add_special_tokens=False)):
-            known[p] = np.array(e.ids, self.dtype).tobytes()
+        tails = {p: p[len(p.rstrip(PUNCTUATION)):] for p in new} if lead else {}
+        parts = {p: (p[:-len(t)], t) for p, t in tails.items() if t and len(t) < len(p) and p[-len(t) - 1].isalpha()}
+        if parts:
+            self._learn(self.first, {t for _, t in parts.values()}, "")
+            self._learn(known, {c for c, _ in parts.values()}, lead)
+            known.update((p, known[c] + self.first[t]) for p, (c, t) in parts.items())
+            new = [p for p in new if p not in known]
+        plain = [p for p in new if p and lead and not p[-1].isspace() and " " not in p]
+        for at in range(0, len(plain), TOGETHER):
+            group = plain[at:at + TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(group)], add_special_tokens=False)[0].ids, self.dtype)
+            cuts = np.flatnonzero(self.starts_piece[ids])
+            if len(cuts) != len(group):
+                break
+            raw, ends = ids.tobytes(), [*(cuts[1:] * self.dtype.itemsize).tolist(), ids.nbytes]
+            known.update(zip(group, map(raw.__getitem__, map(slice, (cuts * self.dtype.itemsize).tolist(), ends))))
+        rest = [p for p in new if p not in known]
+        for at in range(0, len(rest), TOGETHER):
+            group = rest[at:at + TOGETHER]
+            for p, e in zip(group, self.tokenizer.encode_batch_fast([lead + p for p in group], add_special_tokens=False)):
+                known[p] = np.array(e.ids, self.dtype).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.first) + len(self.later) > CACHE:
-            self.first.clear()
-            self.later.clear()
         cut = [([t[0], *(x[1:] for x in t[1:])] if (t := _CUT.split(text)) else [""]) if _LATE_SPACE.search(text) else text.split(" ")
                for text in (text or "" for text in texts)]
+        later = set().union(*(p[1:] for p in cut))
+        if len(self.first) + len(self.later) > CACHE:  # only what this batch has stays
+            self.first, self.later = {}, {p: x for p in later if (x := self.later.get(p)) is not None}
         self._learn(self.first, {p[0] for p in cut}, "")
-        self._learn(self.later, set().union(*(p[1:] for p in cut)), " ")
+        self._learn(self.later, later, " ")
         get = self.later.__getitem__
         return [self.first[p[0]] + b"".join(map(get, p[1:])) for p in cut]
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_for(path: str) -> Encoder:
+    """One encoder per worker process, so its pieces serve the next task too."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 class KeyIndex:
     """Minimal perfect hash over distinct 64-bit keys."""
 
@@ -165,7 +201,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 0, folder:
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def write(batches):
-        encoder, shard = Encoder(tokenizer_path), TaskContext.get().partitionId()
+        encoder, shard = encoder_for(tokenizer_path), TaskContext.get().partitionId()
         end = np.array([end_id], encoder.dtype).tobytes()
         path = files.fresh_name(folder, f"shard-{shard:06d}", "x")[:-2]
         where, inner = files.open_fs(path + ".ids")
