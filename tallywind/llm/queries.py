@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, jaccard_join, lm_trie, pii, piece_codec, quality_knn, sql, token_output, toxic_segments
+from . import decontaminate, exact_dedup, jaccard_join, lm_trie, pii, piece_codec, quality_knn, sql, suffix_dedup, token_output, toxic_segments
 from .shipping import ship
 
 SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
@@ -21,6 +21,7 @@ def _over_documents(operator, *others):
 
 QUERIES = {
     "op1_token_shards": _over_documents(token_output.token_digests),
+    "op2_suffix_dedup": _over_documents(suffix_dedup.removed_substrings),
     "op3_lm_trie": _over_documents(lm_trie.lm_scores),
     "op4_piece_codec": _over_documents(piece_codec.codec_digests),
     "op5_quality_knn": _over_documents(quality_knn.quality_scores, "labels"),
