@@ -9,7 +9,7 @@ itself is cut further along the tie-break. Rows are then windowed per cell,
 and what a cell needs from the cells before or after it (counts, sums, edge
 rows) comes from one small summary row per cell.
 
-The cuts are literals, so a row's cell is a pure function of the row: a retried
+The cuts are constants, so a row's cell is a pure function of the row: a retried
 task always puts it into the same cell. One shuffle of the rows, on (key, cell).
 """
 
@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from ..session import lookup_side, stage
 
 ROWS_PER_SLICE = 1_000_000
-MAX_SLICES = 4096
+# Size of the quantile sketches (a rank error of about 0.0001) and how many of them meet in one task.
+SKETCH_SIZE, SKETCHES_PER_TASK = 65_535, 32
+QUANTILES_PER_CALL = 1_000
 # Sub-cells per slice: four hexadecimal digits of the tie-break hash.
 SUB = 16 ** 4
 
@@ -45,22 +47,39 @@ def _after(value: float) -> float:
 
 def plan_cuts(df: DataFrame, value: Column, rows_per_slice: int) -> Cuts:
     """The row count and a bounded list of quantiles of one column; small inputs need no cut."""
-    n = df.count()
-    wanted = min(MAX_SLICES, -(-n // rows_per_slice))
+    known = F.when(~F.isnan(value), value)
+    sketches = df.select(known.alias("_value"), F.spark_partition_id().alias("_part")).groupBy("_part").agg(
+        F.count(F.lit(1)).alias("_n"), F.kll_sketch_agg_double("_value", F.lit(SKETCH_SIZE)).alias("_sketch"))
+    total, sketch = _merged_sketch(sketches)
+    wanted = -(-total // rows_per_slice)
     if wanted <= 1:
         return Cuts((), (), 0)
     digits = 0
-    while digits < 4 and n / 16 ** digits > rows_per_slice:
+    while digits < 4 and total / 16 ** digits > rows_per_slice:
         digits += 1
-    # As text: one literal array instead of one call to the JVM per probability.
-    shares = ", ".join(f"{i / wanted!r}D" for i in range(1, wanted))
-    known = df.select(F.when(~F.isnan(value), value).alias("_value"))
-    quantiles = known.agg(F.expr(f"percentile_approx(_value, array({shares}), {max(10_000, 10 * wanted)})")).first()[0] or []
+    shares = [i / wanted for i in range(1, wanted)]
+    quantiles = []
+    for at in range(0, len(shares), QUANTILES_PER_CALL):
+        ranks = F.array(*map(F.lit, shares[at:at + QUANTILES_PER_CALL]))
+        quantiles += sketch.select(F.kll_sketch_get_quantile_double("_sketch", ranks)).first()[0] or []
+    quantiles.sort()
     repeated = sorted({a for a, b in zip(quantiles, quantiles[1:]) if a == b})
     bounds = sorted({*quantiles, *repeated, *(_after(v) for v in repeated)})
     return Cuts(tuple(bounds), tuple(repeated), digits)
 
 
+def _merged_sketch(sketches: DataFrame) -> tuple[int, DataFrame]:
+    """The row count, and one row with the sketch of all rows (null without values): a bounded number of sketches meet in a task."""
+    level = stage(sketches, "sketches")
+    parts = (level.agg(F.max("_part")).first()[0] or 0) + 1
+    while parts > 1:
+        parts = -(-parts // SKETCHES_PER_TASK)
+        level = stage(level.withColumn("_part", F.floor(F.col("_part") / SKETCHES_PER_TASK)).groupBy("_part").agg(
+            F.sum("_n").alias("_n"), F.kll_merge_agg_double("_sketch").alias("_sketch")), "sketches")
+    row = level.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()
+    return row[0], level.filter(F.col("_sketch").isNotNull() & (F.kll_sketch_get_n_double("_sketch") > 0)).select("_sketch")
+
+
 class OrderedRows:
     """Rows of ``df`` per ``keys`` in the order (``value``, ``tie``).
 
@@ -73,17 +92,20 @@ class OrderedRows:
     def __init__(self, df: DataFrame, keys: list[str], value: Column, tie: Column, descending: bool = False,
                  rows_per_slice: int = ROWS_PER_SLICE, base: DataFrame | None = None):
         self.keys, self.descending = keys, descending
+        # Never null, and used by joins and windows alike, so that one shuffle of the rows serves both.
+        self.group = [f"_key{i}" for i in range(len(keys))]
+        self.cell = [*self.group, "_cell"]
         value = value.cast("double")
         self.cuts = plan_cuts(df if base is None else base, value, rows_per_slice)
         self.rows = self._in_cells(df, value, tie)
         self.source = self.rows if base is None else self._in_cells(base, value, tie)
         ordering = F.desc_nulls_last("_value") if descending else F.asc_nulls_first("_value")
         self.order = [ordering, F.asc("_tie")]
-        self.peers = Window.partitionBy(*keys, "_cell").orderBy(ordering)
-        self.local = Window.partitionBy(*keys, "_cell").orderBy(*self.order)
-        self.cells = Window.partitionBy(*keys).orderBy("_cell")
+        self.peers = Window.partitionBy(*self.cell).orderBy(ordering)
+        self.local = Window.partitionBy(*self.cell).orderBy(*self.order)
+        self.cells = Window.partitionBy(*self.group).orderBy("_cell")
         self.before = self.cells.rowsBetween(Window.unboundedPreceding, -1)
-        self.whole = Window.partitionBy(*keys)
+        self.whole = Window.partitionBy(*self.group)
         self.whole_cell = self.local.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
     @property
@@ -93,7 +115,8 @@ class OrderedRows:
 
     def _in_cells(self, df: DataFrame, value: Column, tie: Column) -> DataFrame:
         cuts, descending = self.cuts, self.descending
-        rows = df.withColumns({"_value": value, "_tie": tie})
+        named = {name: F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")) for name, key in zip(self.group, self.keys)}
+        rows = df.withColumns({"_value": value, "_tie": tie, **named})
         if self.single:
             return rows.withColumn("_cell", F.lit(0).cast("long"))
         if cuts.bounds:
@@ -107,41 +130,36 @@ class OrderedRows:
         sub = F.lit(0).cast("long")
         if cuts.tie_digits:
             spans = F.col("_value").isNull() | F.isnan("_value") | F.col("_value").isin(list(cuts.repeated))
-            sub = F.when(spans, F.conv(F.substring("_tie", 1, cuts.tie_digits), 16, 10).cast("long")).otherwise(sub)
+            # A row without an identity comes first among its equals.
+            sub = F.when(spans, F.coalesce(F.conv(F.substring("_tie", 1, cuts.tie_digits), 16, 10).cast("long"), sub)).otherwise(sub)
         return rows.withColumn("_cell", piece * SUB + sub).drop("_slice")
 
     def summary(self, *aggregates: Column) -> DataFrame:
         """One row per cell; partial aggregation keeps the shuffle small."""
-        return self.source.groupBy(*self.keys, "_cell").agg(*aggregates)
+        return self.source.groupBy(*self.cell).agg(*aggregates)
 
     def attach(self, summary: DataFrame, label: str) -> DataFrame:
         """Bring a cell's carried values to its rows; broadcast only when the summary was counted to be small."""
-        side = lookup_side(summary, label)
-        for key in [*self.keys, "_cell"]:
-            side = side.withColumnRenamed(key, f"_on_{key}")
-        condition = F.lit(True)
-        for key in [*self.keys, "_cell"]:
-            condition = condition & self.rows[key].eqNullSafe(side[f"_on_{key}"])
-        return self.rows.join(side, condition).drop(*[f"_on_{key}" for key in [*self.keys, "_cell"]])
+        return self.rows.join(lookup_side(summary, label), self.cell)
+
+    def done(self, rows: DataFrame, *more: str) -> DataFrame:
+        """Without the inner columns."""
+        return rows.drop("_value", "_tie", *self.cell, *more)
 
     def edges(self, column: str, width: int) -> DataFrame:
         """The first and the last ``width`` values of every cell, in order."""
         def side(name: str, order: list[Column]) -> DataFrame:
-            spec = Window.partitionBy(*self.keys, "_cell").orderBy(*order)
+            spec = Window.partitionBy(*self.cell).orderBy(*order)
             near = (
-                self.source.select(*self.keys, "_cell", "_value", "_tie", F.col(column).alias("_x"))
+                self.source.select(*self.cell, "_value", "_tie", F.col(column).alias("_x"))
                 .withColumn("_rn", F.row_number().over(spec)).filter(F.col("_rn") <= width)
             )
             listed = F.array_sort(F.collect_list(F.struct("_rn", "_x")))
-            return near.groupBy(*self.keys, "_cell").agg(F.transform(listed, lambda e: e["_x"]).alias(name))
+            return near.groupBy(*self.cell).agg(F.transform(listed, lambda e: e["_x"]).alias(name))
 
         backwards = [F.asc_nulls_last("_value") if self.descending else F.desc_nulls_last("_value"), F.desc("_tie")]
         head, tail = side("_head", self.order), side("_tail", backwards)
-        tail = tail.withColumn("_tail", F.reverse("_tail"))
-        on = F.lit(True)
-        for key in [*self.keys, "_cell"]:
-            on = on & head[key].eqNullSafe(tail[key])
-        return head.join(tail, on).select(*[head[k] for k in [*self.keys, "_cell"]], "_head", "_tail")
+        return head.join(tail.withColumn("_tail", F.reverse("_tail")), self.cell)
 
     def neighbours(self, column: str, width: int) -> DataFrame:
         """Per cell, the ``width`` values just before and just after it; every cell has a row, so ``width`` cells reach far enough."""
@@ -150,10 +168,10 @@ class OrderedRows:
         earlier = [F.coalesce(F.lag("_tail", i).over(self.cells), empty) for i in range(width, 0, -1)]
         later = [F.coalesce(F.lead("_head", i).over(self.cells), empty) for i in range(1, width + 1)]
         return edges.select(
-            *self.keys, "_cell",
+            *self.cell,
             F.concat(*earlier).alias("_past"), F.concat(*later).alias("_next"),
         ).select(
-            *self.keys, "_cell",
+            *self.cell,
             F.when(F.size("_past") > width, F.slice("_past", -width, width)).otherwise(F.col("_past")).alias("_past"),
             F.slice("_next", 1, width).alias("_next"),
         )
@@ -170,22 +188,22 @@ def rank_columns(df: DataFrame, keys: list[str], value: Column, tie: Column, des
     else:
         rows = ordered.attach(_carried_ranks(ordered), "ranks")
     rank = F.col("_peers_before") + F.rank().over(ordered.peers)
-    return rows.withColumns({
+    ranked = rows.withColumns({
         "row_number": (F.col("_rows_before") + F.row_number().over(ordered.local)).cast("long"),
         "rank": rank.cast("long"),
         "dense_rank": (F.col("_values_before") + F.dense_rank().over(ordered.peers)).cast("long"),
         "percent_rank": F.when(F.col("_total") > 1, (rank - 1) / (F.col("_total") - 1)).otherwise(0.0),
-    }).drop("_value", "_tie", "_cell", "_rows_before", "_values_before", "_peers_before", "_total")
+    })
+    return ordered.done(ranked, "_rows_before", "_values_before", "_peers_before", "_total")
 
 
 def _carried_ranks(ordered: OrderedRows) -> DataFrame:
     """Per cell: rows, distinct values and peers before it, and the rows of its keys."""
-    keys = ordered.keys
-    per_value = ordered.source.groupBy(*keys, "_cell", "_value").agg(F.count(F.lit(1)).alias("_n"))
-    cells = per_value.groupBy(*keys, "_cell").agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_d"))
+    per_value = ordered.source.groupBy(*ordered.cell, "_value").agg(F.count(F.lit(1)).alias("_n"))
+    cells = per_value.groupBy(*ordered.cell).agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_d"))
     piece = F.floor(F.col("_cell") / SUB)
     # Peers spread over sub-cells count once: only the first sub-cell of a slice adds distinct values.
-    same = Window.partitionBy(*keys, "_piece")
+    same = Window.partitionBy(*ordered.group, "_piece")
     return (
         cells.withColumn("_piece", piece)
         .withColumn("_lead_cell", F.min("_cell").over(same))
@@ -212,7 +230,7 @@ def row_numbers(df: DataFrame, keys: list[str], value: Column, tie: Column, desc
             .withColumn("_rows_before", F.coalesce(F.sum("_n").over(ordered.before), F.lit(0)))
             .withColumn("group_rows", F.sum("_n").over(ordered.whole)).drop("_n"), "positions")
     number = (F.col("_rows_before") + F.row_number().over(ordered.local)).cast("long")
-    return rows.withColumn("row_number", number).drop("_value", "_tie", "_cell", "_rows_before")
+    return ordered.done(rows.withColumn("row_number", number), "_rows_before")
 
 
 def running_total(df: DataFrame, keys: list[str], value: Column, tie: Column, amount: Column, name: str,
@@ -232,11 +250,8 @@ def running_total(df: DataFrame, keys: list[str], value: Column, tie: Column, am
             .withColumn("_sum_all", F.sum("_s").over(ordered.whole)).drop("_s"), "totals")
         before = F.col("_sum_before")
         both = F.when(before.isNull(), here).when(here.isNull(), before).otherwise(before + here)
-    return (
-        rows.withColumn(name, both)
-        .withColumnRenamed("_sum_all", group_total or "_sum_all")
-        .drop("_value", "_tie", "_cell", "_sum_before", "_sum_all", "_amount")
-    )
+    summed = rows.withColumn(name, both).withColumnRenamed("_sum_all", group_total or "_sum_all")
+    return ordered.done(summed, "_sum_before", "_sum_all", "_amount")
 
 
 def offset_and_running(df: DataFrame, keys: list[str], value: Column, tie: Column, amount: str, total: Column,
@@ -247,9 +262,9 @@ def offset_and_running(df: DataFrame, keys: list[str], value: Column, tie: Colum
     local = ordered.local
     here = F.sum("_amount").over(local.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     if ordered.single:
-        return ordered.rows.withColumns({
+        return ordered.done(ordered.rows.withColumns({
             "previous": F.lag(amount).over(local), "following": F.lead(amount).over(local), "running": here,
-        }).drop("_value", "_tie", "_cell", "_amount")
+        }), "_amount")
     # A null value is a real neighbour, so edges are kept inside a struct.
     order = F.struct("_value", "_tie")
     cells = ordered.summary(
@@ -257,7 +272,7 @@ def offset_and_running(df: DataFrame, keys: list[str], value: Column, tie: Colum
         F.sum("_amount").alias("_s"),
     )
     carried = cells.select(
-        *keys, "_cell",
+        *ordered.cell,
         F.lag("_last").over(ordered.cells)[amount].alias("_past"),
         F.lead("_first").over(ordered.cells)[amount].alias("_next"),
         F.sum("_s").over(ordered.before).alias("_sum_before"),
@@ -265,15 +280,15 @@ def offset_and_running(df: DataFrame, keys: list[str], value: Column, tie: Colum
     before = F.col("_sum_before")
     is_first = F.row_number().over(local) == 1
     has_next = F.lead(F.lit(1)).over(local).isNotNull()
-    return (
+    moved = (
         ordered.attach(carried, "offsets")
         .withColumns({
             "previous": F.when(is_first, F.col("_past")).otherwise(F.lag(amount).over(local)),
             "following": F.when(has_next, F.lead(amount).over(local)).otherwise(F.col("_next")),
             "running": F.when(before.isNull(), here).when(here.isNull(), before).otherwise(before + here),
         })
-        .drop("_value", "_tie", "_cell", "_past", "_next", "_sum_before", "_amount")
     )
+    return ordered.done(moved, "_past", "_next", "_sum_before", "_amount")
 
 
 def centred_mean(df: DataFrame, keys: list[str], value: Column, tie: Column, amount: Column, name: str,
@@ -292,7 +307,7 @@ def centred_mean(df: DataFrame, keys: list[str], value: Column, tie: Column, amo
 
     if ordered.single:
         return ordered.rows.withColumns({"_sum": F.sum("_amount").over(frame), "_cnt": F.count("_amount").over(frame)}).withColumn(
-            name, mean(F.col("_sum"), F.col("_cnt"))).drop("_value", "_tie", "_cell", "_sum", "_cnt", "_amount")
+            name, mean(F.col("_sum"), F.col("_cnt"))).drop("_value", "_tie", *ordered.cell, "_sum", "_cnt", "_amount")
     rows = ordered.attach(ordered.neighbours("_amount", reach), "edges").withColumns({
         "_pos": F.row_number().over(local),
         "_len": F.count(F.lit(1)).over(ordered.whole_cell),
@@ -309,8 +324,7 @@ def centred_mean(df: DataFrame, keys: list[str], value: Column, tie: Column, amo
     extra = F.aggregate(known, F.lit(0).cast(wide), lambda acc, x: (acc + x).cast(wide))
     rows = rows.withColumn("_borrowed", borrowed)
     total = F.coalesce(F.col("_sum").cast(wide), F.lit(0).cast(wide)) + extra
-    return rows.withColumn(name, mean(total, F.col("_cnt") + F.size(known))).drop(
-        "_value", "_tie", "_cell", "_past", "_next", "_pos", "_len", "_sum", "_cnt", "_borrowed", "_amount")
+    return ordered.done(rows.withColumn(name, mean(total, F.col("_cnt") + F.size(known))), "_past", "_next", "_pos", "_len", "_sum", "_cnt", "_borrowed", "_amount")
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float], interpolate: bool,

@@ -136,3 +136,41 @@ def test_quantiles(data, interpolate):
             else:
                 wanted = values[max(-int(-p * len(values) // 1), 1) - 1]
             assert got[key][name] == pytest.approx(wanted, abs=1e-9)
+
+
+@pytest.fixture(scope="module")
+def gaps(spark, tmp_path_factory):
+    """Null ids, null, NaN and repeated values, and null keys, each of them often."""
+    rng = random.Random(11)
+    out = []
+    for i in range(1500):
+        value = rng.choice([None, float("nan"), 50.0, round(rng.random() * 99, 1)])
+        out.append((None if rng.random() < 0.3 else f"id{i}", rng.choice([None, "a", "b"]), value))
+    path = str(tmp_path_factory.mktemp("ordered") / "gaps")
+    spark.createDataFrame(out, "id string, key string, value double").repartition(7).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.mark.parametrize("falling", [True, False])
+def test_slices_do_not_change_ranks(gaps, falling):
+    def ranks(size):
+        df = rank_columns(gaps, ["key"], F.col("value"), F.md5("id"), falling, size)
+        return sorted(map(repr, df.select("id", "key", "value", "rank", "dense_rank", "percent_rank").collect()))
+
+    assert ranks(20) == ranks(10 ** 6)
+    numbered = rank_columns(gaps, ["key"], F.col("value"), F.md5("id"), falling, 20)
+    for row in numbered.groupBy("key").agg(F.sort_array(F.collect_list("row_number")).alias("n")).collect():
+        assert row.n == list(range(1, len(row.n) + 1))
+
+
+def test_one_row_shuffle_per_step(spark, gaps, monkeypatch):
+    from tallywind.operators import ordered
+
+    monkeypatch.setattr(ordered, "lookup_side", lambda df, label: ordered.stage(df, label))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = rank_columns(gaps, ["key"], F.col("value"), F.md5("id"), True, 100)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2  # the rows and the summary, and none between join and windows
