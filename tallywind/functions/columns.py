@@ -13,8 +13,8 @@ REVIEW_RISK, REVIEW_AMOUNT = 0.7, 100_000
 
 
 def event_time(text: Column) -> Column:
-    """Instant of an ISO-8601 string (``Z``, offset, no zone, fractions); null when it cannot be read."""
-    return F.try_to_timestamp(text)
+    """Instant of an ISO-8601 string (``Z``, offset, no zone, fractions); null when it cannot be read or is a time without a date."""
+    return F.when(~text.rlike(r"^\s*T?\d{1,2}:"), F.try_to_timestamp(text))
 
 
 def _steps(value: Column, steps: list[tuple], otherwise: str) -> Column:
@@ -85,11 +85,11 @@ def mask_account(account: Column) -> Column:
 
 
 def ip_to_int(address: Column) -> Column:
-    """32-bit value of a dotted address as a long; null when one of the first four parts is no number."""
+    """32-bit value of a dotted address as a long; null when one of the first four parts is no number, or the value is no long."""
     parts = F.split(address, r"\.")
     number = F.lit(0).cast("long")
     for i, weight in enumerate((1 << 24, 1 << 16, 1 << 8, 1)):
-        number = number + F.get(parts, F.lit(i)).try_cast("long") * F.lit(weight).cast("long")
+        number = F.try_add(number, F.try_multiply(F.get(parts, F.lit(i)).try_cast("long"), F.lit(weight).cast("long")))
     return number
 
 
@@ -98,15 +98,22 @@ def anonymize_ip(address: Column) -> Column:
 
 
 def money(value: Column) -> Column:
-    """A two-digit amount as a decimal, so that sums do not depend on the order of the rows."""
-    return value.cast("decimal(18,2)")
+    """An amount as a decimal, so that sums do not depend on the order of the rows; null where it is NaN or too large for one."""
+    return value.try_cast("decimal(28,8)")
+
+
+def _exact_or_double(exact: Column, doubles: Column, value: Column) -> Column:
+    """The exact result, unless a value of the group has no decimal form: then the result over doubles."""
+    return F.when(F.count_if(value.isNotNull() & money(value).isNull()) == 0, exact.cast("double")).otherwise(doubles)
 
 
 def money_sum(value: Column) -> Column:
-    return F.sum(money(value)).cast("double")
+    """Sum of all digits; nothing is rounded before it."""
+    return _exact_or_double(F.try_sum(money(value)), F.sum(value.cast("double")), value)
 
 
-def exact_mean(value: Column, digits: int = 2, scale: int = 2) -> Column:
-    """Mean of a column with ``scale`` decimal digits, rounded half up once."""
-    total = F.sum(value.cast(f"decimal(18,{scale})")).cast("decimal(28,{})".format(scale))
-    return F.round(F.try_divide(total, F.count(value).cast("decimal(18,0)")), digits).cast("double")
+def exact_mean(value: Column, digits: int = 2) -> Column:
+    """Mean rounded half up once, after the division."""
+    total = F.try_sum(money(value)).try_cast("decimal(30,8)")
+    exact = F.round(F.try_divide(total, F.count(value).cast("decimal(18,0)")), digits)
+    return F.coalesce(_exact_or_double(exact, F.round(F.avg(value.cast("double")), digits), value), F.round(F.avg(value.cast("double")), digits))

@@ -18,9 +18,9 @@ SQL_FUNCTIONS = {
         cast(round((try_cast(amount AS DECIMAL(24,8)) - try_cast(coalesce(fee, 0D) AS DECIMAL(24,8)))
                    * try_cast(coalesce(rate, 1D) AS DECIMAL(12,8)), 2) AS DOUBLE),
         round((amount - coalesce(fee, 0D)) * coalesce(rate, 1D), 2))""",
-    "ip_to_int": r"""(ip STRING) RETURNS BIGINT RETURN
-        try_cast(get(split(ip, '[.]'), 0) AS BIGINT) * 16777216 + try_cast(get(split(ip, '[.]'), 1) AS BIGINT) * 65536
-        + try_cast(get(split(ip, '[.]'), 2) AS BIGINT) * 256 + try_cast(get(split(ip, '[.]'), 3) AS BIGINT)""",
+    "ip_to_int": r"""(ip STRING) RETURNS BIGINT RETURN try_add(try_add(try_add(
+        try_multiply(try_cast(get(split(ip, '[.]'), 0) AS BIGINT), 16777216L), try_multiply(try_cast(get(split(ip, '[.]'), 1) AS BIGINT), 65536L)),
+        try_multiply(try_cast(get(split(ip, '[.]'), 2) AS BIGINT), 256L)), try_cast(get(split(ip, '[.]'), 3) AS BIGINT))""",
     "log_amount": "(amount DOUBLE) RETURNS DOUBLE RETURN CASE WHEN amount > 0 THEN round(ln(amount), 4) END",
 }
 

@@ -300,7 +300,7 @@ def centred_mean(df: DataFrame, keys: list[str], value: Column, tie: Column, amo
     local = ordered.local
     frame = local.rowsBetween(-reach, reach)
     kind = df.select(amount).schema[0].dataType.simpleString()
-    wide = "decimal(28,2)" if kind.startswith("decimal") else kind
+    wide = "decimal(30,8)" if kind.startswith("decimal") else kind
 
     def mean(total: Column, count: Column) -> Column:
         return F.when(count > 0, F.round(total.cast(wide) / count.cast("decimal(10,0)"), digits).cast("double"))

@@ -6,13 +6,24 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# The analytics statements. Money is summed in decimal so that the order of the rows does not show.
-TOP_CORRIDORS = """
+def _sum(column: str) -> str:
+    """Sum in decimals, so that the order of the rows does not show and nothing is rounded before it; in doubles where a value has no decimal form."""
+    exact = f"TRY_CAST({column} AS DECIMAL(28,8))"
+    return f"CASE WHEN COUNT_IF({column} IS NOT NULL AND {exact} IS NULL) = 0 THEN CAST(TRY_SUM({exact}) AS DOUBLE) ELSE SUM({column}) END"
+
+
+def _mean(column: str, digits: int = 2) -> str:
+    exact = f"TRY_CAST({column} AS DECIMAL(28,8))"
+    total = f"TRY_CAST(TRY_SUM({exact}) AS DECIMAL(30,8))"
+    return (f"CASE WHEN COUNT_IF({column} IS NOT NULL AND {exact} IS NULL) = 0 THEN CAST(ROUND(TRY_DIVIDE({total}, CAST(COUNT({column}) AS DECIMAL(18,0))), {digits}) AS DOUBLE) "
+            f"ELSE ROUND(AVG({column}), {digits}) END")
+
+
+# The analytics statements.
+TOP_CORRIDORS = f"""
 SELECT sender_country, receiver_country, COUNT(*) AS txn_count,
-       CAST(SUM(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS total_volume,
-       CAST(ROUND(TRY_DIVIDE(SUM(CAST(amount AS DECIMAL(18,2))), COUNT(amount)), 2) AS DOUBLE) AS avg_amount,
-       CAST(ROUND(TRY_DIVIDE(SUM(CAST(risk_score AS DECIMAL(18,3))), COUNT(risk_score)), 4) AS DOUBLE) AS avg_risk
-FROM {txn}
+       {_sum('amount')} AS total_volume, {_mean('amount')} AS avg_amount, {_mean('risk_score', 4)} AS avg_risk
+FROM {{txn}}
 WHERE sender_country <> receiver_country
 GROUP BY sender_country, receiver_country
 HAVING COUNT(*) >= 5
@@ -20,35 +31,31 @@ ORDER BY total_volume DESC, sender_country, receiver_country
 LIMIT 20"""
 
 FLAGGED_BY_CHANNEL = """
-WITH per_channel AS (
-  SELECT channel, COUNT(*) AS total, SUM(CASE WHEN is_flagged THEN 1 ELSE 0 END) AS flagged
-  FROM {txn} GROUP BY channel)
-SELECT channel, total, flagged, CAST(ROUND(flagged * 100.0 / total, 2) AS DOUBLE) AS flagged_pct
-FROM per_channel
+SELECT channel, COUNT(1) AS total, COUNT_IF(is_flagged) AS flagged,
+       CAST(ROUND(AVG(CAST(IF(is_flagged, 100, 0) AS DECIMAL(18,10))), 2) AS DOUBLE) AS flagged_pct
+FROM {txn}
+GROUP BY ALL
 ORDER BY flagged_pct DESC, channel"""
 
-_AVG = "CAST(ROUND(TRY_DIVIDE(SUM(CAST({c} AS DECIMAL(18,2))), COUNT({c})), 2) AS DOUBLE)"
-
 # Preset name -> statement. Every limited one has a full ordering, so its rows are fixed.
 TRANSACTION_PRESETS = {
     "row_count": "SELECT COUNT(*) AS total_rows FROM {txn}",
-    "by_currency": f"SELECT currency, COUNT(*) AS cnt, {_AVG.format(c='amount')} AS avg_amt FROM {{txn}} GROUP BY currency ORDER BY cnt DESC, currency",
+    "by_currency": f"SELECT currency, COUNT(*) AS cnt, {_mean('amount')} AS avg_amt FROM {{txn}} GROUP BY currency ORDER BY cnt DESC, currency",
     "by_status": "SELECT status, COUNT(*) AS cnt FROM {txn} GROUP BY status ORDER BY cnt DESC, status",
-    "by_transaction_type": "SELECT transaction_type, COUNT(*) AS cnt, CAST(SUM(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS total_volume "
+    "by_transaction_type": f"SELECT transaction_type, COUNT(*) AS cnt, {_sum('amount')} AS total_volume "
                            "FROM {txn} GROUP BY transaction_type ORDER BY total_volume DESC, transaction_type",
     "flagged": "SELECT * FROM {txn} WHERE is_flagged = true ORDER BY transaction_id LIMIT 20",
     "top_amounts": "SELECT transaction_id, amount, currency, sender_name, receiver_name FROM {txn} "
                    "ORDER BY amount DESC NULLS LAST, transaction_id LIMIT 20",
-    "hourly_volume": "SELECT EXTRACT(HOUR FROM CAST(timestamp AS TIMESTAMP)) AS hour, COUNT(*) AS cnt FROM {txn} "
-                     "GROUP BY EXTRACT(HOUR FROM CAST(timestamp AS TIMESTAMP)) ORDER BY hour",
+    "hourly_volume": "SELECT EXTRACT(HOUR FROM TRY_CAST(timestamp AS TIMESTAMP)) AS hour, COUNT(*) AS cnt FROM {txn} GROUP BY 1 ORDER BY hour",
     "count_by_currency": "SELECT currency, COUNT(*) AS cnt FROM {txn} GROUP BY currency ORDER BY cnt DESC, currency",
 }
 
 ACCOUNT_PRESETS = {
     "row_count": "SELECT COUNT(*) AS total_rows FROM {txn}",
     "by_country": "SELECT country, COUNT(*) AS cnt FROM {txn} GROUP BY country ORDER BY cnt DESC, country",
-    "by_currency": f"SELECT currency, COUNT(*) AS cnt, {_AVG.format(c='balance')} AS avg_balance FROM {{txn}} GROUP BY currency ORDER BY cnt DESC, currency",
-    "by_account_type": f"SELECT account_type, COUNT(*) AS cnt, {_AVG.format(c='balance')} AS avg_balance FROM {{txn}} "
+    "by_currency": f"SELECT currency, COUNT(*) AS cnt, {_mean('balance')} AS avg_balance FROM {{txn}} GROUP BY currency ORDER BY cnt DESC, currency",
+    "by_account_type": f"SELECT account_type, COUNT(*) AS cnt, {_mean('balance')} AS avg_balance FROM {{txn}} "
                        "GROUP BY account_type ORDER BY cnt DESC, account_type",
     "by_status": "SELECT account_status, COUNT(*) AS cnt FROM {txn} GROUP BY account_status ORDER BY cnt DESC, account_status",
     "top_balances": "SELECT account_id, holder_name, balance, currency, country FROM {txn} ORDER BY balance DESC NULLS LAST, account_id LIMIT 20",

@@ -26,8 +26,7 @@ def analytics(df: DataFrame) -> dict[str, DataFrame]:
         "multi_currency_senders": ar.multi_currency_senders(df),
         "top_corridors": top_corridors(df), "flagged_by_channel": flagged_by_channel(df),
     }
-    hourly = ag.hourly_volume(df)
-    return results if hourly is None else {**results, "hourly_volume": hourly}
+    return results | ({"hourly_volume": ag.hourly_volume(df)} if "txn_hour" in df.columns else {})
 
 
 def run_analytics(df: DataFrame, output: str, rows_per_slice: int = ROWS_PER_SLICE) -> dict[str, int]:
