@@ -102,10 +102,10 @@ def fold(batches: DataFrame, event_time_guard: bool = False) -> DataFrame:
 
 
 COMMIT = T.StructType([
-    T.StructField("version", T.LongType()), T.StructField("batch_id", T.LongType()),
-    T.StructField("base_version", T.LongType()), T.StructField("base_batch_id", T.LongType()),
-    T.StructField("operation", T.StringType()), T.StructField("rows", T.LongType()),
-    T.StructField("committed_at", T.TimestampType()),
+    T.StructField("version", T.LongType()), T.StructField("batch_id", T.LongType()), T.StructField("base_version", T.LongType()),
+    T.StructField("operation", T.StringType()), T.StructField("rows", T.LongType()), T.StructField("committed_at", T.TimestampType()),
+    # The deltas on top of the base, and the last batch of every stream: the newest commit is all that a reader or a replay guard needs.
+    T.StructField("deltas", T.ArrayType(T.LongType())), T.StructField("last_batches", T.MapType(T.StringType(), T.LongType())),
 ])
 STORED = T.StructType([
     *[T.StructField(f.name, T.LongType() if f.name == "transaction_count" else f.dataType) for f in ACCOUNT.fields],
@@ -132,15 +132,16 @@ class AccountTable:
         log = self.commits()
         return log.orderBy(F.desc("version")).first() if log is not None else None
 
-    def _commit(self, version: int, batch_id: int, base: tuple[int, int], operation: str, rows: int) -> None:
-        row = (version, batch_id, base[0], base[1], operation, rows, datetime.now(timezone.utc))
-        self.spark.createDataFrame([row], COMMIT).coalesce(1).write.mode("overwrite").parquet(
-            f"{self.path}/_commits/version={version:012d}")
+    def _commit(self, version: int, batch_id: int, base: int, operation: str, rows: int, deltas: list[int], last: dict[str, int]) -> None:
+        """Make a version visible. A version that another writer took is refused, never replaced."""
+        row = (version, batch_id, base, operation, rows, datetime.now(timezone.utc), deltas, last)
+        self.spark.createDataFrame([row], COMMIT).coalesce(1).write.mode("errorifexists").parquet(f"{self.path}/_commits/version={version:012d}")
 
-    def _deltas(self, after: int, upto: int) -> DataFrame:
-        stored = T.StructType([*STORED.fields, T.StructField("batch_id", T.LongType())])
-        deltas = self.spark.read.schema(stored).parquet(f"{self.path}/deltas")
-        return deltas.filter((F.col("batch_id") > after) & (F.col("batch_id") <= upto))
+    def _deltas(self, versions: list[int]) -> DataFrame:
+        """Only the folders of these versions are listed; they are few, for a compaction absorbs them."""
+        folders = [f"{self.path}/deltas/version={v}" for v in versions]
+        stored = T.StructType([*STORED.fields, T.StructField("version", T.LongType())])
+        return self.spark.read.schema(stored).option("basePath", f"{self.path}/deltas").parquet(*folders).withColumnRenamed("version", "batch_id")
 
     def _snapshot(self, version: int) -> DataFrame:
         return self.spark.read.schema(STORED).parquet(f"{self.path}/snapshots/v={version:012d}").select(*STORED.fieldNames())
@@ -150,41 +151,43 @@ class AccountTable:
         head = self.head()
         if head is None:
             return self.spark.createDataFrame([], STORED)
-        if head.operation == "COMPACT":
+        if not head.deltas:
             return self._snapshot(head.base_version)
-        batches = self._deltas(head.base_batch_id, head.batch_id)
+        batches = self._deltas(head.deltas)
         if head.base_version >= 0:
             batches = self._snapshot(head.base_version).withColumn("batch_id", F.lit(-1).cast("long")).unionByName(batches)
         return fold(batches, self.event_time_guard)
 
-    def apply(self, events: DataFrame, batch_id: int) -> int | None:
-        """Take in one micro-batch and return its number of events.
+    def apply(self, events: DataFrame, batch_id: int, stream: str = "direct") -> int | None:
+        """Take in one micro-batch of a stream and return its number of events.
 
-        A batch that was committed before is skipped (``None``), so a replay changes nothing.
+        A batch that this stream committed before is skipped (``None``), so a replay changes nothing. Batches count up within a
+        stream; the merge order is the order of the commits.
         """
         head = self.head()
-        if head is not None and batch_id <= head.batch_id:
+        last = dict(head.last_batches) if head else {}
+        if batch_id <= last.get(stream, -1):
             return None
-        folder = f"{self.path}/deltas/batch_id={batch_id}"
+        version = head.version + 1 if head else 0
+        folder = f"{self.path}/deltas/version={version}"
         batch_source(events).write.mode("overwrite").parquet(folder)
         accounts, absorbed = self.spark.read.schema(STORED).parquet(folder).agg(
             F.count(F.lit(1)), F.coalesce(F.sum("transaction_count"), F.lit(0))).first()
-        version = head.version + 1 if head else 0
-        base = (head.base_version, head.base_batch_id) if head else (-1, -1)
-        self._commit(version, batch_id, base, "MERGE" if head else "CREATE", accounts)
-        if batch_id - base[1] >= self.compact_every:
+        deltas = [*(head.deltas if head else []), version]
+        self._commit(version, batch_id, head.base_version if head else -1, "MERGE" if head else "CREATE", accounts, deltas, {**last, stream: batch_id})
+        if len(deltas) >= self.compact_every:
             self.compact()
         return absorbed
 
     def compact(self) -> None:
         """Merge all deltas since the last snapshot into the next one, partitioned by country."""
         head = self.head()
-        if head is None or head.operation == "COMPACT":
+        if head is None or not head.deltas:
             return
-        state = fold(self._deltas(head.base_batch_id, head.batch_id), self.event_time_guard)
+        state = fold(self._deltas(head.deltas), self.event_time_guard)
         if head.base_version >= 0:
             state = merge(self._snapshot(head.base_version), state, self.event_time_guard)
         version = head.version + 1
         path = f"{self.path}/snapshots/v={version:012d}"
         state.hint("rebalance", *ACCOUNT_PARTITIONS).write.mode("overwrite").partitionBy(*ACCOUNT_PARTITIONS).parquet(path)
-        self._commit(version, head.batch_id, (version, head.batch_id), "COMPACT", self._snapshot(version).count())
+        self._commit(version, head.batch_id, version, "COMPACT", self._snapshot(version).count(), [], dict(head.last_batches))

@@ -93,10 +93,12 @@ def streaming_source(spark, sf_dir):
 
 
 @query("s2_bounded_topic_read", over_txn(f"""SELECT kafka_partition, COUNT(*) AS records, MIN(o) AS first_offset, MAX(o) AS last_offset FROM
- (SELECT {_PART} AS kafka_partition, {_OFF} AS o FROM txn) WHERE o >= 1000 AND o < 40000 GROUP BY kafka_partition"""))
+ (SELECT {_PART} AS kafka_partition, {_OFF} AS o FROM txn) GROUP BY kafka_partition"""))
 def bounded_read(spark, sf_dir):
+    """From the earliest to the latest offset there is when the read begins."""
     envelope = tp.read_files(spark, transaction_topic(spark, sf_dir))
-    return tp.between_offsets(envelope, 1000, 40000).groupBy(F.col("partition").alias("kafka_partition")).agg(
+    ends = envelope.agg(F.min("offset"), F.max("offset") + 1).first()
+    return tp.between_offsets(envelope, *ends).groupBy(F.col("partition").alias("kafka_partition")).agg(
         F.count(F.lit(1)).alias("records"), F.min("offset").alias("first_offset"), F.max("offset").alias("last_offset"))
 
 
@@ -251,7 +253,7 @@ def upsert_stream(spark, sf_dir):
 
 @query("t6_replayed_batches", over_acct(_STATE))
 def replayed_batches(spark, sf_dir):
-    """All events sent again under batch ids that were committed before."""
+    """All events sent again under batch ids that their stream committed before."""
     run = account_run(spark, sf_dir)
     events = tp.account_updates(tp.read_files(spark, account_topic(spark, sf_dir)), EVENT_WITH_ID)
     for batch_id in (0, 1):

@@ -11,10 +11,11 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.upsert import AccountTable
 from ..sources.schemas import ACCOUNT
 from ..sources.topics import account_updates
+from .identity import Follows
 from .metrics import record_batch
 
 
-class AccountSink:
+class AccountSink(Follows):
     def __init__(self, table: AccountTable, metrics_path: str | None = None):
         self.table, self.metrics_path = table, metrics_path
 
@@ -22,14 +23,17 @@ class AccountSink:
         if events.isEmpty():
             return
         started = time.perf_counter()
-        records = self.table.apply(events, batch_id)
+        stream = self.stream(self.table.spark)
+        records = self.table.apply(events, batch_id, stream)
         if records is not None and self.metrics_path:
             elapsed = (time.perf_counter() - started) * 1000
-            record_batch(self.table.spark, self.metrics_path, batch_id, records, write_ms=elapsed, total_ms=elapsed)
+            record_batch(self.table.spark, self.metrics_path, batch_id, records, write_ms=elapsed, total_ms=elapsed, stream=stream)
 
 
 def start(envelope: DataFrame, sink: AccountSink, checkpoint: str, trigger: dict | None = None,
           schema: T.StructType = ACCOUNT) -> StreamingQuery:
+    if isinstance(sink, Follows):
+        sink.follow(checkpoint)
     return (
         account_updates(envelope, schema).writeStream.foreachBatch(sink)
         .option("checkpointLocation", checkpoint)

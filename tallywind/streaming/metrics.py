@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from .identity import DIRECT
+
 MEASUREMENT = T.StructType([
     T.StructField("batch_id", T.LongType()), T.StructField("rows", T.LongType()),
     T.StructField("write_ms", T.DoubleType()), T.StructField("wall_ms", T.DoubleType()),
@@ -23,13 +25,13 @@ PROGRESS = T.StructType([
 ])
 
 
-def record_batch(spark: SparkSession, path: str, batch_id: int, rows: int, write_ms: float, total_ms: float) -> None:
+def record_batch(spark: SparkSession, path: str, batch_id: int, rows: int, write_ms: float, total_ms: float, stream: str = DIRECT) -> None:
     row = (batch_id, rows, write_ms, total_ms, datetime.now(timezone.utc))
-    spark.createDataFrame([row], MEASUREMENT).coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    spark.createDataFrame([row], MEASUREMENT).coalesce(1).write.mode("overwrite").parquet(f"{path}/stream={stream}/batch={batch_id}")
 
 
 def measurements(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(MEASUREMENT).parquet(f"{path}/*")
+    return spark.read.schema(MEASUREMENT).parquet(f"{path}/*/*")
 
 
 def progress_rows(query: StreamingQuery) -> DataFrame:

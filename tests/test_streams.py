@@ -41,7 +41,7 @@ def test_stream_equals_batch_and_restart_adds_nothing(spark, topic, tmp_path):
     columns = sorted(wanted.columns)
     stored = spark.read.parquet(table)
     assert len(columns) == 27 + 33 + 5
-    assert sorted(stored.columns) == sorted([*columns, "batch_id"])
+    assert sorted(stored.columns) == sorted([*columns, "stream", "batch_id"])
     for a, b in ((stored, wanted), (wanted, stored)):
         assert a.select(columns).exceptAll(b.select(columns)).isEmpty()
     bad = tp.unreadable(decoded)
@@ -86,7 +86,7 @@ def test_compaction_keeps_rows_and_files_shrink(spark, topic, tmp_path):
     for i in range(2):
         sink(decoded.filter(F.col("kafka_offset") % 2 == i), i)
     before = spark.read.parquet(source)
-    after = mn.compact(spark, source, target, TRANSACTION_PARTITIONS, drop=["batch_id"])
+    after = mn.compact(spark, source, target, TRANSACTION_PARTITIONS, drop=["stream", "batch_id"])
     assert after.exceptAll(before.select(after.columns)).isEmpty() and after.count() == before.count()
     assert pf.files(after).count() < pf.files(before).count()
     listed = pf.partition_files(after, target).first()
@@ -139,7 +139,7 @@ def test_late_batches_can_be_guarded(spark, tmp_path):
 def test_uncommitted_delta_is_not_read(spark, tmp_path):
     table = up.AccountTable(spark, str(tmp_path / "accounts"))
     table.apply(frame(spark, event("a", "2026-01-01", 1.0)), 0)
-    up.batch_source(frame(spark, event("a", "2026-01-02", 5.0))).write.parquet(f"{table.path}/deltas/batch_id=1")
+    up.batch_source(frame(spark, event("a", "2026-01-02", 5.0))).write.parquet(f"{table.path}/deltas/version=1")
     assert table.current().first().total_sent == 1.0
     assert table.apply(frame(spark, event("a", "2026-01-02", 7.0)), 1) == 1
     assert table.current().first().total_sent == 8.0
@@ -159,3 +159,31 @@ def test_account_stream(spark, sf_dir, tmp_path):
 def test_kafka_options():
     assert tp.kafka_options("h:1", "t", 5) == {
         "kafka.bootstrap.servers": "h:1", "subscribe": "t", "startingOffsets": "earliest", "failOnDataLoss": "false", "maxOffsetsPerTrigger": "5"}
+
+
+def test_new_checkpoint_loses_and_repeats_nothing(spark, topic, tmp_path):
+    """The checkpoint is lost after half the topic: the next stream starts at batch 0 again, on the same table."""
+    table, sink_of = str(tmp_path / "table"), lambda: txs.TransactionSink(spark, str(tmp_path / "table"))
+    envelope = tp.read_files(spark, topic)
+    for i in range(2):
+        part, checkpoint = str(tmp_path / f"part{i}"), str(tmp_path / f"checkpoint{i}")
+        envelope.filter(F.col("offset") % 2 == i).repartition(2).write.parquet(part)
+        for _ in range(2):  # the second start on the same checkpoint has nothing to do
+            txs.start(tp.stream_files(spark, part, max_files=1), sink_of(), checkpoint, {"availableNow": True}).awaitTermination()
+    decoded = tp.decode(envelope, TRANSACTION)
+    stored, aside = spark.read.parquet(table), spark.read.parquet(f"{table}_quarantine")
+    assert stored.select("stream").distinct().count() == 2 and stored.filter("batch_id = 0").select("stream").distinct().count() == 2
+    assert stored.count() == tp.readable(decoded).count() and aside.count() == tp.unreadable(decoded).count() > 0
+    where = ["topic", "kafka_partition", "kafka_offset"]
+    assert stored.select(where).unionByName(aside.select(where)).exceptAll(decoded.select(where)).isEmpty()
+
+
+def test_account_batches_of_two_streams(spark, tmp_path):
+    table = up.AccountTable(spark, str(tmp_path / "accounts"), compact_every=2)
+    assert table.apply(frame(spark, event("a", "2026-01-01", 1.0)), 0, "one") == 1
+    assert table.apply(frame(spark, event("b", "2026-01-01", 2.0)), 0, "two") == 1
+    assert table.apply(frame(spark, event("a", "2026-01-01", 1.0)), 0, "one") is None
+    assert table.apply(frame(spark, event("a", "2026-01-02", 4.0)), 1, "one") == 1
+    assert {r.account_id: r.total_sent for r in table.current().collect()} == {"a": 5.0, "b": 2.0}
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        table._commit(0, 9, -1, "MERGE", 1, [0], {})
