@@ -112,10 +112,10 @@ def rate_limit(spark, sf_dir):
         (F.max("rows") <= F.sum("rows") / 2).alias("within_limit"), F.sum("rows").alias("records"))
 
 
-@query("s4_json_decode", over_txn("SELECT * EXCLUDE (device_fingerprint, session_id) FROM txn"))
+@query("s4_json_decode", over_txn("SELECT * FROM txn"))
 def json_decode(spark, sf_dir):
     decoded = tp.decode(tp.read_files(spark, transaction_topic(spark, sf_dir)), TRANSACTION)
-    return decoded.select(*[f for f in TRANSACTION.fieldNames() if f not in ("device_fingerprint", "session_id")])
+    return decoded.select(*TRANSACTION.fieldNames())
 
 
 @query("s5_envelope_fields", over_txn(f"""SELECT transaction_id AS kafka_key, 'financial-transactions' AS topic, {_PART} AS kafka_partition,
@@ -231,13 +231,36 @@ def empty_batch(spark, sf_dir):
     return written.agg(F.count(F.lit(1)).alias("records"), (F.max("batch_id") >= 10_000).alias("empty_batch_left_rows"))
 
 
-_STREAMED = ["transaction_id", "txn_year", "txn_month", "currency", "txn_hour", "amount_bucket", "net_amount", "amount_usd",
-             "risk_tier", "needs_review", "corridor", "sender_account_masked", "ip_anonymized", "memo_length", "row_id"]
-
-
-@query("t4_stream_equals_batch", over_enriched(f"SELECT {', '.join(_STREAMED)} FROM enr"))
+@query("t4_stream_equals_batch", over_enriched(f"""SELECT *, transaction_id AS kafka_key, 'financial-transactions' AS topic, {_PART} AS kafka_partition,
+ {_OFF} AS kafka_offset, REPLACE(SUBSTR(timestamp, 1, 19), 'T', ' ') AS kafka_timestamp FROM enr"""))
 def stream_equals_batch(spark, sf_dir):
-    return spark.read.parquet(transaction_run(spark, sf_dir)["stream-table"]).select(*_STREAMED)
+    """Every column of the streamed table."""
+    stored = spark.read.parquet(transaction_run(spark, sf_dir)["stream-table"]).drop("stream", "batch_id")
+    return stored.withColumn("kafka_timestamp", F.date_format("kafka_timestamp", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("t4_damaged_stream", over_txn(f"SELECT NOT ({_BAD}) AS is_readable, COUNT(*) AS records, MIN({_OFF}) AS first_offset, MAX({_OFF}) AS last_offset FROM txn GROUP BY ALL"))
+def damaged_stream(spark, sf_dir):
+    """A stream over damaged records: what is not in the table is beside it."""
+    topic, table, checkpoint = (scratch_path(spark, n) for n in ("damaged-topic", "damaged-table", "damaged-checkpoint"))
+    fx.transaction_envelope(spark, sf_dir, damage=True).write.parquet(topic)
+    sink = txs.TransactionSink(spark, table)
+    txs.start(tp.stream_files(spark, topic), sink, checkpoint, {"availableNow": True}).awaitTermination()
+    coordinates = ["topic", "kafka_partition", "kafka_offset"]
+    both = [spark.read.parquet(path).select(F.lit(ok).alias("is_readable"), *coordinates) for ok, path in ((True, table), (False, sink.quarantine_path))]
+    return both[0].unionByName(both[1]).groupBy("is_readable").agg(
+        F.count(F.lit(1)).alias("records"), F.min("kafka_offset").alias("first_offset"), F.max("kafka_offset").alias("last_offset"))
+
+
+@query("t2_new_checkpoint", over_txn("SELECT currency, COUNT(*) AS records, COUNT(DISTINCT transaction_id) AS transactions FROM txn GROUP BY currency"))
+def new_checkpoint(spark, sf_dir):
+    """The second half of the topic after the checkpoint was lost: batches count from 0 again, on the same table."""
+    table, envelope = scratch_path(spark, "two-checkpoints"), tp.read_files(spark, transaction_topic(spark, sf_dir))
+    for half in (0, 1):
+        topic, checkpoint = scratch_path(spark, "half-topic"), scratch_path(spark, "half-checkpoint")
+        envelope.filter(F.col("offset") % 2 == half).write.parquet(topic)
+        txs.start(tp.stream_files(spark, topic), txs.TransactionSink(spark, table), checkpoint, {"availableNow": True}).awaitTermination()
+    return spark.read.parquet(table).groupBy("currency").agg(F.count(F.lit(1)).alias("records"), F.count_distinct("transaction_id").alias("transactions"))
 
 
 _STATE = f"""SELECT account_id, ANY_VALUE(holder_name) AS holder_name, ANY_VALUE(country) AS country, {total('total_sent')} AS total_sent,
