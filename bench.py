@@ -52,6 +52,7 @@ WORK = {
     "currency_statistics": lambda s, d: consume(ag.currency_statistics(fx.transactions(s, d))),
     "pivot_counts": lambda s, d: consume(ag.type_counts(fx.transactions(s, d))),
     "window_columns": lambda s, d: consume(wn.window_analytics(fx.transactions(s, d))),
+    "window_columns_sliced": lambda s, d: consume(wn.window_analytics(fx.transactions(s, d), rows_per_slice=100_000)),
     "top_three": lambda s, d: consume(wn.top_per_currency(fx.transactions(s, d))),
     "repeat_offenders": lambda s, d: consume(jn.tag_repeat_offenders(fx.transactions(s, d))),
     "circular": lambda s, d: consume(jn.circular(fx.transactions(s, d))),

@@ -50,10 +50,12 @@ def plan_cuts(df: DataFrame, value: Column, rows_per_slice: int) -> Cuts:
     known = F.when(~F.isnan(value), value)
     sketches = df.select(known.alias("_value"), F.spark_partition_id().alias("_part")).groupBy("_part").agg(
         F.count(F.lit(1)).alias("_n"), F.kll_sketch_agg_double("_value", F.lit(SKETCH_SIZE)).alias("_sketch"))
-    total, sketch = _merged_sketch(sketches)
+    sketches = stage(sketches, "sketches")
+    total, last_part = sketches.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_part"), F.lit(0))).first()
     wanted = -(-total // rows_per_slice)
     if wanted <= 1:
         return Cuts((), (), 0)
+    sketch = _merged(sketches, last_part + 1)
     digits = 0
     while digits < 4 and total / 16 ** digits > rows_per_slice:
         digits += 1
@@ -61,23 +63,21 @@ def plan_cuts(df: DataFrame, value: Column, rows_per_slice: int) -> Cuts:
     quantiles = []
     for at in range(0, len(shares), QUANTILES_PER_CALL):
         ranks = F.array(*map(F.lit, shares[at:at + QUANTILES_PER_CALL]))
-        quantiles += sketch.select(F.kll_sketch_get_quantile_double("_sketch", ranks)).first()[0] or []
+        row = sketch.select(F.kll_sketch_get_quantile_double("_sketch", ranks)).first()
+        quantiles += row[0] if row else []
     quantiles.sort()
     repeated = sorted({a for a, b in zip(quantiles, quantiles[1:]) if a == b})
     bounds = sorted({*quantiles, *repeated, *(_after(v) for v in repeated)})
     return Cuts(tuple(bounds), tuple(repeated), digits)
 
 
-def _merged_sketch(sketches: DataFrame) -> tuple[int, DataFrame]:
-    """The row count, and one row with the sketch of all rows (null without values): a bounded number of sketches meet in a task."""
-    level = stage(sketches, "sketches")
-    parts = (level.agg(F.max("_part")).first()[0] or 0) + 1
+def _merged(sketches: DataFrame, parts: int) -> DataFrame:
+    """One row with the sketch of all values, none without values. A bounded number of sketches meet in a task."""
     while parts > 1:
         parts = -(-parts // SKETCHES_PER_TASK)
-        level = stage(level.withColumn("_part", F.floor(F.col("_part") / SKETCHES_PER_TASK)).groupBy("_part").agg(
-            F.sum("_n").alias("_n"), F.kll_merge_agg_double("_sketch").alias("_sketch")), "sketches")
-    row = level.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()
-    return row[0], level.filter(F.col("_sketch").isNotNull() & (F.kll_sketch_get_n_double("_sketch") > 0)).select("_sketch")
+        sketches = stage(sketches.withColumn("_part", F.floor(F.col("_part") / SKETCHES_PER_TASK)).groupBy("_part").agg(
+            F.kll_merge_agg_double("_sketch").alias("_sketch")), "sketches")
+    return sketches.filter(F.col("_sketch").isNotNull() & (F.kll_sketch_get_n_double("_sketch") > 0)).select("_sketch")
 
 
 class OrderedRows:

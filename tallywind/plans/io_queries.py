@@ -8,12 +8,13 @@ from pyspark.sql import types as T
 
 from ..operators import enrich as en
 from ..operators import upsert as up
-from ..session import scratch_path, stage
+from ..session import JobConfig, scratch_path, stage
 from ..sources import fixtures as fx
 from ..sources import tables as tb
 from ..sources import topics as tp
 from ..sources.schemas import ACCOUNT, TRANSACTION, TRANSACTION_PARTITIONS
 from ..streaming import accounts as acs
+from ..streaming import jobs
 from ..streaming import metrics as mt
 from ..streaming import transactions as txs
 from .oracle import over_acct, over_batches, over_enriched, over_txn, total
@@ -104,12 +105,13 @@ def bounded_read(spark, sf_dir):
 
 @query("s3_rate_limit", over_txn("SELECT TRUE AS several_batches, TRUE AS within_limit, COUNT(*) AS records FROM txn"))
 def rate_limit(spark, sf_dir):
-    """Three files per micro-batch at most; every record arrives all the same."""
-    run = transaction_run(spark, sf_dir)
-    fewest = -(-FILES // 3)
-    return mt.measurements(spark, run["stream-metrics"]).agg(
-        (F.count(F.lit(1)) >= fewest).alias("several_batches"),
-        (F.max("rows") <= F.sum("rows") / 2).alias("within_limit"), F.sum("rows").alias("records"))
+    """No micro-batch has more rows than the limit, here two fifths of the topic; every record arrives all the same."""
+    path = transaction_topic(spark, sf_dir)
+    limit = tp.read_files(spark, path).count() * 2 // 5
+    cfg = JobConfig(transactions_path=scratch_path(spark, "limited"), checkpoint_path=scratch_path(spark, "limited-checkpoint"), max_transactions_per_batch=limit)
+    jobs.run_transactions(spark, cfg, tp.stream_files(spark, path, max_rows=cfg.max_transactions_per_batch), once=True).awaitTermination()
+    return mt.measurements(spark, f"{cfg.transactions_path}_metrics").agg(
+        (F.count(F.lit(1)) >= 3).alias("several_batches"), (F.max("rows") <= limit).alias("within_limit"), F.sum("rows").alias("records"))
 
 
 @query("s4_json_decode", over_txn("SELECT * FROM txn"))
@@ -181,6 +183,18 @@ def partitioned_overwrite(spark, sf_dir):
     return tb.read(spark, path).groupBy("currency").agg(F.count(F.lit(1)).alias("rows"), F.sum("generation").alias("replaced"))
 
 
+@query("s9_backfill_job", over_txn("""SELECT * EXCLUDE (moment), CAST(moment AS DATE) AS transaction_date, year(moment) AS txn_year, month(moment) AS txn_month,
+ CASE WHEN amount < 100 THEN 'MICRO' WHEN amount < 10000 THEN 'SMALL' WHEN amount < 100000 THEN 'MEDIUM' ELSE 'LARGE' END AS amount_bucket
+ FROM (SELECT *, CAST(REPLACE(SUBSTR(timestamp, 1, 19), 'T', ' ') AS TIMESTAMP) AS moment FROM txn)"""))
+def backfill_job(spark, sf_dir):
+    """The whole topic into the overwritten table, over an older state of it."""
+    cfg = JobConfig(transactions_path=scratch_path(spark, "backfill"))
+    envelope = tp.read_files(spark, transaction_topic(spark, sf_dir))
+    for part in (envelope.filter("offset < 100"), envelope):
+        path = jobs.run_backfill(spark, cfg, part)
+    return tb.read(spark, path).drop("kafka_key", "topic", "kafka_partition", "kafka_offset", "kafka_timestamp")
+
+
 @query("s10_result_writer", over_txn(f"SELECT currency, status, COUNT(*) AS n, {total('amount')} AS volume FROM txn GROUP BY currency, status"))
 def result_writer(spark, sf_dir):
     path = scratch_path(spark, "s10")

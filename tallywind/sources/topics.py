@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 from .schemas import ENVELOPE
 
+LARGEST_INT = (1 << 31) - 1
+
 
 def kafka_options(servers: str, topic: str, max_per_trigger: int | None = None) -> dict[str, str]:
     """Reader options of a topic: from the earliest offset, tolerating records that were already deleted."""
@@ -29,8 +31,17 @@ def read_kafka(spark: SparkSession, servers: str, topic: str) -> DataFrame:
     return spark.read.format("kafka").options(**kafka_options(servers, topic), endingOffsets="latest").load()
 
 
-def stream_files(spark: SparkSession, path: str, max_files: int | None = None, max_bytes: int | None = None) -> DataFrame:
-    """The same envelope from a folder of Parquet files, with a limit per micro-batch."""
+def files_within(spark: SparkSession, path: str, max_rows: int) -> int:
+    """How many of the folder's files make up at most ``max_rows`` records whichever they are (one at least); from the files' footers."""
+    rows = spark.read.schema(ENVELOPE).parquet(path).groupBy("_metadata.file_path").count().agg(F.max("count")).first()[0]
+    return max(1, max_rows // rows) if rows else 1
+
+
+def stream_files(spark: SparkSession, path: str, max_files: int | None = None, max_bytes: int | None = None, max_rows: int | None = None) -> DataFrame:
+    """The same envelope from a folder of Parquet files, with a limit per micro-batch. A limit of rows is kept in whole files, as large
+    as those that are there when the stream starts."""
+    if max_rows:
+        max_files = min(max_files or LARGEST_INT, files_within(spark, path, max_rows))
     reader = spark.readStream.schema(ENVELOPE)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)

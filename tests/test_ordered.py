@@ -174,3 +174,10 @@ def test_one_row_shuffle_per_step(spark, gaps, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange hashpartitioning") == 2  # the rows and the summary, and none between join and windows
+
+
+def test_no_values_at_all(spark):
+    df = spark.createDataFrame([(str(i), "a", None) for i in range(50)], "id string, key string, value double")
+    got = sorted((r["row_number"], r["rank"]) for r in rank_columns(df, ["key"], F.col("value"), F.md5("id"), True, 5).collect())
+    assert got == [(i + 1, 1) for i in range(50)]
+    assert rank_columns(df.limit(0), ["key"], F.col("value"), F.md5("id"), True, 5).count() == 0
