@@ -1,101 +1,62 @@
-"""Transaction enrichment: 33 derived columns and 4 null fills, one projection per stage."""
+"""Transaction enrichment: a catalogue of 33 derived columns, each an expression over the record's own fields, and 4 filled fields."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as fn
 
-Stage = Callable[[DataFrame], DataFrame]
+# What stands for a null.
+FILLS = {"fee": 0.0, "exchange_rate": 1.0, "sender_country": "XX", "receiver_country": "XX"}
+# Fixed names: every part of the instant, with the function that takes it.
+CLOCK = {
+    "transaction_date": F.to_date, "date_str": lambda at: F.date_format(at, "yyyy-MM-dd"), "is_weekend": lambda at: F.coalesce(F.dayofweek(at).isin(1, 7), F.lit(False)),
+    "txn_year": F.year, "txn_quarter": F.quarter, "txn_month": F.month, "txn_day": F.dayofmonth, "txn_dayofweek": F.dayofweek, "txn_hour": F.hour,
+}
 
 
-def fill_nulls(df: DataFrame) -> DataFrame:
-    return df.withColumns({
-        "currency_safe": F.coalesce("currency", F.lit("USD")),
-        "risk_score_safe": F.coalesce("risk_score", F.lit(0.0)),
-        "memo_clean": F.when(F.col("memo").isNull(), "(no memo)").otherwise(F.trim("memo")),
-    }).na.fill({"fee": 0.0, "exchange_rate": 1.0, "sender_country": "XX", "receiver_country": "XX"})
+def filled(name: str) -> Column:
+    return F.coalesce(F.col(name), F.lit(FILLS[name]))
 
 
-def time_dimensions(df: DataFrame) -> DataFrame:
-    """Every date part comes from one parsed instant, read in the session zone (UTC)."""
+def clock() -> dict[str, Column]:
+    """Every part comes from one parsed instant, read in the session zone (UTC)."""
     at = fn.event_time(F.col("timestamp"))
-    return df.withColumns({
-        "transaction_date": F.to_date(at),
-        "txn_year": F.year(at),
-        "txn_month": F.month(at),
-        "txn_day": F.dayofmonth(at),
-        "txn_hour": F.hour(at),
-        "txn_dayofweek": F.dayofweek(at),
-        "is_weekend": F.coalesce(F.dayofweek(at).isin(1, 7), F.lit(False)),
-        "txn_quarter": F.quarter(at),
-        "date_str": F.date_format(at, "yyyy-MM-dd"),
-    })
-
-
-def amount_features(df: DataFrame) -> DataFrame:
-    amount = F.col("amount")
-    fee = F.coalesce("fee", F.lit(0.0))
-    rate = F.coalesce("exchange_rate", F.lit(1.0))
-    return df.withColumns({
-        "amount_bucket": fn.amount_bucket(amount),
-        "net_amount": fn.difference(amount, fee),
-        "fee_pct": F.when(amount > 0, F.round(F.col("fee") / amount * 100, 4)),
-        "amount_usd": fn.product(amount, rate),
-        "log_amount": fn.log_amount(amount),
-    })
-
-
-def risk_features(df: DataFrame) -> DataFrame:
-    score = F.col("risk_score")
-    return df.withColumns({
-        "risk_tier": fn.risk_tier(score),
-        "risk_level": fn.risk_level(score),
-        "needs_review": fn.needs_review(score, F.col("is_flagged"), F.col("amount")),
-    })
-
-
-def geo_features(df: DataFrame) -> DataFrame:
-    return df.withColumns({
-        "is_cross_border": F.col("sender_country") != F.col("receiver_country"),
-        "corridor": F.concat_ws("→", F.upper("sender_country"), F.upper("receiver_country")),
-        "is_intra_bank": F.col("sender_bank_code") == F.col("receiver_bank_code"),
-    })
-
-
-def anonymized(df: DataFrame) -> DataFrame:
-    return df.withColumns({
-        "sender_hash": F.sha2("sender_name", 256),
-        "receiver_hash": F.sha2("receiver_name", 256),
-        "sender_account_masked": fn.mask_account(F.col("sender_account")),
-        "receiver_account_masked": fn.mask_account(F.col("receiver_account")),
-        "ip_anonymized": fn.anonymize_ip(F.col("ip_address")),
-    })
+    return {name: part(at) for name, part in CLOCK.items()}
+
+
+def catalogue() -> dict[str, Column]:
+    """All derived columns by name. None reads another derived one, so one projection computes them in any order."""
+    c, fee, rate = F.col, filled("fee"), filled("exchange_rate")
+    ends = [filled(f"{end}_country") for end in ("sender", "receiver")]
+    columns = {
+        **clock(),
+        "currency_safe": F.coalesce(c("currency"), F.lit("USD")), "risk_score_safe": F.coalesce(c("risk_score"), F.lit(0.0)),
+        "amount_bucket": fn.amount_bucket(c("amount")), "log_amount": fn.log_amount(c("amount")),
+        "net_amount": fn.difference(c("amount"), fee), "amount_usd": fn.product(c("amount"), rate),
+        "fee_pct": F.when(c("amount") > 0, F.round(fee / c("amount") * 100, 4)),
+        "risk_tier": fn.risk_tier(c("risk_score")), "risk_level": fn.risk_level(c("risk_score")),
+        "needs_review": fn.needs_review(c("risk_score"), c("is_flagged"), c("amount")),
+        "corridor": F.concat_ws("→", *map(F.upper, ends)), "is_cross_border": ends[0] != ends[1],
+        "is_intra_bank": c("sender_bank_code") == c("receiver_bank_code"),
+        "memo_clean": F.coalesce(F.trim("memo"), F.lit("(no memo)")), "memo_length": F.length("memo"), "has_memo": F.coalesce(F.length("memo") > 0, F.lit(False)),
+        "row_id": F.sha2("transaction_id", 256), "ip_anonymized": fn.anonymize_ip(c("ip_address")),
+    }
+    for end in ("sender", "receiver"):
+        columns |= {f"{end}_hash": F.sha2(f"{end}_name", 256), f"{end}_account_masked": fn.mask_account(c(f"{end}_account"))}
+    return columns | {short: F.substring(name, 1, 8) for short, name in (("device_short_id", "device_fingerprint"), ("session_prefix", "session_id"))}
 
 
-def session_features(df: DataFrame) -> DataFrame:
-    return df.withColumns({
-        "device_short_id": F.substring("device_fingerprint", 1, 8),
-        "session_prefix": F.substring("session_id", 1, 8),
-        "memo_length": F.length("memo"),
-        "has_memo": F.col("memo").isNotNull() & (F.length("memo") > 0),
-        "row_id": F.sha2("transaction_id", 256),
-    })
-
-
-# Null fills come first: the amount and geography stages read the filled columns.
-STAGES = [fill_nulls, time_dimensions, amount_features, risk_features, geo_features, anonymized, session_features]
+def time_dimensions(df: DataFrame) -> DataFrame:
+    return df.withColumns(clock())
 
 
-def enrich(df: DataFrame, done: Sequence[Stage] = ()) -> DataFrame:
-    """All stages in order, but for those already ``done``."""
-    for step in STAGES:
-        if step not in done:
-            df = df.transform(step)
-    return df
+def enrich(df: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
+    """The whole catalogue and the filled fields in one projection, but for the columns to ``keep``, which ``df`` has already."""
+    return df.withColumns({name: e for name, e in catalogue().items() if name not in set(keep)} | {name: filled(name) for name in FILLS})
 
 
 def backfill(df: DataFrame) -> DataFrame:
