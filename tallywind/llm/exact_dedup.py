@@ -62,9 +62,18 @@ def exact_groups(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
         F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def row_identity():
+    """Digest of a row's id and text: the same whenever it is computed, so the texts need not be written to be found again."""
+    return F.unhex(F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text")), 256))
+
+
+def rows_of(docs: DataFrame, stay: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose identity is in ``stay`` (column ``row``), one of each; the texts are shuffled once."""
+    found = docs.withColumn("_tallywind_row", row_identity()).join(stay.withColumnRenamed("row", "_tallywind_row"), "_tallywind_row", "left_semi")
+    return found.dropDuplicates(["_tallywind_row"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def drop_copies(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    numbered = stage(docs.withColumn("_tallywind_row", F.monotonically_increasing_id()), "numbered")
-    prints = stage(_fingerprints(numbered, F.col("_tallywind_row")), "digests")
-    stay = resolve(prints, fan_in).filter(F.col("row") == F.col("keep.row")).select(F.col("row").alias("_tallywind_row"))
-    return numbered.join(stay, "_tallywind_row", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    prints = stage(_fingerprints(docs, row_identity()), "digests")
+    return rows_of(docs, stage(resolve(prints, fan_in).filter(F.col("row") == F.col("keep.row")).select("row"), "staying"))

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from tallywind.session import stage
 
 from .components import components
+from .exact_dedup import row_identity, rows_of
 from .flat import flat_bytes, mix, ngram_hashes, slices, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -218,14 +219,11 @@ def _classes(numbered: DataFrame, row, similarity: float) -> DataFrame:
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: ``doc_id, class_id, n_links, copies``."""
-    identity = F.unhex(F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"), 256))
-    found = _classes(docs.select("doc_id", "text"), identity, similarity)
+    found = _classes(docs.select("doc_id", "text"), row_identity(), similarity)
     return found.select("doc_id", F.col("class.doc_id").alias("class_id"), "n_links", "copies")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` with the smallest id of their class (one of equal rows), with all their columns."""
-    numbered = stage(docs.withColumn("_tallywind_row", F.monotonically_increasing_id()), "numbered")
-    found = _classes(numbered, F.col("_tallywind_row"), similarity)
-    stay = found.filter(F.col("row") == F.col("class.row")).select(F.col("row").alias("_tallywind_row"))
-    return numbered.join(stay, "_tallywind_row", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    found = _classes(docs.select("doc_id", "text"), row_identity(), similarity)
+    return rows_of(docs, stage(found.filter(F.col("row") == F.col("class.row")).select("row"), "staying"))
