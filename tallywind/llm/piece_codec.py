@@ -31,7 +31,7 @@ from .flat import slices
 MARKER = "▁"
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 UNIGRAM, BPE = 1, 2
-CACHE, TOGETHER = 800_000, 500
+CACHE, TOGETHER = 300_000, 500
 _RUNS = re.compile(" *[^ ]+| +")
 
 
