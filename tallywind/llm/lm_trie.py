@@ -1,18 +1,21 @@
-"""Language-model scores from an Elias-Fano trie of the corpus' words and word pairs, mapped from the shared folder.
+"""Language-model scores from an Elias-Fano trie of the corpus' words, word pairs and triples, mapped from the shared folder.
 
-Level 1 has the distinct words (sorted 64-bit hashes; a word's number is its rank) with their counts. Level 2 has the pairs: the number
-of a pair is context * V + word, a monotone sequence over all contexts, cut into shards of about ``SHARD_PAIRS`` tokens at places that
-the counts of level 1 give, so a context of any frequency is spread over as many shards as it needs. A shard keeps its part in
-Elias-Fano form, with monotone pointers to where each context's successors begin, and per pair the smoothed log10 probability, per
-context its interpolation weight, in 16 bits each (steps of 1/4096, an error of at most 0.00013). A pair is found by a successor search
-relative to its context: in the shard, from the context's pointer on.
+Level 1 has the distinct words (sorted 64-bit hashes; a word's number is its rank) with their counts. Level 2 has the pairs: the key
+of a pair is context * V + word, a monotone sequence over all contexts, and its number is its rank. Level 3 has the triples in the same
+way, with the number of a pair as the context (``order`` levels are built: 2, or 3 with triples). A level is cut into shards of about
+``SHARD_PAIRS`` tokens at places that the counts of the level before give, so a context of any frequency is spread over as many shards
+as it needs. A shard keeps its part in Elias-Fano form, with monotone pointers to where each context's successors begin, and per pair or
+triple the smoothed log10 probability, per context its interpolation weight, in 16 bits each (steps of 1/4096, an error of at most
+0.00013 in each of the up to three steps). A gram is found by a successor search relative to its context, from the context's pointer on.
 
-Smoothing: absolute discounts by count (1, 2, 3 and more), estimated from the counts of counts over all pairs, interpolated with the
-word frequencies (c + 0.5) / (N + 0.5 (V + 1)), which leave 0.5 for a word never seen; the probabilities of a context add up to one.
-The end of a text is a word, and the context of the first.
+Smoothing: absolute discounts by count (1, 2, 3 and more), estimated from the counts of counts over all grams of a level, interpolated
+with the probability after the context shorter by one, and at last with the word frequencies (c + 0.5) / (N + 0.5 (V + 1)), which leave
+0.5 for a word never seen; the probabilities of a context add up to one. The end of a text is a word, and the context of the first,
+which has no longer one. After a pair never seen the shorter context counts alone.
 
-Counts come from every training text, whole. Building is three distributed passes (words; pairs, sent to their shard as compressed sorted
-runs; probabilities), scoring is one without a shuffle: its tasks map the files and touch the pages they need, so memory stays bounded.
+Counts come from every training text, whole; no pair or triple is left out. Building is three distributed passes for words and pairs and
+two more for triples (counts, sent to their shard as compressed sorted runs; probabilities), scoring is one without a shuffle: its tasks
+map the files and touch the pages they need, so memory stays bounded. Keys have 63 bits: the number of pairs times V has to fit.
 
 Null and empty texts are one end. Repeated rows count and are scored each. Without training rows every word is unknown, with N = V = 0.
 An empty table gives an empty result. Other columns are ignored.
@@ -37,6 +40,7 @@ from .quality_knn import fold
 
 END = np.int64(0x1E6E0F7A5B3C2D11)
 SHARD_WORDS, SHARD_PAIRS, HELD_PAIRS, OPEN_FILES = 1 << 21, 1 << 21, 1 << 21, 256
+ORDER = 3
 STEP = 4096
 
 
@@ -51,16 +55,35 @@ def token_stream(batch) -> tuple[np.ndarray, np.ndarray]:
     return out, np.concatenate([[0], ends + 1])
 
 
+def grams(batch) -> tuple[np.ndarray, ...]:
+    """Before each text so many tokens; the distinct words; each token's place among them; the distinct pairs (place of the context *
+    number of words + place of the word); each token's place among those. All sorted."""
+    stream, before = token_stream(batch)
+    unique, where = np.unique(stream, return_inverse=True)
+    ahead = np.empty_like(where)
+    ahead[1:] = where[:-1]
+    ahead[before[:-1]] = np.searchsorted(unique, END)
+    pair, pair_where = np.unique(ahead * len(unique) + where, return_inverse=True)
+    return before, unique, where, pair, pair_where
+
+
+def with_two_before(before: np.ndarray) -> np.ndarray:
+    """Tokens that follow a pair: all but the first of each text."""
+    inner = np.ones(before[-1], bool)
+    inner[before[:-1]] = False
+    return np.flatnonzero(inner)
+
+
 def pack_log(p: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-np.log10(np.maximum(p, 1e-300)) * STEP), 0, 65535).astype("<u2")
 
 
 @dataclass(frozen=True)
 class Trie:
-    """Where the files are and the totals. Shards are listed in order: level 1 by the first hash, level 2 by the first pair."""
+    """Where the files are and the totals. Shards are listed in order: level 1 by the first hash, the others by the first key."""
 
     words: list[tuple[int, int, str]]  # first hash, number of its first word, file
-    pairs: list[tuple[int, str]]  # first pair, file
+    levels: list[list[tuple[int, int, str]]]  # of pairs and of triples: first key, number of the first gram, file
     tokens: int
     distinct: int
 
@@ -74,7 +97,8 @@ class Reader:
     def __init__(self, trie: Trie):
         self.trie, self.open = trie, OrderedDict()
         self.first_hash = np.array([w[0] for w in trie.words], np.int64)
-        self.first_pair = np.array([p[0] for p in trie.pairs], np.int64)
+        self.first_key = [np.array([x[0] for x in level], np.int64) for level in trie.levels]
+        self.first_gram = [np.array([x[1] for x in level], np.int64) for level in trie.levels]
 
     def _mapped(self, path: str):
         if path not in self.open:
@@ -97,12 +121,13 @@ class Reader:
                 number[a:b][known], count[a:b][known] = base + i[known], views["count"][i[known]]
         return number, count
 
-    def pairs(self, context: np.ndarray, word: np.ndarray, word_base: np.ndarray) -> np.ndarray:
-        """log10 probability of each (context, word), sorted by both; contexts known, words perhaps not (-1)."""
-        v, out = self.trie.distinct, np.log10(word_base)
+    def follow(self, depth: int, context: np.ndarray, word: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number (-1 if never seen) and log10 probability of each (context, word), sorted by both; contexts known, words perhaps not
+        (-1). ``lower`` is the log10 probability after the context shorter by one."""
+        v, number, out = self.trie.distinct, np.full(len(context), -1, np.int64), lower.copy()
         key = np.maximum.accumulate(context * v + np.maximum(word, 0))  # an unknown word stays where its context is
-        cuts = np.searchsorted(key, self.first_pair)
-        for (_, path), a, b in zip(self.trie.pairs, cuts, [*cuts[1:], len(key)]):
+        cuts = np.searchsorted(key, self.first_key[depth])
+        for (_, base, path), a, b in zip(self.trie.levels[depth], cuts, [*cuts[1:], len(key)]):
             if a == b:
                 continue
             head, views, sequences = self._mapped(path)
@@ -115,26 +140,38 @@ class Reader:
             found = np.zeros(b - a)
             found[inside] = -views["code"][i[inside]].astype(np.float64) / STEP
             out[a:b] = np.where(inside, found, weight + out[a:b])
+            number[a:b][inside] = base + i[inside]
+        return number, out
+
+    def last_words(self, pairs: np.ndarray) -> np.ndarray:
+        """The second word of pairs given by their sorted numbers."""
+        out = np.empty(len(pairs), np.int64)
+        cuts = np.searchsorted(pairs, self.first_gram[0])
+        for (_, base, path), a, b in zip(self.trie.levels[0], cuts, [*cuts[1:], len(pairs)]):
+            if a < b:
+                head, _, sequences = self._mapped(path)
+                out[a:b] = (sequences["pair"].access(pairs[a:b] - base) + head["first"]) % self.trie.distinct
         return out
 
     def score(self, batch) -> tuple[np.ndarray, ...]:
         """Tokens, known tokens, base score and score of each text."""
-        stream, before = token_stream(batch)
-        unique, where = np.unique(stream, return_inverse=True)
+        before, unique, where, pair, pair_where = grams(batch)
         number, count = self.words(unique)
-        base = self.trie.base(count)
-        logs = np.log10(base)
+        logs = np.log10(self.trie.base(count))
         text = np.repeat(np.arange(len(before) - 1), np.diff(before))
-        ahead = np.empty_like(where)
-        ahead[1:] = where[:-1]
-        ahead[before[:-1]] = np.searchsorted(unique, END)
-        pair, pair_where = np.unique(ahead * len(unique) + where, return_inverse=True)
         context, word = pair // len(unique), pair % len(unique)
-        score = logs[word].copy()
+        score, pair_number = logs[word], np.full(len(pair), -1, np.int64)
         known = number[context] >= 0
-        score[known] = self.pairs(number[context[known]], number[word[known]], base[word[known]])
+        if self.trie.levels:
+            pair_number[known], score[known] = self.follow(0, number[context[known]], number[word[known]], score[known])
+        each = score[pair_where]
+        if len(self.trie.levels) > 1:
+            at = with_two_before(before)
+            at = at[pair_number[pair_where[at - 1]] >= 0]
+            triple, first, triple_where = np.unique(pair_where[at - 1] * len(unique) + where[at], return_index=True, return_inverse=True)
+            each[at] = self.follow(1, pair_number[triple // len(unique)], number[triple % len(unique)], each[at[first]])[1][triple_where]
         rows = len(before) - 1
-        return (np.diff(before), np.bincount(text, count[where] > 0, rows).astype(np.int64), np.bincount(text, logs[where], rows), np.bincount(text, score[pair_where], rows))
+        return (np.diff(before), np.bincount(text, count[where] > 0, rows).astype(np.int64), np.bincount(text, logs[where], rows), np.bincount(text, each, rows))
 
 
 def _partitions(df: DataFrame) -> int:
@@ -186,17 +223,23 @@ def _word_level(texts: DataFrame, folder: str) -> Trie:
     return Trie(words, [], int(totals.n), int(totals.v))
 
 
+def _cuts(seen: int, count: np.ndarray, base: int, v: int) -> list[int]:
+    """First keys of the next level's shards within these contexts, the first of them number ``base`` and after ``seen`` tokens: equal
+    shares of the tokens, a context's tokens spread evenly over its possible successors."""
+    total, step = seen + np.cumsum(count.astype(np.int64)), SHARD_PAIRS
+    marks = np.arange((seen // step + 1) * step, int(total[-1]) + 1, step)
+    i = np.searchsorted(total, marks)
+    share = (marks - (total[i] - count[i])) / count[i]
+    return [int(x) for x in (base + i) * v + np.minimum((share * v).astype(np.int64), v - 1)]
+
+
 def _bounds(trie: Trie) -> np.ndarray:
-    """First pairs of the level-2 shards: equal shares of the tokens, a context's tokens spread evenly over its possible successors."""
-    reader, v, out, seen, step = Reader(trie), trie.distinct, [0], 0, SHARD_PAIRS
+    """First keys of the level-2 shards."""
+    reader, out, seen = Reader(trie), [0], 0
     for _, base, path in trie.words:
         _, views, _ = reader._mapped(path)
-        total = seen + np.cumsum(views["count"])
-        marks = np.arange(max(seen // step + 1, 1) * step, int(total[-1]) + 1, step)
-        i = np.searchsorted(total, marks)
-        share = (marks - (total[i] - views["count"][i])) / views["count"][i]
-        out += [int(x) for x in (base + i) * v + np.minimum((share * v).astype(np.int64), v - 1)]
-        seen = int(total[-1])
+        out += _cuts(seen, views["count"], base, trie.distinct)
+        seen += int(views["count"].sum())
     return np.unique(np.array(out, np.int64))
 
 
@@ -219,10 +262,10 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def _pair_counts(texts: DataFrame, trie: Trie, bounds: np.ndarray, folder: str) -> DataFrame:
-    """Write the merged pairs of each shard; ``shard, path, n1..n4, begins, began, ends, ended`` (the border contexts and how many
-    pairs of each discount class they have here)."""
-    v = trie.distinct
+def _gram_counts(texts: DataFrame, trie: Trie, bounds: np.ndarray, folder: str) -> DataFrame:
+    """Write the merged pairs (or triples, if ``trie`` has the pairs) of each shard; ``shard, path, size, tokens, n1..n4, begins, began,
+    ends, ended`` (the border contexts: how many grams of each discount class and how many tokens they have here)."""
+    v, depth = trie.distinct, len(trie.levels)
 
     def emit(keys, counts):
         keys, counts = summed(np.concatenate(keys), np.concatenate(counts))
@@ -233,13 +276,14 @@ def _pair_counts(texts: DataFrame, trie: Trie, bounds: np.ndarray, folder: str)
     def count(batches):
         reader, keys, counts, held = Reader(trie), [], [], 0
         for batch in slices(batches):
-            stream, before = token_stream(batch)
-            unique, where = np.unique(stream, return_inverse=True)
-            number = reader.words(unique)[0][where]
-            ahead = np.empty_like(number)
-            ahead[1:] = number[:-1]
-            ahead[before[:-1]] = reader.words(np.array([END]))[0][0]
-            k, n = np.unique(ahead * v + number, return_counts=True)
+            before, unique, where, pair, pair_where = grams(batch)
+            number = reader.words(unique)[0]
+            context, word = number[pair // len(unique)], number[pair % len(unique)]
+            if depth:
+                pairs, at = reader.follow(0, context, word, np.zeros(len(pair)))[0], with_two_before(before)
+                k, n = np.unique(pairs[pair_where[at - 1]] * v + number[where[at]], return_counts=True)
+            else:
+                k, n = context * v + word, np.bincount(pair_where, minlength=len(pair))
             keys.append(k)
             counts.append(n)
             held += len(k)
@@ -250,20 +294,20 @@ def _pair_counts(texts: DataFrame, trie: Trie, bounds: np.ndarray, folder: str)
             yield emit(keys, counts)
 
     def classes(n):
-        return [int((n == 1).sum()), int((n == 2).sum()), int((n > 2).sum())]
+        return [int((n == 1).sum()), int((n == 2).sum()), int((n > 2).sum()), int(n.sum())]
 
     def write(batches):
         shard, keys, counts = None, [], []
 
         def close():
             k, n = summed(np.concatenate(keys), np.concatenate(counts))
-            path = files.fresh_name(folder, f"pairs-{shard:06d}", "run")
-            write_arrays(path, {}, {"key": k, "count": n.astype("<u4")})
+            path = files.fresh_name(folder, f"grams{depth + 2}-{shard:06d}", "run")
+            files.write_bytes(path, pack_run(k, n))
             low, high = int(k[0]) // v, int(k[-1]) // v
             a, b = np.searchsorted(k, [(low + 1) * v, high * v])
             return pa.RecordBatch.from_arrays(
-                [pa.array([x]) for x in (shard, path, *(int((n == i).sum()) for i in (1, 2, 3, 4)), low, classes(n[:a]), high, classes(n[b:]))],
-                names=["shard", "path", "n1", "n2", "n3", "n4", "begins", "began", "ends", "ended"])
+                [pa.array([x]) for x in (shard, path, len(k), int(n.sum()), *(int((n == i).sum()) for i in (1, 2, 3, 4)), low, classes(n[:a]), high, classes(n[b:]))],
+                names=["shard", "path", "size", "tokens", "n1", "n2", "n3", "n4", "begins", "began", "ends", "ended"])
 
         for batch in batches:
             for s, n, run in zip(batch.column("shard").to_pylist(), batch.column("n").to_pylist(), batch.column("run")):
@@ -280,27 +324,30 @@ def _pair_counts(texts: DataFrame, trie: Trie, bounds: np.ndarray, folder: str)
             yield close()
 
     runs = texts.mapInArrow(count, "shard long, n long, run binary").repartition(_partitions(texts), "shard").sortWithinPartitions("shard")
-    return stage(runs.mapInArrow(write, "shard long, path string, n1 long, n2 long, n3 long, n4 long, begins long, began array<long>, ends long, ended array<long>"), "pair-shards")
+    return stage(runs.mapInArrow(write, "shard long, path string, size long, tokens long, n1 long, n2 long, n3 long, n4 long, begins long, began array<long>, ends long, ended array<long>"), "gram-shards")
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
-    """What pairs seen once, twice and more often give away (Chen and Goodman), held between 0 and the count."""
+    """What grams seen once, twice and more often give away (Chen and Goodman), held between 0 and the count."""
     y = n1 / max(n1 + 2 * n2, 1)
     raw = [1 - 2 * y * n2 / max(n1, 1), 2 - 3 * y * n3 / max(n2, 1), 3 - 4 * y * n4 / max(n3, 1)]
     return np.clip(raw, 0.05, [0.99, 1.98, 2.97])
 
 
-def _pair_level(merged: DataFrame, trie: Trie, bounds: np.ndarray, folder: str) -> Trie:
+def _gram_level(merged: DataFrame, trie: Trie, bounds: np.ndarray, contexts: int, folder: str) -> tuple[Trie, int, np.ndarray]:
+    """The trie with one more level, the number of its grams, and the first keys of the shards of the level after it."""
     rows = sorted(merged.collect(), key=lambda r: r.shard)  # a row per shard of some two million tokens
     drop = discounts(*(sum(r[f"n{i}"] for r in rows) for i in (1, 2, 3, 4)))
-    border: dict[int, np.ndarray] = {}  # classes of the contexts that several shards share
+    border: dict[int, np.ndarray] = {}  # classes and tokens of the contexts that several shards share
     for r in rows:
         border[r.begins] = border.get(r.begins, 0) + np.array(r.began)
         if r.ends != r.begins:
             border[r.ends] = border.get(r.ends, 0) + np.array(r.ended)
-    v = trie.distinct
-    opens = [int(bounds[r.shard]) for r in rows]  # a shard answers for all pairs, seen or not, up to where the next begins
-    span = {r.shard: (a, b) for r, a, b in zip(rows, opens, [*opens[1:], v * v])}
+    v, depth = trie.distinct, len(trie.levels)
+    opens = [0, *(int(bounds[r.shard]) for r in rows[1:])]  # a shard answers for all grams, seen or not, up to where the next begins
+    bases = [0, *(int(x) for x in np.cumsum([r["size"] for r in rows]))]
+    seen = [0, *(int(x) for x in np.cumsum([r.tokens for r in rows]))]
+    span = {r.shard: (a, b, r["size"], base, before) for r, a, b, base, before in zip(rows, opens, [*opens[1:], contexts * v], bases, seen)}
 
     def write(batches):
         reader = Reader(trie)
@@ -314,48 +361,64 @@ def _pair_level(merged: DataFrame, trie: Trie, bounds: np.ndarray, folder: str)
                 out[where == s] = views["count"][numbers[where == s] - starts[s]]
             return out
 
+        def lower(context, word):
+            """Probability of each word after the context shorter by one."""
+            if not depth:
+                return trie.base(count_of(word))
+            pairs, where = np.unique(context, return_inverse=True)
+            ahead = reader.last_words(pairs)[where]
+            order = np.lexsort((word, ahead))
+            out = np.empty(len(word))
+            out[order] = 10 ** reader.follow(0, ahead[order], word[order], np.zeros(len(word)))[1]
+            return out
+
         for batch in batches:
             for s, source in zip(batch.column("shard").to_pylist(), batch.column("path").to_pylist()):
-                _, run = open_arrays(source)
-                key, n = np.asarray(run["key"]), run["count"].astype(np.int64)
+                first, after, size, base, before = span[s]
+                key, n = unpack_run(size, files.read_bytes(source))
                 context, word = key // v, key % v
-                first, after = span[s]
                 low, high = first // v, (after - 1) // v
                 kind = np.minimum(n, 3) - 1
-                numbers = np.arange(low, high + 1)
-                total = count_of(numbers).astype(np.float64)
-                given = np.bincount(context - low, drop[kind], high - low + 1)
-                for c in (low, high):
-                    given[c - low] = float(border[c] @ drop)
-                weight = given / total
-                p = (n - drop[kind]) / total[context - low] + weight[context - low] * trie.base(count_of(word))
+                given, total = np.bincount(context - low, drop[kind], high - low + 1), np.bincount(context - low, n, high - low + 1)
+                for c in {low, high} & border.keys():
+                    given[c - low], total[c - low] = float(border[c][:3] @ drop), border[c][3]
+                weight = given / np.maximum(total, 1)  # a pair with the end of a text has no successors and is never a context
+                p = (n - drop[kind]) / total[context - low] + weight[context - low] * lower(context, word)
                 pair_head, pair = EliasFano.encode(key - first, after - first)
                 pointer_head, pointer = EliasFano.encode(np.searchsorted(context, np.arange(low, high + 2)), len(key) + 1)
-                path = files.fresh_name(folder, f"pairs-{s:06d}", "lm")
+                path = files.fresh_name(folder, f"grams{depth + 2}-{s:06d}", "lm")
                 write_arrays(path, {"first": first, "context": low, "pair": pair_head, "pointer": pointer_head},
                              {**{f"pair.{k}": a for k, a in pair.items()}, **{f"pointer.{k}": a for k, a in pointer.items()}, "code": pack_log(p), "weight": pack_log(weight)})
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([first]), pa.array([path])], names=["shard", "first", "path"])
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([first]), pa.array([base]), pa.array([path]), pa.array([_cuts(before, n, base, v)], pa.list_(pa.int64()))],
+                                                 names=["shard", "first", "base", "path", "cuts"])
 
-    done = stage(merged.select("shard", "path").repartition(max(1, len(rows)), "shard").mapInArrow(write, "shard long, first long, path string"), "pair-level")
-    pairs = [(r.first, r.path) for r in sorted(done.collect(), key=lambda r: r.shard)]
-    return Trie(trie.words, pairs, trie.tokens, trie.distinct)
+    done = stage(merged.select("shard", "path").repartition(max(1, len(rows)), "shard").mapInArrow(write, "shard long, first long, base long, path string, cuts array<long>"), "gram-level")
+    shards = sorted(done.collect(), key=lambda r: r.shard)
+    level = [(r.first, r.base, r.path) for r in shards]
+    return Trie(trie.words, [*trie.levels, level], trie.tokens, trie.distinct), bases[-1], np.unique(np.array([0, *(c for r in shards for c in r.cuts)], np.int64))
 
 
-def build_trie(texts: DataFrame, folder: str | None = None) -> Trie:
+def build_trie(texts: DataFrame, folder: str | None = None, order: int = 2) -> Trie:
     """The trie of all ``text`` rows, in files below ``folder`` (by default in the shared folder)."""
+    if order not in (2, 3):
+        raise ValueError("a trie has two or three levels")
     texts = texts.select("text")
     folder = folder or scratch_path(texts.sparkSession, "lm")
     trie = _word_level(texts, folder)
     if not trie.distinct:
         return trie
-    bounds = _bounds(trie)
-    return _pair_level(_pair_counts(texts, trie, bounds, folder), trie, bounds, folder)
+    contexts, bounds = trie.distinct, _bounds(trie)
+    for _ in range(order - 1):
+        if contexts * trie.distinct >= 1 << 63:
+            raise OverflowError(f"{contexts} contexts of {trie.distinct} words do not fit keys of 63 bits")
+        trie, contexts, bounds = _gram_level(_gram_counts(texts, trie, bounds, folder), trie, bounds, contexts, folder)
+    return trie
 
 
-def lm_scores(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
-    """Learn from the rows that are not held out and score all: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
+def lm_scores(docs: DataFrame, held_out: Column | None = None, order: int = 2) -> DataFrame:
+    """Learn grams of up to ``order`` words from the rows that are not held out and score all: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
     held_out = fold(F.col("doc_id"), 5) == 1 if held_out is None else held_out
-    trie = build_trie(docs.filter(~held_out))
+    trie = build_trie(docs.filter(~held_out), order=order)
 
     def run(batches):
         reader = Reader(trie)

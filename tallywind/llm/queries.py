@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from . import decontaminate, exact_dedup, jaccard_join, lm_trie, pii, piece_codec, quality_knn, sql, suffix_dedup, token_output, toxic_segments
 from .shipping import ship
 
@@ -22,7 +24,7 @@ def _over_documents(operator, *others):
 QUERIES = {
     "op1_token_shards": _over_documents(token_output.token_digests),
     "op2_suffix_dedup": _over_documents(suffix_dedup.removed_substrings),
-    "op3_lm_trie": _over_documents(lm_trie.lm_scores),
+    "op3_lm_trie": _over_documents(partial(lm_trie.lm_scores, order=lm_trie.ORDER)),
     "op4_piece_codec": _over_documents(piece_codec.codec_digests),
     "op5_quality_knn": _over_documents(quality_knn.quality_scores, "labels"),
     "op6_decontamination": _over_documents(decontaminate.leaks, "benchmark"),

@@ -115,6 +115,60 @@ def test_language_model(request, plain, monkeypatch, which, pairs, words):
             assert sum(pair(context, w) for w in count) + given[context] / count[context] * base("never") == pytest.approx(1)
 
 
+@pytest.mark.parametrize("pairs, words", [(1 << 21, 1 << 21), (400, 300), (7, 3)])
+@pytest.mark.parametrize("which", ["few", "odd_docs", "no_docs"])
+def test_language_model_of_triples(request, spark, plain, monkeypatch, which, pairs, words):
+    monkeypatch.setattr(lm_trie, "SHARD_PAIRS", pairs)
+    monkeypatch.setattr(lm_trie, "SHARD_WORDS", words)
+    if pairs < 100 and which != "few":
+        pytest.skip("many shards only on the small table")
+    draw = random.Random(11)
+    text = lambda n: " ".join(draw.choices("abcdefgh", [9, 5, 4, 2, 1, 1, 1, 1], k=n))
+    few = [(i, text(i % 9)) for i in range(30)] + [(i, None) for i in (100, 101)] + [(200, "new words a b"), (201, "a new b")]
+    df = spark.createDataFrame(few, "doc_id long, text string") if which == "few" else request.getfixturevalue(which)
+    rows = lm_trie.lm_scores(df, order=3).collect()
+    held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 5 == 1
+    texts = [(d, [*brute.words(t), None]) for d, t in plain(df)]
+    train = [t for d, t in texts if not held(d)]
+    count = Counter(w for t in train for w in t)
+    n, v = sum(count.values()), len(count)
+    seen = {k: Counter(tuple(x[i:i + k]) for t in train for x in [[None, *t]] for i in range(len(x) - k + 1)) for k in (2, 3)}
+    drops, given, total = {}, Counter(), Counter()
+    for k in seen:
+        often = Counter(seen[k].values())
+        drops[k] = lm_trie.discounts(*(often[i] for i in (1, 2, 3, 4)))
+        for g, c in seen[k].items():
+            given[g[:-1]] += drops[k][min(c, 3) - 1]
+            total[g[:-1]] += c
+
+    def chance(context, w):
+        if not context:
+            return (count[w] + 0.5) / (n + 0.5 * (v + 1))
+        lower, c = chance(context[1:], w), seen[len(context) + 1][*context, w]
+        return ((c - drops[len(context) + 1][min(c, 3) - 1] if c else 0) + given[context] * lower) / total[context] if total[context] else lower
+
+    want = sorted((sum(math.log10(chance((), w)) for w in t), sum(math.log10(chance(tuple([None, *t][max(0, i - 1):i + 1]), w)) for i, w in enumerate(t)), len(t)) for _, t in texts)
+    assert len(rows) == len(want)
+    for (b, s), (x, y, m) in zip(sorted((r.base_score, r.score) for r in rows), want):
+        assert b == pytest.approx(x, abs=1e-6, rel=1e-9) and abs(s - y) <= 4e-4 * m
+    if which == "few":
+        for context in ((None, train[3][0]), tuple(train[3][:2])):
+            assert sum(chance(context, w) for w in count) + chance(context, "never") == pytest.approx(1)
+
+
+def test_query_scores_longer_passages(spark, tmp_path):
+    """Of texts with the same pairs, one that shares its triples with the training texts scores higher."""
+    from tallywind.llm.queries import QUERIES
+
+    train = [f"{a} m {a}x" for a in "pqrs" for _ in range(20)]
+    free = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5 != 1][:len(train)]
+    kept = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    docs = [*zip(free, train), (kept[0], "p m px"), (kept[1], "p m qx")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    score = {r.doc_id: r.score for r in QUERIES["op3_lm_trie"](spark, str(tmp_path)).collect()}
+    assert score[kept[0]] > score[kept[1]] + 1
+
+
 @pytest.mark.parametrize("group, local", [(256, 64), (2, 2)])
 @pytest.mark.parametrize("which", ["docs", "odd_docs", "no_docs"])
 def test_repeated_substrings(request, plain, monkeypatch, which, group, local):
