@@ -2,9 +2,11 @@
 
 Every three words in a row of a benchmark item are a seed. A first pass over all documents counts in how many each seed occurs; seeds in
 at most ``rare_share`` of them are rare. A second pass looks the seeds up in each whole text and groups its hits by item and diagonal (a
-little drift allowed for insertions): one rare seed or two common ones open a window, in which the item is aligned word by word (match
-2, mismatch and gap -1). The score is the best local alignment over that of a perfect copy; from ``threshold`` on it is a leak. So a
-passage leaked into very many documents, whose seeds are common for that, is still found, and nothing is capped.
+little drift allowed for insertions). Every group opens a window, in which the item is aligned word by word (match 2, mismatch and gap
+-1); a single common seed does so only if enough of the item's words are in the window: the share of them is an upper bound of the score,
+so no leak is lost by it, and rarity saves work without deciding a result. The score is the best local alignment over that of a perfect
+copy; from ``threshold`` on it is a leak. So a passage leaked into very many documents, whose seeds are common for that, is still found
+from one seed on, in a table of any size, and nothing is capped.
 
 The items are a query set, taken in blocks of at most ``BLOCK_WORDS`` words (or one item): each block is broadcast and met by all documents.
 Words are runs of ASCII letters, digits and non-ASCII bytes, A-Z lower-cased. Null texts have no words. Items of fewer than three words
@@ -81,13 +83,14 @@ class Block:
         opens = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (np.diff(diagonal) > DRIFT)]))
         found: dict[tuple[int, int], tuple[float, int, int]] = {}
         for a, b, w in zip(opens, np.append(opens[1:], len(row)), np.add.reduceat(weight, opens)):
-            if w < 2:
-                continue
             r, i = int(row[a]), int(item[a])
             mine = self.words[self.before[i]:self.before[i + 1]]
             low = max(int(diagonal[a]) - 2 * DRIFT, 0)
             high = min(int(diagonal[b - 1]) + len(mine) + 2 * DRIFT, int(before[r + 1] - before[r]))
-            best, stop = align(mine, words[before[r] + low:before[r] + high])
+            window = words[before[r] + low:before[r] + high]
+            if w < 2 and np.isin(mine, window).sum() / len(mine) < threshold:  # a match needs the word: no alignment scores more
+                continue
+            best, stop = align(mine, window)
             score = best / (MATCH * len(mine))
             if score >= threshold and score > found.get((r, i), (0.0,))[0]:
                 last = before[r] + low + max(stop - 1, 0)

@@ -116,6 +116,20 @@ def test_edited_and_hot_leaks(spark, odd_docs, no_docs, monkeypatch):
     assert decontaminate.keep_clean(odd_docs, items).count() == odd_docs.count()
 
 
+@pytest.mark.parametrize("copies, others", [(1, 0), (40, 0), (5, 1500)])
+def test_leak_with_one_common_seed(spark, copies, others):
+    item = [f"w{i}" for i in range(1, 17)]
+    edited = [w if i not in (4, 7, 10, 13, 16) else "changed" for i, w in enumerate(item, 1)]
+    weak = ["other", *item[:3], *(f"x{i}" for i in range(30))]  # the seed alone is no leak
+    rows = [(i, " ".join(["lead", "in", *edited, "out"])) for i in range(copies)] + [(1000 + i, " ".join(weak)) for i in range(3)]
+    rows += [(2000 + i, f"some text {i}") for i in range(others)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert plain_alignment(item, edited) == 18
+    assert {(r.doc_id, r.score) for r in decontaminate.leaks(docs, items).collect()} == {(i, 18 / 32) for i in range(copies)}
+    assert decontaminate.keep_clean(docs, items).count() == 3 + others
+
+
 def test_components(spark):
     draw = random.Random(4)
     edges = [(draw.randint(0, 400), draw.randint(0, 400)) for _ in range(250)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, i) for i in range(2000, 2300)]
