@@ -4,7 +4,8 @@ Features of a whole text: hashed counts of byte trigrams, hashed counts of the s
 other character itself), and the shares of distinct words, distinct word triples and distinct lines. Counts are damped by a square root,
 weighted by rarity and projected on the leading singular vectors of a labelled sample. The vectors of that sample (at most ``per_label``
 rows of each label, chosen by a hash of their id: the documented bound of the fit and of the broadcast) are the voters: every document
-gets exact cosine products with all of them, in blocks, and its ``k`` nearest vote with their similarity.
+gets exact cosine products with all of them, in blocks, and its ``k`` nearest vote with their similarity, each for as many
+labelled rows as its label has per sampled one, so the bound does not change the labels' shares in the vote.
 
 Labels are learned only from rows with ``crc32(doc_id as text) % 3 != 1``. Null or empty texts have a vector of zeros and get the share
 of label 1 among such voters, or 0.5 without any. Null labels are not learned from; without labels every score is 0.5. Repeated rows get
@@ -88,6 +89,7 @@ class Voters:
     axes: np.ndarray
     vectors: np.ndarray
     labels: np.ndarray
+    stands_for: np.ndarray
     empty_score: float
 
     @staticmethod
@@ -100,9 +102,11 @@ class Voters:
         return out
 
     @classmethod
-    def fit(cls, x: np.ndarray, labels: np.ndarray) -> "Voters | None":
+    def fit(cls, x: np.ndarray, labels: np.ndarray, stands_for: np.ndarray | None = None) -> "Voters | None":
+        """``stands_for``: how many labelled rows each row of the sample is drawn from (one without it)."""
         if not len(x):
             return None
+        stands_for = np.ones(len(x)) if stands_for is None else stands_for
         rarity = np.append(np.log((1 + len(x)) / (1 + (x[:, :N_COUNTS] > 0).sum(0))) + 0.3, [1, 1, 1]).astype(np.float32)
         weighed = cls.weigh(x, rarity)
         start = np.random.default_rng(7).standard_normal((WIDTH, DIMENSIONS + 16)).astype(np.float32)
@@ -111,7 +115,8 @@ class Voters:
         _, _, turn = np.linalg.svd(weighed @ start, full_matrices=False)
         axes = (start @ turn.T)[:, :DIMENSIONS].astype(np.float32)
         empty = x[:, :N_COUNTS].sum(1) == 0
-        return cls(rarity, axes, cls.project(weighed, axes), labels.astype(np.float32), float(labels[empty].mean()) if empty.any() else 0.5)
+        return cls(rarity, axes, cls.project(weighed, axes), labels.astype(np.float32), stands_for,
+                   float(np.average(labels[empty], weights=stands_for[empty])) if empty.any() else 0.5)
 
     @staticmethod
     def project(weighed: np.ndarray, axes: np.ndarray) -> np.ndarray:
@@ -125,7 +130,7 @@ class Voters:
             part = x[at:at + block]
             near = self.project(self.weigh(part, self.rarity), self.axes) @ self.vectors.T
             top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(near, top, 1), 1e-6).astype(np.float64) ** SHARPNESS
+            weight = np.maximum(np.take_along_axis(near, top, 1), 1e-6).astype(np.float64) ** SHARPNESS * self.stands_for[top]
             out[at:at + block] = (weight * self.labels[top]).sum(1) / weight.sum(1)
             out[at:at + block][part[:, :N_COUNTS].sum(1) == 0] = self.empty_score
         return np.clip(out, 0, 1)
@@ -135,6 +140,7 @@ def fit_voters(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -
     """The voters from at most ``per_label`` labelled rows of each label."""
     usable = labels.filter(fold(F.col("doc_id"), 3) != 1).select("doc_id", F.col("quality").alias("label"), F.xxhash64("doc_id").alias("turn"))
     pick = lambda v: usable.filter(F.col("label") == v).orderBy("turn", "doc_id").limit(per_label)
+    often = {int(r.label): r["count"] for r in usable.filter(F.col("label").isin(0, 1)).groupBy("label").count().collect()}  # two rows
     chosen = F.broadcast(pick(0).unionByName(pick(1)))  # at most 2 * per_label rows
 
     def measure(batches):
@@ -146,7 +152,7 @@ def fit_voters(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("turn", "label", "text").mapInArrow(measure, "turn long, label int, x binary").collect()
     rows.sort(key=lambda r: (r.turn, r.label))
     x = np.frombuffer(b"".join(r.x for r in rows), np.float32).reshape(len(rows), WIDTH)
-    return Voters.fit(x, np.array([r.label for r in rows]))
+    return Voters.fit(x, np.array([r.label for r in rows]), np.array([max(1.0, often[r.label] / per_label) for r in rows]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> DataFrame:

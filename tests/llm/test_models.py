@@ -32,6 +32,17 @@ def test_quality_on_held_out_rows(more_docs, labels):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+@pytest.mark.parametrize("text", ["", "the same words for all of them"])
+def test_quality_vote_keeps_label_shares(spark, text):
+    docs = spark.createDataFrame([(i, text) for i in range(200)], "doc_id long, text string")
+    given = spark.createDataFrame([(i, int(i % 7 > 0)) for i in range(200)], "doc_id long, quality int")
+    used = [r.quality for r in given.filter(quality_knn.fold(given.doc_id, 3) != 1).collect()]
+    assert min(used.count(0), used.count(1)) > 7
+    rows = quality_knn.quality_scores(docs, given, per_label=7).collect()  # 14 voters, and all of them vote
+    assert len(rows) == 200 and all(r.score == pytest.approx(np.mean(used)) and r.predicted == 1 for r in rows)
+    assert quality_knn.keep_good(docs, given, per_label=7).count() == 200
+
+
 def test_toxicity_on_held_out_rows(more_docs, labels):
     rows = toxic_segments.toxicity(more_docs, labels).join(labels, "doc_id").filter("held_out and toxic is not null").collect()
     assert np.mean([r.predicted == r.toxic for r in rows]) > 0.9
