@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from functools import partial
 
-from . import decontaminate, exact_dedup, jaccard_join, lm_trie, pii, piece_codec, quality_knn, sql, suffix_dedup, token_output, toxic_segments
+from . import (
+    decontaminate, exact_dedup, jaccard_join, lm_trie, pii, piece_codec, quality_knn, source_audit, sql, suffix_dedup, token_counts, token_output,
+    toxic_segments,
+)
 from .shipping import ship
 
 SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
@@ -12,11 +15,15 @@ SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.execution.arrow.maxR
 
 def _over_documents(operator, *others):
     """The query that applies ``operator`` to ``documents`` and to the other tables."""
+    return _over(operator, "documents", *others)
+
+
+def _over(operator, *tables):
     def build(spark, sf_dir):
         ship(spark)
         for key, value in SETTINGS.items():
             spark.conf.set(key, value)
-        return operator(*(spark.read.parquet(f"{sf_dir}/{table}.parquet") for table in ("documents", *others)))
+        return operator(*(spark.read.parquet(f"{sf_dir}/{table}.parquet") for table in tables))
 
     return build
 
@@ -32,5 +39,7 @@ QUERIES = {
     "op8_pii": _over_documents(pii.pii_report),
     "op9_jaccard_join": _over_documents(jaccard_join.near_copies),
     "op10_exact_dedup": _over_documents(exact_dedup.exact_groups),
+    "op11_token_counts": _over_documents(token_counts.token_counts),
+    "op12_source_audit": _over_documents(source_audit.source_audit),
 }
-ORACLES = {"op10_exact_dedup": sql.EXACT_DEDUP}
+ORACLES = {"op10_exact_dedup": sql.EXACT_DEDUP, "op12_source_audit": sql.SOURCE_AUDIT}
