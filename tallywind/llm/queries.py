@@ -6,7 +6,7 @@ from functools import partial
 
 from . import (
     decontaminate, exact_dedup, jaccard_join, lm_trie, pii, piece_codec, quality_knn, source_audit, sql, suffix_dedup, token_counts, token_output,
-    toxic_segments,
+    toxic_segments, whitening,
 )
 from .shipping import ship
 
@@ -41,5 +41,6 @@ QUERIES = {
     "op10_exact_dedup": _over_documents(exact_dedup.exact_groups),
     "op11_token_counts": _over_documents(token_counts.token_counts),
     "op12_source_audit": _over_documents(source_audit.source_audit),
+    "op13_whitening": _over(whitening.whitened, "embeddings"),
 }
 ORACLES = {"op10_exact_dedup": sql.EXACT_DEDUP, "op12_source_audit": sql.SOURCE_AUDIT}
