@@ -107,3 +107,28 @@ def personal(text):
     found = sorted((m.start(), k, m.end(), kind) for k, (kind, p) in enumerate(PII.items()) for m in re.finditer(p, text or "") if _valid(kind, m[0]))
     return (tuple(sum(f[3] == kind for f in found) for kind in PII),
             hashlib.sha256(",".join(f"{kind}:{a}:{b}" for a, _, b, kind in found).encode()).hexdigest())
+
+
+def source_audit(rows, min_docs=30, top=50):
+    """Rows are (lang, source, text)."""
+    held, counts, groups = Counter(), Counter(), set()
+    for lang, source, text in rows:
+        lang, source = lang or "", source or ""
+        groups.add((lang, source))
+        terms = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", lower(text or ""))
+        counts.update((lang, source, t) for t in terms)
+        held.update((lang, t) for t in set(terms))
+    out = []
+    for lang in {g[0] for g in groups}:
+        sources = sorted((s for x, s in groups if x == lang), key=str.encode)
+        kept = sorted((t for (x, t), n in held.items() if x == lang and n >= min_docs), key=str.encode)
+        v = len(kept)
+        totals = {s: sum(counts[lang, s, t] for t in kept) for s in sources}
+        share = {(s, t): 1 + 10**9 * (counts[lang, s, t] + 5) // (totals[s] + 5 * v) for s in sources for t in kept}
+        whole = {t: 1 + 10**9 * (sum(counts[lang, s, t] for s in sources) + 5) // (sum(totals.values()) + 5 * v) for t in kept}
+        for s in sources:
+            pairs = sorted(((-sum(abs(share[s, t] - share[o, t]) for t in kept), o.encode(), o) for o in sources if o != s))
+            out += [(lang, s, "pair", o, -value, i + 1) for i, (value, _, o) in enumerate(pairs)]
+            terms = sorted((whole[t] - share[s, t], t.encode(), t) for t in kept if counts[lang, s, t] and share[s, t] > whole[t])
+            out += [(lang, s, "term", t, -value, i + 1) for i, (value, _, t) in enumerate(terms[:top])]
+    return out
