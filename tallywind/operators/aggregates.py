@@ -72,6 +72,8 @@ def cross_summary(df: DataFrame) -> DataFrame:
 
 def hourly_volume(df: DataFrame) -> DataFrame:
     """Count and volume per derived hour; a table without that column is refused."""
+    if "txn_hour" not in df.columns:
+        raise ValueError("hourly volume needs the column txn_hour of the enrichment")
     return df.groupBy("txn_hour").agg(
         F.count(F.lit(1)).alias("txn_count"), fn.money_sum(F.col("amount")).alias("volume"),
     ).orderBy("txn_hour")

@@ -31,8 +31,3 @@ def txn(spark, sf_dir):
     from tallywind.sources.fixtures import transactions
 
     return transactions(spark, sf_dir)
-
-
-def plan_text(df) -> str:
-    return df._jdf.queryExecution().explainString(
-        df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pytest
-from conftest import plan_text
+from plan_views import plan_text
 from pyspark.sql import functions as F
 
 from tallywind import JobConfig
@@ -79,7 +79,8 @@ def test_latest_row_needs_no_window(txn):
 
 
 def test_hourly_volume_needs_the_hour(txn):
-    assert ag.hourly_volume(txn) is None
+    with pytest.raises(ValueError, match="txn_hour"):
+        ag.hourly_volume(txn)
     assert ag.hourly_volume(enrich(txn)).count() == 24
 
 
