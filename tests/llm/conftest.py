@@ -1,13 +1,9 @@
 from __future__ import annotations
 
 import random
-import sys
-from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parent))
-
 COLUMNS = "doc_id long, text string, lang string, row int, words string, sha string, node long, h long"
 
 
