@@ -11,7 +11,7 @@ If all transducers together have at most ``resident_bytes`` (they are measured),
 its text is. Beyond that the terms of a task are counted first and the counts are shuffled to the owner of the term's range, which walks
 them through its own transducer alone; both ways give the same counts.
 
-Sources are compared in cells of two blocks of sources and one block of ordinals: a cell holds at most ``CELL`` values, gives one sum
+Sources are compared in cells of two blocks of sources and one of at most ``WIDTH`` ordinals: a cell holds at most ``CELL`` values, gives one sum
 for each of its pairs of sources, and the sums are added up. Integers throughout; probabilities are divided as decimals.
 
 Null texts, languages and sources are empty strings. Each row is a document, also if its id repeats or is null. A language without kept
@@ -34,7 +34,7 @@ from .transducer import Transducer, build
 
 MIN_DOCS, TOP, SMOOTHING, SCALE = 30, 50, 5, 1_000_000_000
 SHARD_TERMS, RESIDENT_BYTES, PENDING_ROWS = 200_000, 64 << 20, 400_000
-SOURCES, CELL = 256, 2_000_000
+SOURCES, WIDTH, CELL = 256, 512, 2_000_000
 PREFIX = 8
 
 # Between terms: all of ASCII but its letters.
@@ -333,7 +333,7 @@ def _differences(_, table):
 
 def pair_values(counts: DataFrame, totals: DataFrame) -> DataFrame:
     """``lang, source, item, value`` for every two sources of a language."""
-    width = F.greatest(F.lit(1), F.least(F.lit(4096), (F.lit(CELL) / F.least("sources", F.lit(2 * SOURCES))).cast("long")))
+    width = F.greatest(F.lit(1), F.least(F.lit(WIDTH), (F.lit(CELL) / F.least("sources", F.lit(2 * SOURCES))).cast("long")))
     plan = lookup_side(totals.filter("sources > 1").withColumn("width", width), "audit-groups")
     seen = counts.join(plan, ["lang", "source"]).select(
         "lang", F.lit(None).cast("string").alias("source"), "number", "ord", _share(F.col("n"), F.col("total"), F.col("v")).alias("p"), "width", "v", "sources",
