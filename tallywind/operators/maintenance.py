@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from urllib.parse import unquote
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import lookup_side, stage
+from .profile import files, settings
+
+TARGET_BYTES = 256 << 20
+# A partition folder's column values stay the text they are in its name.
+_AS_NAMED = {"spark.sql.sources.partitionColumnTypeInference.enabled": "false"}
+
 
 def compact(spark: SparkSession, source: str, target: str, partition_by: list[str], rows_per_file: int = 2_000_000,
             drop: list[str] | None = None) -> DataFrame:
@@ -20,6 +29,45 @@ def compact(spark: SparkSession, source: str, target: str, partition_by: list[st
     return spark.read.parquet(target)
 
 
+def compaction_plan(spark: SparkSession, path: str, target_bytes: int = TARGET_BYTES) -> DataFrame:
+    """Which files to rewrite together: ``folder, file_path, file_size, bin``, from the files' sizes alone.
+
+    A folder is chosen if packing makes fewer files of it. Its files are packed in order of size, each into the bin where the sum of the
+    sizes before it ends, so a bin has about ``target_bytes`` and holds whole files.
+    """
+    in_folder = Window.partitionBy("folder")
+    packed = files(spark, path).withColumn(
+        "_before", F.coalesce(F.sum("file_size").over(in_folder.orderBy("file_size", "file_path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    packed = packed.withColumn("bin", F.floor(F.col("_before") / target_bytes))
+    sized = packed.withColumns({"_files": F.count(F.lit(1)).over(in_folder), "_bins": F.size(F.collect_set("bin").over(in_folder))})
+    return sized.filter(F.col("_bins") < F.col("_files")).select("folder", "file_path", "file_size", "bin")
+
+
+def compact_in_place(spark: SparkSession, path: str, target_bytes: int = TARGET_BYTES) -> DataFrame:
+    """Pack the small files of a partitioned table; returns the plan that was carried out. Folders that need nothing keep their files.
+
+    Only the chosen folders are read. Each bin is written by one task, and the chosen folders are replaced by a dynamic partition
+    overwrite when all of them are written. A reader that listed the old files has to list again; a folder that grows meanwhile must
+    not be compacted at the same time.
+    """
+    path = path.rstrip("/")
+    plan = stage(compaction_plan(spark, path, target_bytes), "compaction-plan")
+    folders = [unquote(r.folder) for r in plan.select("folder").distinct().collect()]  # names of chosen folders, as a table listing holds them
+    if not folders:
+        return plan
+    if folders == [""]:
+        raise ValueError("a table without partition folders is rewritten by compact()")
+    bins = plan.select("folder", "bin").distinct().count()
+    with settings(spark, _AS_NAMED):
+        rows = spark.read.option("basePath", path).parquet(*[f"{path}/{f}" for f in folders])
+        keys = [part.split("=", 1)[0] for part in folders[0].split("/")]
+        side = lookup_side(plan.select(F.col("file_path").alias("_file"), F.xxhash64("folder", "bin").alias("_bin")), "bins")
+        packed = rows.withColumn("_file", F.col("_metadata.file_path")).join(side, "_file").drop("_file")
+        dealt = packed.repartition(min(bins, 100_000), "_bin").sortWithinPartitions("_bin", *keys)
+        dealt.drop("_bin").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+    return plan
+
+
 def expired_versions(commits: DataFrame, retention_hours: int = 168, key: str | None = None) -> DataFrame:
     """Versions committed before the retention period, counted back from each table's newest commit, which always stays.
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from contextlib import contextmanager
+from urllib.parse import quote
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,27 +34,66 @@ def schema_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, kind)
 
 
-def files(df: DataFrame) -> DataFrame:
-    """One row per data file with its size and row count; only file metadata columns are read."""
-    return df.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("file_size")).groupBy(
-        "file_path").agg(F.first("file_size").alias("file_size"), F.count(F.lit(1)).alias("rows"))
+DATA_FILES = "*.parquet"
+
+
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """One row per data file: ``file_path, folder, file_size, modified_at``. Files are listed, none is opened.
+
+    ``folder`` is the path from the table's root to the file, empty for files in the root.
+    """
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", DATA_FILES).option("recursiveFileLookup", "true").load(path)
+    inner = path.split("://", 1)[-1].removeprefix("file:").rstrip("/")  # without scheme and host
+    inner = quote(inner if inner.startswith("/") else inner[inner.find("/"):], safe="/=") + "/"
+    at = F.col("_metadata.file_path")
+    below = F.substring(at, F.locate(inner, at) + len(inner), F.length(at))
+    return listed.select(
+        at.alias("file_path"), F.regexp_replace(below, "/?[^/]*$", "").alias("folder"), F.col("_metadata.file_size").alias("file_size"),
+        F.col("_metadata.file_modification_time").alias("modified_at"))
 
 
-def partition_files(df: DataFrame, root: str, top: int = 50) -> DataFrame:
+def partition_files(spark: SparkSession, path: str, top: int = 50) -> DataFrame:
     """Files per partition folder, the ``top`` fullest."""
-    folder = F.regexp_extract(F.col("file_path"), f"{root.rstrip('/')}/(.*)/[^/]+$", 1)
-    return (
-        files(df).withColumn("partition", F.when(folder == "", "(root)").otherwise(folder))
-        .groupBy("partition").agg(F.count(F.lit(1)).alias("files"))
-        .orderBy(F.desc("files"), "partition").limit(top)
-    )
-
-
-def table_info(df: DataFrame, partition_columns: list[str], version: int | None = None) -> DataFrame:
-    return files(df).agg(
-        F.count(F.lit(1)).alias("num_files"), F.sum("file_size").alias("size_bytes"), F.sum("rows").alias("row_count"),
-        F.lit(len(df.columns)).alias("columns"), F.lit(",".join(partition_columns)).alias("partition_columns"),
-        F.lit(version).cast("long").alias("version"))
+    named = files(spark, path).withColumn("partition", F.when(F.col("folder") == "", "(root)").otherwise(F.col("folder")))
+    return named.groupBy("partition").agg(F.count(F.lit(1)).alias("files"), F.sum("file_size").alias("size_bytes")).orderBy(F.desc("files"), "partition").limit(top)
+
+
+_PUSHED = {"spark.sql.sources.useV1SourceList": "avro,csv,json,kafka,orc,text", "spark.sql.parquet.aggregatePushdown": "true"}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for the plans made and run inside."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def counted_from_footers(spark: SparkSession, path: str) -> DataFrame:
+    """The row count of a Parquet table as a frame whose plan answers it from the files' footers; to be used inside ``footer_counts``."""
+    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("row_count"))
+
+
+def footer_counts(spark: SparkSession):
+    """Settings under which counts of Parquet tables are pushed into the scan."""
+    return settings(spark, _PUSHED)
+
+
+def table_info(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """Files, bytes, rows, columns and partition columns: a listing of the files and a count from their footers."""
+    with footer_counts(spark):
+        rows = counted_from_footers(spark, path).first().row_count  # one number
+    listed = files(spark, path)
+    columns = spark.read.parquet(path).columns
+    keys = F.regexp_extract_all(F.first("folder"), F.lit("([^/=]+)="), F.lit(1))
+    return listed.agg(
+        F.count(F.lit(1)).alias("num_files"), F.sum("file_size").alias("size_bytes"), F.lit(rows).cast("long").alias("row_count"),
+        F.lit(len(columns)).alias("columns"), F.array_join(keys, ",").alias("partition_columns"), F.lit(version).cast("long").alias("version"))
 
 
 def history(commits: DataFrame, limit: int = 10) -> DataFrame:

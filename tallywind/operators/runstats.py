@@ -60,9 +60,16 @@ def paired_batches(records: DataFrame, run: str = "run_id") -> DataFrame:
 
 
 def batch_records(metrics: DataFrame, *more: str) -> DataFrame:
-    """Batch metrics in the shape of log records, with any further columns named."""
-    return metrics.select("run_id", *more, "batch_id", "rows", "transform_ms", "write_ms", F.col("wall_ms").alias("total_ms"),
-                          fn.event_time(F.col("completed_at")).alias("completed_at"))
+    """Batch metrics, of a fixture or of a stream's own table, in the shape of log records, with any further columns named."""
+    at = F.col("completed_at") if isinstance(metrics.schema["completed_at"].dataType, T.TimestampType) else fn.event_time(F.col("completed_at"))
+    return metrics.select("run_id", *more, "batch_id", "rows", "transform_ms", "write_ms", F.col("wall_ms").alias("total_ms"), at.alias("completed_at"))
+
+
+def logged_records(records: DataFrame, run: str = "run_id") -> DataFrame:
+    """Batch records from parsed logs: the stream lines as they are, and the account batches of the first engine from their paired lines."""
+    kept = [run, "kind", "batch_id", "rows", "transform_ms", "write_ms", "total_ms", "completed_at"]
+    single = records.filter(~F.col("kind").startswith("alpha_account")).withColumnRenamed("at", "completed_at").select(*kept)
+    return single.unionByName(paired_batches(records, run).withColumn("kind", F.lit("alpha_account")).select(*kept))
 
 
 def summary(records: DataFrame, *keys: str) -> DataFrame:
@@ -241,8 +248,17 @@ def cost(summaries: DataFrame, cores: int = 4, per_core_hour: float = 0.752) ->
         F.round(F.greatest(wall - busy, F.lit(0.0)), 3).alias("idle_seconds"))
 
 
+# Figures that a source of measurements may lack; they are null then.
+RESOURCES = ["cpu_ms", "gc_ms", "cpu_util_pct", "peak_memory_mb", "shuffle_read_mb", "shuffle_write_mb", "tasks"]
+
+
+def _with_resources(metrics: DataFrame) -> DataFrame:
+    return metrics.withColumns({c: F.lit(None).cast("double") for c in RESOURCES if c not in metrics.columns})
+
+
 def engine_statistics(metrics: DataFrame, *keys: str) -> DataFrame:
     """Totals and per-batch averages; reading the source is what neither transform nor write accounts for."""
+    metrics = _with_resources(metrics)
     wall, transform, write, n = F.sum("wall_ms"), F.sum("transform_ms"), F.sum("write_ms"), F.count(F.lit(1))
     source = F.greatest(wall - transform - write, F.lit(0))
     gc = F.sum("gc_ms")
@@ -259,6 +275,7 @@ def engine_statistics(metrics: DataFrame, *keys: str) -> DataFrame:
 
 def time_shares(metrics: DataFrame, *keys: str) -> DataFrame:
     """How time divides between transform and write, and the averages of the resource figures."""
+    metrics = _with_resources(metrics)
     wall = F.greatest(F.sum("wall_ms"), F.lit(1))
     rows, peak = F.avg("rows"), F.avg("peak_memory_mb")
     return metrics.groupBy(*keys).agg(

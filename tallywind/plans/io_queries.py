@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import enrich as en
+from ..operators import profile as pf
 from ..operators import upsert as up
 from ..session import JobConfig, scratch_path, stage
 from ..sources import fixtures as fx
@@ -51,17 +52,31 @@ def account_topic(spark, sf_dir) -> str:
     return _topic(spark, sf_dir, "acct-topic", fx.account_envelope)
 
 
-def transaction_run(spark, sf_dir) -> dict:
-    """The transaction stream over the whole topic in several micro-batches."""
+def _listener(spark: SparkSession) -> mt.BatchListener:
+    """One listener per application."""
     def make():
-        out = {n: scratch_path(spark, n) for n in ("stream-table", "stream-metrics", "stream-checkpoint")}
-        sink = txs.TransactionSink(spark, out["stream-table"], metrics_path=out["stream-metrics"])
-        q = txs.start(tp.stream_files(spark, transaction_topic(spark, sf_dir), max_files=3), sink,
-                      out["stream-checkpoint"], {"availableNow": True})
-        q.awaitTermination()
-        return {**out, "sink": sink, "progress": mt.progress_rows(q)}
+        listener = mt.BatchListener(spark)
+        spark.streams.addListener(listener)
+        return {"listener": listener}
+
+    return _once(spark, "", "listener", make)["listener"]
+
+
+def _stream_over_topic(spark, sf_dir) -> dict:
+    """The transaction stream over the whole topic in several micro-batches."""
+    out = {n: scratch_path(spark, n) for n in ("stream-table", "stream-metrics", "stream-checkpoint")}
+    sink, listener = txs.TransactionSink(spark, out["stream-table"], out["stream-metrics"]), _listener(spark)
+    q = txs.start(tp.stream_files(spark, transaction_topic(spark, sf_dir), max_files=3), sink,
+                  out["stream-checkpoint"], {"availableNow": True})
+    listener.watch(q, out["stream-metrics"])
+    q.awaitTermination()
+    listener.wait(q)
+    return {**out, "sink": sink, "progress": mt.progress_rows(q)}
+
 
-    return _once(spark, sf_dir, "txn-run", make)
+def transaction_run(spark, sf_dir) -> dict:
+    """A run that several queries read and none changes."""
+    return _once(spark, sf_dir, "txn-run", lambda: _stream_over_topic(spark, sf_dir))
 
 
 def account_run(spark, sf_dir) -> dict:
@@ -222,18 +237,18 @@ def next_offsets(spark, sf_dir):
 
 @query("t1_micro_batches", over_txn("SELECT TRUE AS several_batches, COUNT(*) AS records FROM txn"))
 def micro_batches(spark, sf_dir):
-    written = spark.read.parquet(transaction_run(spark, sf_dir)["stream-table"])
+    written = tb.stream_rows(spark, transaction_run(spark, sf_dir)["stream-table"])
     return written.agg((F.count_distinct("batch_id") > 1).alias("several_batches"), F.count(F.lit(1)).alias("records"))
 
 
 @query("t2_restart", over_txn("SELECT currency, COUNT(*) AS records FROM txn GROUP BY currency"))
 def restart(spark, sf_dir):
     """The stream started again on its checkpoint: nothing new, nothing twice."""
-    run = transaction_run(spark, sf_dir)
+    run = _stream_over_topic(spark, sf_dir)
     q = txs.start(tp.stream_files(spark, transaction_topic(spark, sf_dir), max_files=3), run["sink"],
                   run["stream-checkpoint"], {"availableNow": True})
     q.awaitTermination()
-    return spark.read.parquet(run["stream-table"]).groupBy("currency").agg(F.count(F.lit(1)).alias("records"))
+    return tb.stream_rows(spark, run["stream-table"]).groupBy("currency").agg(F.count(F.lit(1)).alias("records"))
 
 
 @query("t3_empty_batch", over_txn("SELECT COUNT(*) AS records, FALSE AS empty_batch_left_rows FROM txn"))
@@ -241,7 +256,7 @@ def empty_batch(spark, sf_dir):
     run = transaction_run(spark, sf_dir)
     empty = tp.decode(tp.read_files(spark, transaction_topic(spark, sf_dir)), TRANSACTION).filter(F.lit(False))
     run["sink"](empty, 10_000)
-    written = spark.read.parquet(run["stream-table"])
+    written = tb.stream_rows(spark, run["stream-table"])
     return written.agg(F.count(F.lit(1)).alias("records"), (F.max("batch_id") >= 10_000).alias("empty_batch_left_rows"))
 
 
@@ -249,7 +264,7 @@ def empty_batch(spark, sf_dir):
  {_OFF} AS kafka_offset, REPLACE(SUBSTR(timestamp, 1, 19), 'T', ' ') AS kafka_timestamp FROM enr"""))
 def stream_equals_batch(spark, sf_dir):
     """Every column of the streamed table."""
-    stored = spark.read.parquet(transaction_run(spark, sf_dir)["stream-table"]).drop("stream", "batch_id")
+    stored = tb.stream_rows(spark, transaction_run(spark, sf_dir)["stream-table"]).drop("stream", "batch_id")
     return stored.withColumn("kafka_timestamp", F.date_format("kafka_timestamp", "yyyy-MM-dd HH:mm:ss"))
 
 
@@ -261,7 +276,7 @@ def damaged_stream(spark, sf_dir):
     sink = txs.TransactionSink(spark, table)
     txs.start(tp.stream_files(spark, topic), sink, checkpoint, {"availableNow": True}).awaitTermination()
     coordinates = ["topic", "kafka_partition", "kafka_offset"]
-    both = [spark.read.parquet(path).select(F.lit(ok).alias("is_readable"), *coordinates) for ok, path in ((True, table), (False, sink.quarantine_path))]
+    both = [read(spark, table).select(F.lit(ok).alias("is_readable"), *coordinates) for ok, read in ((True, tb.stream_rows), (False, tb.set_aside))]
     return both[0].unionByName(both[1]).groupBy("is_readable").agg(
         F.count(F.lit(1)).alias("records"), F.min("kafka_offset").alias("first_offset"), F.max("kafka_offset").alias("last_offset"))
 
@@ -274,7 +289,7 @@ def new_checkpoint(spark, sf_dir):
         topic, checkpoint = scratch_path(spark, "half-topic"), scratch_path(spark, "half-checkpoint")
         envelope.filter(F.col("offset") % 2 == half).write.parquet(topic)
         txs.start(tp.stream_files(spark, topic), txs.TransactionSink(spark, table), checkpoint, {"availableNow": True}).awaitTermination()
-    return spark.read.parquet(table).groupBy("currency").agg(F.count(F.lit(1)).alias("records"), F.count_distinct("transaction_id").alias("transactions"))
+    return tb.stream_rows(spark, table).groupBy("currency").agg(F.count(F.lit(1)).alias("records"), F.count_distinct("transaction_id").alias("transactions"))
 
 
 _STATE = f"""SELECT account_id, ANY_VALUE(holder_name) AS holder_name, ANY_VALUE(country) AS country, {total('total_sent')} AS total_sent,
@@ -301,22 +316,37 @@ def replayed_batches(spark, sf_dir):
 @query("t6_replayed_append", over_txn("SELECT currency, COUNT(*) AS records, COUNT(DISTINCT transaction_id) AS transactions FROM txn GROUP BY currency"))
 def replayed_append(spark, sf_dir):
     """The last batch of the stream written again, as after a failure before its offsets were committed."""
-    run = transaction_run(spark, sf_dir)
-    stored = spark.read.parquet(run["stream-table"])
+    run = _stream_over_topic(spark, sf_dir)
+    stored = tb.stream_rows(spark, run["stream-table"])
     last = stored.agg(F.max("batch_id")).first()[0]
     coordinates = ["kafka_key", "topic", "kafka_partition", "kafka_offset"]
     batch = stage(stored.filter(F.col("batch_id") == last).select(*coordinates), "replayed")
     decoded = tp.decode(tp.read_files(spark, transaction_topic(spark, sf_dir)), TRANSACTION)
     run["sink"](decoded.join(batch, coordinates, "left_semi"), last)
-    return spark.read.parquet(run["stream-table"]).groupBy("currency").agg(
+    return tb.stream_rows(spark, run["stream-table"]).groupBy("currency").agg(
         F.count(F.lit(1)).alias("records"), F.count_distinct("transaction_id").alias("transactions"))
 
 
-@query("t7_batch_measurements", over_txn("SELECT COUNT(*) AS rows, TRUE AS all_timed FROM txn"))
+@query("t7_batch_measurements", over_txn("""SELECT COUNT(*) AS rows, 0 AS unreadable, 3 AS batches, TRUE AS all_timed, TRUE AS all_heard FROM txn"""))
 def batch_measurements(spark, sf_dir):
+    """What the write counted and timed, beside what the listener heard of the same batches."""
     run = transaction_run(spark, sf_dir)
-    return mt.measurements(spark, run["stream-metrics"]).agg(
-        F.sum("rows").alias("rows"), F.bool_and((F.col("write_ms") > 0) & (F.col("wall_ms") >= F.col("write_ms"))).alias("all_timed"))
+    return mt.run_metrics(spark, run["stream-metrics"]).agg(
+        F.sum("rows").alias("rows"), F.sum("unreadable").alias("unreadable"), F.count(F.lit(1)).cast("int").alias("batches"),
+        F.bool_and((F.col("transform_ms") > 0) & (F.col("write_ms") > 0) & (F.col("wall_ms") >= F.col("transform_ms") + F.col("write_ms") - 0.001)).alias("all_timed"),
+        F.bool_and(F.col("source_ms").isNotNull() & (F.col("wall_ms") >= F.col("source_ms") + F.col("planning_ms"))).alias("all_heard"))
+
+
+@query("t7_merged_days", over_txn("SELECT 1 AS files, COUNT(*) AS rows, 3 AS batches FROM txn"))
+def merged_days(spark, sf_dir):
+    """The measurements of a run under one day, merged into one file: the same rows."""
+    source, path = transaction_run(spark, sf_dir)["stream-metrics"], scratch_path(spark, "merged-metrics")
+    for kind, read in ((mt.BATCHES, mt.measurements), (mt.TIMINGS, mt.timings)):
+        read(spark, source).withColumn("day", F.lit("2026-01-05").cast("date")).repartition(3, "batch_id").write.partitionBy("day").parquet(f"{path}/{kind}")
+    mt.merge_days(spark, path)
+    files = pf.files(spark, f"{path}/{mt.BATCHES}").agg(F.count(F.lit(1)).cast("int").alias("files"))
+    kept = mt.measurements(spark, path).agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).cast("int").alias("batches"))
+    return files.crossJoin(F.broadcast(kept))  # one row on either side
 
 
 @query("t8_retained_measurements", over_batches("""SELECT run_id, batch_id, rows, wall_ms FROM

@@ -10,10 +10,11 @@ from ..operators import maintenance as mn
 from ..operators import parity as pr
 from ..operators import profile as pf
 from ..operators import runstats as rs
-from ..session import scratch_path
+from ..session import scratch_path, stage
 from ..sources import fixtures as fx
 from ..sources import tables as tb
 from ..sources.schemas import TRANSACTION, TRANSACTION_PARTITIONS
+from ..streaming import metrics as mt
 from .io_queries import account_run, light_path, transaction_run
 from .oracle import BATCHES, ENRICHED, TXN, over_batches, over_enriched, over_txn
 from .registry import query
@@ -42,15 +43,22 @@ def amount_distribution(spark, sf_dir):
     return pf.amount_distribution(fx.transactions(spark, sf_dir))
 
 
-@query("v4_partition_files")
+_LIGHT_FOLDERS = """SELECT SUBSTR(timestamp, 1, 4)::INT AS y, SUBSTR(timestamp, 6, 2)::INT AS m, currency, COUNT(*) AS n FROM txn GROUP BY ALL"""
+
+
+@query("v4_partition_files", over_txn(f"""SELECT CONCAT('txn_year=', y, '/txn_month=', m, '/currency=', currency) AS partition, 1 AS files, TRUE AS sized
+ FROM ({_LIGHT_FOLDERS}) ORDER BY partition LIMIT 50"""))
 def partition_files(spark, sf_dir):
-    path = light_path(spark, sf_dir)
-    return pf.partition_files(spark.read.parquet(path), path)
+    """Each folder of the table was written by one task, so it has one file; ties are in the order of their names."""
+    found = pf.partition_files(spark, light_path(spark, sf_dir))
+    return found.select("partition", F.col("files").cast("int").alias("files"), (F.col("size_bytes") > 0).alias("sized"))
 
 
-@query("v5_table_info")
+@query("v5_table_info", over_txn(f"""SELECT COUNT(*) AS num_files, CAST(SUM(n) AS BIGINT) AS row_count, 6 AS columns, 'txn_year,txn_month,currency' AS partition_columns,
+ CAST(NULL AS BIGINT) AS version, TRUE AS sized FROM ({_LIGHT_FOLDERS})"""))
 def table_info(spark, sf_dir):
-    return pf.table_info(spark.read.parquet(light_path(spark, sf_dir)), TRANSACTION_PARTITIONS)
+    info = pf.table_info(spark, light_path(spark, sf_dir))
+    return info.select("num_files", "row_count", "columns", "partition_columns", "version", (F.col("size_bytes") > F.col("num_files") * 100).alias("sized"))
 
 
 @query("v6_schema", over_txn(" UNION ALL ".join(
@@ -76,10 +84,31 @@ def sample(spark, sf_dir):
 def compaction(spark, sf_dir):
     """The stream's table with its per-batch leaf level folded away: the same rows in fewer files."""
     source, target = transaction_run(spark, sf_dir)["stream-table"], scratch_path(spark, "compacted")
-    compacted = mn.compact(spark, source, target, TRANSACTION_PARTITIONS, drop=["batch_id"])
+    compacted = mn.compact(spark, source, target, TRANSACTION_PARTITIONS, drop=["batch_id", "readable"])
     return compacted.select("transaction_id", "amount", "currency", "txn_year", "txn_month")
 
 
+@query("v9_compaction_in_place", over_txn("""SELECT 'files' AS what, currency, 1 AS n FROM txn GROUP BY currency
+ UNION ALL SELECT 'rows', currency, COUNT(*) FROM txn GROUP BY currency UNION ALL SELECT 'kept files', currency, 1 FROM txn WHERE currency <> 'EUR' GROUP BY currency"""))
+def compaction_in_place(spark, sf_dir):
+    """A table with one file per currency but three for the euro: that folder alone is rewritten."""
+    path = scratch_path(spark, "packed")
+    rows = fx.transactions(spark, sf_dir).select("transaction_id", "amount", "currency", "memo")
+    part = F.when(F.col("currency") == "EUR", F.pmod(F.xxhash64("transaction_id"), F.lit(3))).otherwise(0)
+    for i in range(3):
+        tb.append(rows.filter(part == i).repartition("currency"), path, ["currency"])
+    before = stage(pf.files(spark, path), "files-before")
+    mn.compact_in_place(spark, path)
+    after = stage(pf.files(spark, path), "files-after")
+
+    def counted(df, what):
+        return df.groupBy(F.lit(what).alias("what"), F.substring_index("folder", "=", -1).alias("currency")).agg(F.count(F.lit(1)).alias("n"))
+
+    kept = counted(after.join(before.select("file_path"), "file_path", "left_semi"), "kept files")
+    stored = tb.read(spark, path).groupBy(F.lit("rows").alias("what"), "currency").agg(F.count(F.lit(1)).alias("n"))
+    return counted(after, "files").unionByName(stored).unionByName(kept)
+
+
 _MOMENT = "CAST(REPLACE(SUBSTR(completed_at, 1, 19), 'T', ' ') AS TIMESTAMP)"
 
 
@@ -247,6 +276,61 @@ def run_summary(spark, sf_dir):
     return rs.summary(rs.batch_records(fx.batch_metrics(spark, sf_dir)), "run_id")
 
 
+_FROM_LOGS = f"""logged AS (
+ SELECT run_id, 'alpha_stream' AS kind, rows, transform_ms, write_ms, wall_ms, completed_at FROM bm WHERE engine = 'alpha'
+ UNION ALL SELECT run_id, 'beta_stream', rows, transform_ms, write_ms, wall_ms, completed_at FROM bm WHERE engine = 'beta'
+ UNION ALL SELECT run_id, 'alpha_account', CASE WHEN batch_id % 10 = 1 THEN rows - 4 WHEN batch_id % 4 <> 0 THEN rows - 5 ELSE rows END, 0, write_ms, write_ms, completed_at FROM bm WHERE engine = 'alpha'
+ UNION ALL SELECT run_id, 'beta_account', n, 0, write_ms, wall_ms, completed_at FROM bm WHERE engine = 'beta')"""
+
+
+@query("b3_summary_of_logs", over_batches(f""", {_FROM_LOGS} {_summary('run_id, kind', 'logged')}"""))
+def summary_of_logs(spark, sf_dir):
+    """From log text to run summaries: lines parsed, account lines paired, batches summed up."""
+    return rs.summary(rs.logged_records(_log_records(spark, sf_dir)), "run_id", "kind")
+
+
+def _live(spark, sf_dir) -> DataFrame:
+    return mt.run_metrics(spark, transaction_run(spark, sf_dir)["stream-metrics"])
+
+
+def _agrees(found: DataFrame, expected: str, live: DataFrame, keep: list[str]) -> DataFrame:
+    """The figures to ``keep``, and whether all others equal those of a statement over the same stored rows."""
+    live.createOrReplaceTempView("live_batches")
+    wanted = live.sparkSession.sql(expected)
+    others = [c for c in wanted.columns if c != "run_id"]
+    both = found.join(wanted.select("run_id", *[F.col(c).alias(f"_{c}") for c in others]), "run_id")
+    near = [F.abs(F.col(c) - F.col(f"_{c}")) <= 0.0001 * (F.abs(F.col(f"_{c}")) + 1) for c in others]
+    return both.select(*keep, F.array_min(F.array(*near)).alias("agrees"))
+
+
+@query("b3_live_summary", over_txn("SELECT 3 AS batches, COUNT(*) AS rows, TRUE AS agrees FROM txn"))
+def live_summary(spark, sf_dir):
+    """The summary of a stream's own measurements."""
+    live = _live(spark, sf_dir)
+    return _agrees(rs.summary(rs.batch_records(live), "run_id"), """SELECT run_id, SUM(wall_ms) / COUNT(*) AS avg_total_ms, SUM(transform_ms) / COUNT(*) AS avg_transform_ms,
+     SUM(write_ms) / COUNT(*) AS avg_write_ms, SUM(wall_ms) AS cumulative_total_ms,
+     (unix_micros(MAX(completed_at)) - unix_micros(MIN(completed_at))) / 1e6 AS wall_clock_seconds, SUM(rows) * 1000 / SUM(wall_ms) AS throughput_rows_per_sec
+     FROM live_batches GROUP BY run_id""", live, ["batches", "rows"])
+
+
+@query("b14_live_statistics", over_txn("SELECT 3 AS n_batches, COUNT(*) AS total_rows, TRUE AS agrees FROM txn"))
+def live_statistics(spark, sf_dir):
+    """Engine statistics of a stream's own measurements; what neither transform nor write accounts for is reading, planning and committing."""
+    live = _live(spark, sf_dir)
+    return _agrees(rs.engine_statistics(live, "run_id"), """SELECT run_id, SUM(wall_ms) AS total_wall_ms, SUM(transform_ms) AS total_transform_ms, SUM(write_ms) AS total_write_ms,
+     SUM(wall_ms - transform_ms - write_ms) AS total_source_ms, AVG(wall_ms - transform_ms - write_ms) AS avg_source_ms, AVG(wall_ms) AS avg_batch_ms,
+     1000 * SUM(rows) / SUM(wall_ms) AS throughput_rows_sec FROM live_batches GROUP BY run_id""", live, ["n_batches", "total_rows"])
+
+
+@query("b15_live_shares", over_txn("SELECT TRUE AS agrees, TRUE AS whole FROM txn LIMIT 1"))
+def live_shares(spark, sf_dir):
+    """Time shares of a stream's own measurements."""
+    live = _live(spark, sf_dir)
+    found = rs.time_shares(live, "run_id").withColumn("whole", F.col("transform_pct") + F.col("write_pct") <= 100.02)
+    return _agrees(found, """SELECT run_id, ROUND(100 * SUM(transform_ms) / SUM(wall_ms), 2) AS transform_pct, ROUND(100 * SUM(write_ms) / SUM(wall_ms), 2) AS write_pct,
+     ROUND(1000 * AVG(rows) / AVG(wall_ms), 2) AS rows_per_sec FROM live_batches GROUP BY run_id""", live, ["whole"])
+
+
 @query("b4_near_full_batches", over_batches("""SELECT run_id, batch_id, rows FROM bm JOIN
  (SELECT run_id AS r, CAST(FLOOR(MAX(rows) * 0.97::DOUBLE) AS BIGINT) AS least_rows FROM bm GROUP BY run_id) ON run_id = r AND rows >= least_rows"""))
 def near_full(spark, sf_dir):
@@ -436,5 +520,5 @@ def output_parallelism(spark, sf_dir):
     for files, key in ((1, "currency"), (4, "sender_account")):
         path = scratch_path(spark, "o3")
         tb.write_result(txn.groupBy(key).count(), path, files=files)
-        found.append(pf.files(spark.read.parquet(path)).agg(F.count(F.lit(1)).cast("int").alias("files"), F.sum("rows").alias("rows")))
+        found.append(pf.files(spark, path).agg(F.count(F.lit(1)).cast("int").alias("files"), F.lit(tb.read(spark, path).count()).alias("rows")))
     return found[0].unionByName(found[1])

@@ -6,6 +6,21 @@ from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 
+# The flag that divides a stream's table into records that could be read (1) and those set aside (0).
+READABLE = "readable"
+COORDINATES = ["kafka_key", "topic", "kafka_partition", "kafka_offset", "kafka_timestamp"]
+
+
+def stream_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The readable records of a stream's table; folders of the others are not listed."""
+    return spark.read.parquet(path).filter(F.col(READABLE) == 1).drop(READABLE)
+
+
+def set_aside(spark: SparkSession, path: str) -> DataFrame:
+    """Coordinates of the records a stream could not read."""
+    return spark.read.parquet(path).filter(F.col(READABLE) == 0).select(*COORDINATES, "stream", "batch_id")
+
+
 def balanced(df: DataFrame, partition_by: list[str]) -> DataFrame:
     """Gather rows by their target partition before a partitioned write.
 

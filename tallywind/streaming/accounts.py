@@ -27,7 +27,7 @@ class AccountSink(Follows):
         records = self.table.apply(events, batch_id, stream)
         if records is not None and self.metrics_path:
             elapsed = (time.perf_counter() - started) * 1000
-            record_batch(self.table.spark, self.metrics_path, batch_id, records, write_ms=elapsed, total_ms=elapsed, stream=stream)
+            record_batch(self.table.spark, self.metrics_path, batch_id, records, transform_ms=0.0, write_ms=elapsed, wall_ms=elapsed, stream=stream)
 
 
 def start(envelope: DataFrame, sink: AccountSink, checkpoint: str, trigger: dict | None = None,

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from datetime import date, datetime, timezone
+
 import pytest
+from plan_views import plan_text
 from pyspark.sql import functions as F
 
+from tallywind import JobConfig
 from tallywind.operators import maintenance as mn
 from tallywind.operators import profile as pf
 from tallywind.operators import upsert as up
 from tallywind.operators.enrich import enrich
 from tallywind.sources import fixtures as fx
+from tallywind.sources import tables as tb
 from tallywind.sources import topics as tp
 from tallywind.sources.schemas import ACCOUNT, TRANSACTION, TRANSACTION_PARTITIONS
 from tallywind.streaming import accounts as acs
+from tallywind.streaming import jobs
 from tallywind.streaming import metrics as mt
 from tallywind.streaming import transactions as txs
 
@@ -33,29 +39,32 @@ def run(spark, topic, tmp_path, sink):
 
 
 def test_stream_equals_batch_and_restart_adds_nothing(spark, topic, tmp_path):
-    table, aside, measured = (str(tmp_path / n) for n in ("table", "aside", "metrics"))
-    sink = txs.TransactionSink(spark, table, aside, measured)
+    table, measured = (str(tmp_path / n) for n in ("table", "metrics"))
+    sink = txs.TransactionSink(spark, table, measured)
     query = run(spark, topic, tmp_path, sink)
     decoded = tp.decode(tp.read_files(spark, topic), TRANSACTION)
     wanted = enrich(tp.readable(decoded))
     columns = sorted(wanted.columns)
-    stored = spark.read.parquet(table)
+    stored = tb.stream_rows(spark, table)
     assert len(columns) == 27 + 33 + 5
     assert sorted(stored.columns) == sorted([*columns, "stream", "batch_id"])
     for a, b in ((stored, wanted), (wanted, stored)):
         assert a.select(columns).exceptAll(b.select(columns)).isEmpty()
     bad = tp.unreadable(decoded)
     assert bad.count() > 0
-    assert spark.read.parquet(aside).select(bad.columns).exceptAll(bad).isEmpty()
+    aside = tb.set_aside(spark, table).select(bad.columns)
+    assert aside.exceptAll(bad).isEmpty() and bad.exceptAll(aside).isEmpty()
     timed = mt.measurements(spark, measured)
     assert timed.count() == 2 and timed.agg(F.sum("rows")).first()[0] == decoded.count()
+    assert timed.agg(F.sum("unreadable")).first()[0] == bad.count()
+    assert all(r.transform_ms > 0 and r.write_ms > 0 and abs(r.wall_ms - r.transform_ms - r.write_ms) < 0.01 for r in timed.collect())
     assert mt.progress_rows(query).count() == 2
 
     rows = stored.count()
     run(spark, topic, tmp_path, sink)
-    assert spark.read.parquet(table).count() == rows
+    assert tb.stream_rows(spark, table).count() == rows
     sink(decoded, 1)  # a batch whose write is repeated, here with other rows: only that batch is replaced
-    again = spark.read.parquet(table)
+    again = tb.stream_rows(spark, table)
     assert again.filter("batch_id = 1").count() == wanted.count()
     assert again.filter("batch_id = 0").exceptAll(stored.filter("batch_id = 0")).isEmpty()
 
@@ -76,7 +85,108 @@ def test_failed_batch_is_redone(spark, topic, tmp_path):
     run(spark, topic, tmp_path, breaks_once)
     assert calls == [0, 0, 1]
     decoded = tp.decode(tp.read_files(spark, topic), TRANSACTION)
-    assert spark.read.parquet(table).count() == tp.readable(decoded).count()
+    assert tb.stream_rows(spark, table).count() == tp.readable(decoded).count()
+
+
+def test_each_record_is_decoded_once(spark, topic, tmp_path):
+    """Records are counted as they leave the decoder."""
+    passed = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for batch in batches:
+            passed.add(batch.num_rows)
+            yield batch
+
+    decoded = tp.decode(tp.read_files(spark, topic), TRANSACTION)
+    seen = decoded.mapInArrow(counting, decoded.schema)
+    txs.TransactionSink(spark, str(tmp_path / "table"), str(tmp_path / "metrics"))(seen, 0)
+    assert passed.value == decoded.count() == mt.measurements(spark, str(tmp_path / "metrics")).first()["rows"]
+
+
+def test_empty_batch_leaves_nothing(spark, topic, tmp_path):
+    sink = txs.TransactionSink(spark, str(tmp_path / "table"), str(tmp_path / "metrics"))
+    decoded = tp.decode(tp.read_files(spark, topic), TRANSACTION)
+    sink(decoded, 0)
+    for batch_id, nothing in ((1, decoded.filter(F.lit(False))), (2, decoded.filter("kafka_offset < 0"))):
+        sink(nothing, batch_id)
+    assert [r.batch_id for r in tb.stream_rows(spark, str(tmp_path / "table")).select("batch_id").distinct().collect()] == [0]
+    assert mt.measurements(spark, str(tmp_path / "metrics")).count() == 1
+
+
+def test_measurements_are_merged_by_day(spark, tmp_path):
+    path = str(tmp_path / "metrics")
+    at = lambda day, second: datetime(2026, 1, day, 12, 0, second, tzinfo=timezone.utc)
+    rows = [("s", b, 10 * b, 0, 1.0, 2.0, 3.0, at(1 + b // 3, b)) for b in range(6)]
+    for row in [*rows, ("s", 1, 99, 0, 1.0, 2.0, 3.0, at(1, 50))]:  # batch 1 was written again
+        mt._add(spark, path, mt.BATCHES, [row], mt.MEASUREMENT)
+    mt._add(spark, path, mt.TIMINGS, [("s", b, 10 * b, 1, 2, 3, 4, 50, at(3, b)) for b in range(5)], mt.TIMING)
+    before = sorted(mt.run_metrics(spark, path).collect())
+    assert [r.rows for r in before] == [0, 99, 20, 30, 40, 50] and [r.wall_ms for r in before] == [50.0] * 5 + [3.0]
+    assert mt.merge_days(spark, path, date(2026, 1, 2)) == 1  # the second day is not over
+    count = lambda kind: sorted(r["count"] for r in pf.files(spark, f"{path}/{kind}").groupBy("folder").count().collect())
+    assert count(mt.BATCHES) == [1, 3] and mt.merge_days(spark, path) == 1 and count(mt.BATCHES) == [1, 1]
+    assert mt.merge_days(spark, path) == 0
+    assert sorted(mt.run_metrics(spark, path).collect()) == before
+
+
+def test_jobs_from_one_configuration(spark, topic, sf_dir, tmp_path):
+    """Both streams, back-fill, analytics, upkeep and report, with the settings they take."""
+    cfg = JobConfig(**{f"{n}_path": str(tmp_path / n) for n in ("transactions", "accounts", "analytics", "checkpoint")}, metrics_history=1,
+                    vacuum_retention_hours=0, cost_per_core_hour=3600.0, worker_cores=2)
+    listener = mt.BatchListener(spark, hold=1)
+    spark.streams.addListener(listener)
+    try:
+        queries = [jobs.run_transactions(spark, cfg, tp.stream_files(spark, topic, max_files=2), once=True, listener=listener)]
+        events = str(tmp_path / "events")
+        fx.account_envelope(spark, sf_dir, keyless=True).repartition(3).write.parquet(events)
+        queries.append(jobs.run_accounts(spark, cfg, tp.stream_files(spark, events, max_files=1), once=True, listener=listener))
+        for q in queries:
+            q.awaitTermination()
+            assert listener.wait(q)
+    finally:
+        spark.streams.removeListener(listener)
+    assert mt.timings(spark, jobs.metrics_path(cfg.accounts_path)).count() == 3
+    keyed = tp.account_updates(tp.read_files(spark, events), ACCOUNT)
+    assert up.AccountTable(spark, cfg.accounts_path).current().agg(F.sum("transaction_count")).first()[0] == keyed.count()
+    rows = jobs.run_analytics_job(spark, cfg)["rows"]
+    assert rows == tb.stream_rows(spark, cfg.transactions_path).count() and spark.read.parquet(f"{cfg.analytics_path}/currency_stats").count() > 0
+    report = jobs.run_report(spark, cfg).first()
+    assert report.batches == 1 and report.transform_pct + report.write_pct <= 100.02
+    assert report.estimated_cost == pytest.approx(report.wall_clock_seconds * 2, rel=0.01)
+    path = jobs.run_backfill(spark, cfg, tp.read_files(spark, topic))
+    assert tb.read(spark, path).count() == rows
+    expired = [r.version for r in jobs.run_upkeep(spark, cfg).collect()]
+    assert sorted(expired) == list(range(len(expired))) and len(expired) == up.AccountTable(spark, cfg.accounts_path).commits().count() - 1
+
+
+def test_compaction_in_place_keeps_untouched_files(spark, tmp_path):
+    path = str(tmp_path / "a table")
+    df = spark.range(3000).select("id", F.expr("CASE id % 3 WHEN 0 THEN 'x/y z' WHEN 1 THEN '007' END").alias("b"), (F.col("id") % 2).alias("a"))
+    for i in range(3):  # folder a=0/b=007 gets one file, all others three
+        part = df.filter(F.pmod(F.xxhash64("id"), F.lit(3)) == i)
+        part.filter("a = 1 OR b IS NULL OR b <> '007'").repartition(1).write.mode("append").partitionBy("a", "b").parquet(path)
+    df.filter("a = 0 AND b = '007'").repartition(1).write.mode("append").partitionBy("a", "b").parquet(path)
+    before = {r.file_path for r in pf.files(spark, path).collect()}
+    plan = mn.compact_in_place(spark, path, target_bytes=1 << 20)
+    after = pf.files(spark, path).collect()
+    assert len(before) == 16 and plan.count() == 15 and len(after) == 6 and len(before & {r.file_path for r in after}) == 1
+    stored = spark.read.schema("id long, a long, b string").parquet(path).select(df.columns)
+    assert stored.exceptAll(df).isEmpty() and stored.count() == 3000
+    assert mn.compact_in_place(spark, path, target_bytes=1 << 20).count() == 0
+    sizes = [r.file_size for r in after]
+    assert mn.compaction_plan(spark, path, target_bytes=min(sizes)).count() == 0  # nothing to gain
+
+
+def test_files_are_listed_and_rows_counted_from_footers(spark, tmp_path):
+    path = str(tmp_path / "table")
+    spark.range(100).withColumn("k", F.col("id") % 4).repartition(2).write.partitionBy("k").parquet(path)
+    text = plan_text(pf.files(spark, path))
+    assert "binaryFile" in text and "ReadSchema: struct<>" in text
+    with pf.footer_counts(spark):
+        assert "PushedAggregation: [COUNT(*)]" in plan_text(pf.counted_from_footers(spark, path))
+    assert "PushedAggregation" not in plan_text(pf.counted_from_footers(spark, path))
+    info = pf.table_info(spark, path, 3).first()
+    assert (info.num_files, info.row_count, info.columns, info.partition_columns, info.version) == (8, 100, 2, "k", 3)
 
 
 def test_compaction_keeps_rows_and_files_shrink(spark, topic, tmp_path):
@@ -86,13 +196,13 @@ def test_compaction_keeps_rows_and_files_shrink(spark, topic, tmp_path):
     for i in range(2):
         sink(decoded.filter(F.col("kafka_offset") % 2 == i), i)
     before = spark.read.parquet(source)
-    after = mn.compact(spark, source, target, TRANSACTION_PARTITIONS, drop=["stream", "batch_id"])
+    after = mn.compact(spark, source, target, TRANSACTION_PARTITIONS, drop=["stream", "batch_id", "readable"])
     assert after.exceptAll(before.select(after.columns)).isEmpty() and after.count() == before.count()
-    assert pf.files(after).count() < pf.files(before).count()
-    listed = pf.partition_files(after, target).first()
+    assert pf.files(spark, target).count() < pf.files(spark, source).count()
+    listed = pf.partition_files(spark, target).first()
     assert listed["partition"].startswith("txn_year=") and listed["files"] == 1
-    info = pf.table_info(after, TRANSACTION_PARTITIONS, 3).first()
-    assert (info.row_count, info.version, info.columns) == (before.count(), 3, len(after.columns))
+    info = pf.table_info(spark, target, 3).first()
+    assert (info.row_count, info.version, info.columns, info.partition_columns) == (before.count(), 3, len(after.columns), ",".join(TRANSACTION_PARTITIONS))
 
 
 def event(account, at, sent=0.0, received=0.0, status="ACTIVE", balance=1.0, **more):
@@ -171,7 +281,7 @@ def test_new_checkpoint_loses_and_repeats_nothing(spark, topic, tmp_path):
         for _ in range(2):  # the second start on the same checkpoint has nothing to do
             txs.start(tp.stream_files(spark, part, max_files=1), sink_of(), checkpoint, {"availableNow": True}).awaitTermination()
     decoded = tp.decode(envelope, TRANSACTION)
-    stored, aside = spark.read.parquet(table), spark.read.parquet(f"{table}_quarantine")
+    stored, aside = tb.stream_rows(spark, table), tb.set_aside(spark, table)
     assert stored.select("stream").distinct().count() == 2 and stored.filter("batch_id = 0").select("stream").distinct().count() == 2
     assert stored.count() == tp.readable(decoded).count() and aside.count() == tp.unreadable(decoded).count() > 0
     where = ["topic", "kafka_partition", "kafka_offset"]
