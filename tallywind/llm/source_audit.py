@@ -298,42 +298,45 @@ def group_totals(docs: DataFrame, kept: DataFrame, counts: DataFrame) -> DataFra
         (F.row_number().over(of_lang.orderBy("source")) - 1).alias("number"), F.count("*").over(of_lang).alias("sources"))
 
 
-def _differences(_, table):
-    """Sums of |p - p'| over the ordinals of a cell, for each two of its sources, in both directions."""
-    col = {c: table.column(c).to_numpy() for c in ("number", "ord", "p", "block", "low", "high", "width", "v")}
-    head = {c: int(x[0]) for c, x in col.items()}
-    unseen = col["ord"] < 0
-    names = dict(zip(col["number"][unseen].tolist(), table.column("source").filter(pa.array(unseen)).to_pylist()))
-    width = min(head["width"], head["v"] - head["block"] * head["width"])
-
-    def matrix(block: int):
-        mine = col["number"] // SOURCES == block
-        of, which = np.unique(col["number"][mine], return_inverse=True)
-        out = np.empty((len(of), width), np.int64)
-        base = mine & unseen
-        out[np.searchsorted(of, col["number"][base])] = col["p"][base][:, None]
-        seen = ~unseen[mine]
-        out[which[seen], col["ord"][mine][seen] - head["block"] * head["width"]] = col["p"][mine][seen]
-        return of, out
-
-    (a, left), (b, right) = matrix(head["low"]), matrix(head["high"])
-    source, item, value = [], [], []
-    for i, x in zip(a.tolist(), left):
-        sums = np.abs(right - x).sum(axis=1)
-        for j, s in zip(b.tolist(), sums.tolist()):
-            if i != j:
-                source.append(names[i])
-                item.append(names[j])
-                value.append(s)
-    if head["low"] != head["high"]:
-        source, item, value = source + item, item + source, value + value
-    lang = table.column("lang")[0].as_py()
-    return pa.table({"lang": pa.array([lang] * len(value), pa.string()), "source": pa.array(source, pa.string()), "item": pa.array(item, pa.string()), "value": pa.array(value, pa.int64())})
-
-
-def pair_values(counts: DataFrame, totals: DataFrame) -> DataFrame:
+def _differences(per_block: int):
+    def differences(_, table):
+        """Sums of |p - p'| over the ordinals of a cell, for each two of its sources, in both directions."""
+        col = {c: table.column(c).to_numpy() for c in ("number", "ord", "p", "block", "low", "high", "width", "v")}
+        head = {c: int(x[0]) for c, x in col.items()}
+        unseen = col["ord"] < 0
+        names = dict(zip(col["number"][unseen].tolist(), table.column("source").filter(pa.array(unseen)).to_pylist()))
+        width = min(head["width"], head["v"] - head["block"] * head["width"])
+
+        def matrix(block: int):
+            mine = col["number"] // per_block == block
+            of, which = np.unique(col["number"][mine], return_inverse=True)
+            out = np.empty((len(of), width), np.int64)
+            base = mine & unseen
+            out[np.searchsorted(of, col["number"][base])] = col["p"][base][:, None]
+            seen = ~unseen[mine]
+            out[which[seen], col["ord"][mine][seen] - head["block"] * head["width"]] = col["p"][mine][seen]
+            return of, out
+
+        (a, left), (b, right) = matrix(head["low"]), matrix(head["high"])
+        source, item, value = [], [], []
+        for i, x in zip(a.tolist(), left):
+            sums = np.abs(right - x).sum(axis=1)
+            for j, s in zip(b.tolist(), sums.tolist()):
+                if i != j:
+                    source.append(names[i])
+                    item.append(names[j])
+                    value.append(s)
+        if head["low"] != head["high"]:
+            source, item, value = source + item, item + source, value + value
+        lang = table.column("lang")[0].as_py()
+        return pa.table({"lang": pa.array([lang] * len(value), pa.string()), "source": pa.array(source, pa.string()), "item": pa.array(item, pa.string()), "value": pa.array(value, pa.int64())})
+
+    return differences
+
+
+def pair_values(counts: DataFrame, totals: DataFrame, per_block: int = SOURCES, cell: int = CELL) -> DataFrame:
     """``lang, source, item, value`` for every two sources of a language."""
-    width = F.greatest(F.lit(1), F.least(F.lit(WIDTH), (F.lit(CELL) / F.least("sources", F.lit(2 * SOURCES))).cast("long")))
+    width = F.greatest(F.lit(1), F.least(F.lit(WIDTH), (F.lit(cell) / F.least("sources", F.lit(2 * per_block))).cast("long")))
     plan = lookup_side(totals.filter("sources > 1").withColumn("width", width), "audit-groups")
     seen = counts.join(plan, ["lang", "source"]).select(
         "lang", F.lit(None).cast("string").alias("source"), "number", "ord", _share(F.col("n"), F.col("total"), F.col("v")).alias("p"), "width", "v", "sources",
@@ -342,10 +345,10 @@ def pair_values(counts: DataFrame, totals: DataFrame) -> DataFrame:
     base = plan.select(
         "lang", "source", "number", F.lit(-1).cast("long").alias("ord"), F.col("unseen").alias("p"), "width", "v", "sources",
         F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.expr("(v + width - 1) div width"), F.lit(1).cast("long")) - 1)).alias("block"))
-    own = F.expr(f"number div {SOURCES}")
-    rows = seen.unionByName(base).withColumn("other", F.explode(F.expr(f"sequence(0L, (sources - 1) div {SOURCES})")))
+    own = F.expr(f"number div {per_block}")
+    rows = seen.unionByName(base).withColumn("other", F.explode(F.expr(f"sequence(0L, (sources - 1) div {per_block})")))
     rows = rows.select("lang", "block", F.least(own, "other").alias("low"), F.greatest(own, "other").alias("high"), "source", "number", "ord", "p", "width", "v")
-    sums = rows.groupBy("lang", "block", "low", "high").applyInArrow(_differences, "lang string, source string, item string, value long")
+    sums = rows.groupBy("lang", "block", "low", "high").applyInArrow(_differences(per_block), "lang string, source string, item string, value long")
     return sums.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
 
 
@@ -358,7 +361,8 @@ def marked_terms(counts: DataFrame, totals: DataFrame, top: int = TOP) -> DataFr
     return ranked.filter(F.col("rank") <= top)
 
 
-def source_audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, resident_bytes: int = RESIDENT_BYTES, shard_terms: int = SHARD_TERMS) -> DataFrame:
+def source_audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, resident_bytes: int = RESIDENT_BYTES, shard_terms: int = SHARD_TERMS,
+                 per_block: int = SOURCES, cell: int = CELL) -> DataFrame:
     """``lang, source, part, item, value, rank``: parts ``pair`` (other sources by distance) and ``term`` (terms a source favours)."""
     docs = _documents(docs)
     kept = kept_terms(docs, min_docs)
@@ -373,7 +377,7 @@ def source_audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, resi
             items = [shared.value.term(lang, o, resident).decode() for lang, o in zip(batch.column("lang").to_pylist(), batch.column("ord").to_pylist())]
             yield batch.set_column(batch.schema.get_field_index("ord"), "item", pa.array(items, pa.string()))
 
-    pairs = pair_values(counts, totals)
+    pairs = pair_values(counts, totals, per_block, cell)
     by_distance = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(by_distance).alias("rank"))
     terms = stage(marked_terms(counts, totals, top).select("lang", "source", "ord", "value", "rank"), "marked-terms")
