@@ -3,7 +3,9 @@
 Parquet has no MERGE. Each micro-batch is reduced to one row per account and
 appended as a delta, so a batch costs what it touches and not what the table
 holds; the current state is the fold of snapshot and deltas, and every few
-batches a compaction merges the deltas into the next snapshot.
+batches a compaction merges the deltas into the snapshot. The snapshot is divided
+into buckets by a hash of the account, and a compaction reads and rewrites only
+those that the deltas meet.
 """
 
 from __future__ import annotations
@@ -11,12 +13,14 @@ from __future__ import annotations
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as fn
-from ..sources.schemas import ACCOUNT, ACCOUNT_PARTITIONS
+from ..sources.schemas import ACCOUNT
+from ..sources.tables import balanced
+from .profile import files
 
 SNAPSHOT_FIELDS = ["balance", "account_status", "risk_rating", "kyc_level"]
 TOTALS = ["total_sent", "total_received"]
@@ -113,11 +117,16 @@ STORED = T.StructType([
 
 
 class AccountTable:
-    """Snapshots, deltas and commits below one path; a version becomes visible with its commit row."""
+    """Snapshots, deltas and commits below one path; a version becomes visible with its commit row.
 
-    def __init__(self, spark: SparkSession, path: str, compact_every: int = 16, event_time_guard: bool = False):
+    A bucket's state is the newest committed snapshot version that has a folder for it. The number of buckets is that of the first
+    snapshot, whatever is asked for later.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, compact_every: int = 16, event_time_guard: bool = False, buckets: int = 64):
         self.spark, self.path = spark, path.rstrip("/")
-        self.compact_every, self.event_time_guard = compact_every, event_time_guard
+        self.compact_every, self.event_time_guard, self.buckets = compact_every, event_time_guard, buckets
+        self._opened = False
 
     def commits(self) -> DataFrame | None:
         """The commit log, or nothing before the first commit."""
@@ -128,6 +137,12 @@ class AccountTable:
                 return None
             raise
 
+    def _open(self) -> None:
+        """Make sure that there is a log to look at."""
+        if not self._opened:
+            self.spark.createDataFrame([], COMMIT).write.mode("ignore").parquet(f"{self.path}/_commits/none")
+            self._opened = True
+
     def head(self):
         log = self.commits()
         return log.orderBy(F.desc("version")).first() if log is not None else None
@@ -143,51 +158,86 @@ class AccountTable:
         stored = T.StructType([*STORED.fields, T.StructField("version", T.LongType())])
         return self.spark.read.schema(stored).option("basePath", f"{self.path}/deltas").parquet(*folders).withColumnRenamed("version", "batch_id")
 
-    def _snapshot(self, version: int) -> DataFrame:
-        return self.spark.read.schema(STORED).parquet(f"{self.path}/snapshots/v={version:012d}").select(*STORED.fieldNames())
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("account_id"), F.lit(self.buckets)).cast("int")
+
+    def _bases(self, base_version: int) -> dict[int, int]:
+        """The snapshot version of every bucket as of ``base_version``; folders of versions that no compaction committed do not count."""
+        if base_version < 0:
+            return {}
+        made = self.commits().filter((F.col("operation") == "COMPACT") & (F.col("version") <= base_version)).select("version")
+        names = files(self.spark, f"{self.path}/snapshots").select("folder").distinct()
+        part = lambda name: F.regexp_extract("folder", f"{name}=(\\d+)", 1).cast("long")
+        newest = names.select(part("of").alias("of"), part("v").alias("version"), part("bucket").alias("bucket")).join(made, "version").groupBy(
+            "of", "bucket").agg(F.max("version").alias("version")).collect()  # one row per bucket
+        self.buckets = newest[0]["of"]
+        return {r["bucket"]: r["version"] for r in newest}
+
+    def _snapshot(self, bases: dict[int, int]) -> DataFrame:
+        """The stored rows of the given buckets."""
+        if not bases:
+            return self.spark.createDataFrame([], STORED)
+        top = f"{self.path}/snapshots"
+        folders = [f"{top}/of={self.buckets}/v={version:012d}/bucket={bucket}" for bucket, version in bases.items()]
+        return self.spark.read.schema(STORED).option("basePath", top).parquet(*folders).select(*STORED.fieldNames())
+
+    def _met(self, batches: DataFrame) -> set[int]:
+        """The buckets that some batches have rows for."""
+        return {r["bucket"] for r in batches.select(self._bucket().alias("bucket")).distinct().collect()}
 
     def current(self) -> DataFrame:
-        """The table as of the last commit."""
+        """The table as of the last commit; only buckets with deltas are folded."""
         head = self.head()
         if head is None:
             return self.spark.createDataFrame([], STORED)
+        bases = self._bases(head.base_version)
         if not head.deltas:
-            return self._snapshot(head.base_version)
+            return self._snapshot(bases)
         batches = self._deltas(head.deltas)
-        if head.base_version >= 0:
-            batches = self._snapshot(head.base_version).withColumn("batch_id", F.lit(-1).cast("long")).unionByName(batches)
-        return fold(batches, self.event_time_guard)
+        if not bases:
+            return fold(batches, self.event_time_guard)
+        met = self._met(batches)
+        old = self._snapshot({b: v for b, v in bases.items() if b in met}).withColumn("batch_id", F.lit(-1).cast("long"))
+        return fold(old.unionByName(batches), self.event_time_guard).unionByName(self._snapshot({b: v for b, v in bases.items() if b not in met}))
 
     def apply(self, events: DataFrame, batch_id: int, stream: str = "direct") -> int | None:
         """Take in one micro-batch of a stream and return its number of events.
 
-        A batch that this stream committed before is skipped (``None``), so a replay changes nothing. Batches count up within a
-        stream; the merge order is the order of the commits.
+        A batch that this stream committed before is skipped (``None``), so a replay changes nothing; one without events commits nothing.
+        Batches count up within a stream; the merge order is the order of the commits.
         """
+        self._open()
         head = self.head()
         last = dict(head.last_batches) if head else {}
         if batch_id <= last.get(stream, -1):
             return None
-        version = head.version + 1 if head else 0
-        folder = f"{self.path}/deltas/version={version}"
-        batch_source(events).write.mode("overwrite").parquet(folder)
-        accounts, absorbed = self.spark.read.schema(STORED).parquet(folder).agg(
-            F.count(F.lit(1)), F.coalesce(F.sum("transaction_count"), F.lit(0))).first()
+        version, counted = head.version + 1 if head else 0, Observation()
+        # Counted in the stage that commits the files, so a task that ran twice counts once.
+        rows = batch_source(events).observe(counted, F.count(F.lit(1)).alias("accounts"), F.sum("transaction_count").alias("events"))
+        rows.write.mode("overwrite").parquet(f"{self.path}/deltas/version={version}")
+        accounts, absorbed = counted.get.get("accounts", 0), counted.get.get("events") or 0
+        if not accounts:
+            return 0
         deltas = [*(head.deltas if head else []), version]
         self._commit(version, batch_id, head.base_version if head else -1, "MERGE" if head else "CREATE", accounts, deltas, {**last, stream: batch_id})
         if len(deltas) >= self.compact_every:
             self.compact()
         return absorbed
 
-    def compact(self) -> None:
-        """Merge all deltas since the last snapshot into the next one, partitioned by country."""
+    def compact(self) -> list[int]:
+        """Merge all deltas since the last snapshot into the buckets they meet; returns those."""
         head = self.head()
         if head is None or not head.deltas:
-            return
-        state = fold(self._deltas(head.deltas), self.event_time_guard)
-        if head.base_version >= 0:
-            state = merge(self._snapshot(head.base_version), state, self.event_time_guard)
-        version = head.version + 1
-        path = f"{self.path}/snapshots/v={version:012d}"
-        state.hint("rebalance", *ACCOUNT_PARTITIONS).write.mode("overwrite").partitionBy(*ACCOUNT_PARTITIONS).parquet(path)
-        self._commit(version, head.batch_id, version, "COMPACT", self._snapshot(version).count(), [], dict(head.last_batches))
+            return []
+        bases = self._bases(head.base_version)
+        batches = self._deltas(head.deltas)
+        met = self._met(batches)
+        state = fold(batches, self.event_time_guard)
+        known = {b: v for b, v in bases.items() if b in met}
+        if known:
+            state = merge(self._snapshot(known), state, self.event_time_guard)
+        version, counted = head.version + 1, Observation()
+        dealt = balanced(state.withColumn("bucket", self._bucket()), ["bucket"]).observe(counted, F.count(F.lit(1)).alias("accounts"))
+        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/snapshots/of={self.buckets}/v={version:012d}")
+        self._commit(version, head.batch_id, version, "COMPACT", counted.get["accounts"], [], dict(head.last_batches))
+        return sorted(met)

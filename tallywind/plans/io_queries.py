@@ -48,10 +48,6 @@ def transaction_topic(spark, sf_dir) -> str:
     return _topic(spark, sf_dir, "txn-topic", fx.transaction_envelope)
 
 
-def account_topic(spark, sf_dir) -> str:
-    return _topic(spark, sf_dir, "acct-topic", fx.account_envelope)
-
-
 def _listener(spark: SparkSession) -> mt.BatchListener:
     """One listener per application."""
     def make():
@@ -79,17 +75,27 @@ def transaction_run(spark, sf_dir) -> dict:
     return _once(spark, sf_dir, "txn-run", lambda: _stream_over_topic(spark, sf_dir))
 
 
-def account_run(spark, sf_dir) -> dict:
-    def make():
-        out = {n: scratch_path(spark, n) for n in ("accounts", "account-metrics", "account-checkpoint")}
-        table = up.AccountTable(spark, out["accounts"], compact_every=2)
-        sink = acs.AccountSink(table, out["account-metrics"])
-        q = acs.start(tp.stream_files(spark, account_topic(spark, sf_dir), max_files=3), sink,
-                      out["account-checkpoint"], {"availableNow": True}, EVENT_WITH_ID)
-        q.awaitTermination()
-        return {**out, "sink": sink, "table": table}
+# Four periods of account events; the stream of the queries below meets them in this order.
+PERIOD = "CASE WHEN updated_at < '1994' THEN 0 WHEN updated_at < '1996-06' THEN 1 WHEN updated_at < '1999' THEN 2 ELSE 3 END"
 
-    return _once(spark, sf_dir, "acct-run", make)
+
+def _account_run(spark, sf_dir) -> dict:
+    """The account stream over a topic whose files were written in the order of time, one file a batch."""
+    out = {n: scratch_path(spark, n) for n in ("accounts", "account-metrics", "account-checkpoint", "account-topic")}
+    envelope = fx.account_envelope(spark, sf_dir).withColumn("updated_at", F.get_json_object(F.col("value").cast("string"), "$.updated_at"))
+    for period in range(4):
+        envelope.filter(F.expr(PERIOD) == period).drop("updated_at").repartition(1).write.mode("append").parquet(out["account-topic"])
+    table = up.AccountTable(spark, out["accounts"], compact_every=2)
+    sink = acs.AccountSink(table, out["account-metrics"])
+    q = acs.start(tp.stream_files(spark, out["account-topic"], max_files=1), sink,
+                  out["account-checkpoint"], {"availableNow": True}, EVENT_WITH_ID)
+    q.awaitTermination()
+    return {**out, "sink": sink, "table": table}
+
+
+def account_run(spark, sf_dir) -> dict:
+    """A run that several queries read and none changes."""
+    return _once(spark, sf_dir, "acct-run", lambda: _account_run(spark, sf_dir))
 
 
 _PART = fx.ENVELOPE_PARTITION.format(id="transaction_id")
@@ -292,25 +298,53 @@ def new_checkpoint(spark, sf_dir):
     return tb.stream_rows(spark, table).groupBy("currency").agg(F.count(F.lit(1)).alias("records"), F.count_distinct("transaction_id").alias("transactions"))
 
 
-_STATE = f"""SELECT account_id, ANY_VALUE(holder_name) AS holder_name, ANY_VALUE(country) AS country, {total('total_sent')} AS total_sent,
- {total('total_received')} AS total_received, COUNT(*) AS transaction_count, MAX(last_transaction_time) AS last_transaction_time FROM acct GROUP BY account_id"""
-_STATE_COLUMNS = ["account_id", "holder_name", "country", "total_sent", "total_received", "transaction_count", "last_transaction_time"]
+_ACCOUNT_COLUMNS = ACCOUNT.fieldNames()
+_BY_TIME = "(updated_at, event_id)"
+_OF_BATCH = ", ".join([
+    "account_id", *[f"ARG_MAX({c}, {_BY_TIME}) AS {c}" for c in [*up.FIXED_FIELDS, *up.SNAPSHOT_FIELDS]], *[f"{total(c)} AS {c}" for c in up.TOTALS],
+    "COUNT(*) AS transaction_count", "MAX(last_transaction_time) AS last_transaction_time", "MAX(updated_at) AS updated_at"])
+# What batches in the order of time leave: fields that a merge keeps are those of an account's first batch.
+_IN_TIME = ", ".join([
+    "account_id", *[f"ARG_MAX({c}, {_BY_TIME}) FILTER (WHERE period = first_period) AS {c}" for c in up.FIXED_FIELDS],
+    *[f"ARG_MAX({c}, {_BY_TIME}) AS {c}" for c in up.SNAPSHOT_FIELDS], *[f"{total(c)} AS {c}" for c in up.TOTALS],
+    "COUNT(*) AS transaction_count", "MAX(last_transaction_time) AS last_transaction_time", "MAX(updated_at) AS updated_at"])
+_STATE = f"""SELECT {_IN_TIME} FROM (SELECT *, MIN(period) OVER (PARTITION BY account_id) AS first_period FROM (SELECT *, {PERIOD} AS period FROM acct)) GROUP BY account_id"""
 
 
 @query("t5_upsert_stream", over_acct(_STATE))
 def upsert_stream(spark, sf_dir):
-    """Files arrive in no time order, so only what does not depend on the order is compared."""
-    return account_run(spark, sf_dir)["table"].current().select(*_STATE_COLUMNS)
+    """All fields of every account after four batches with two compactions."""
+    return account_run(spark, sf_dir)["table"].current().select(*_ACCOUNT_COLUMNS)
 
 
 @query("t6_replayed_batches", over_acct(_STATE))
 def replayed_batches(spark, sf_dir):
     """All events sent again under batch ids that their stream committed before."""
-    run = account_run(spark, sf_dir)
-    events = tp.account_updates(tp.read_files(spark, account_topic(spark, sf_dir)), EVENT_WITH_ID)
-    for batch_id in (0, 1):
+    run = _account_run(spark, sf_dir)
+    events = tp.account_updates(tp.read_files(spark, run["account-topic"]), EVENT_WITH_ID)
+    for batch_id in range(4):
         run["sink"](events, batch_id)
-    return run["table"].current().select(*_STATE_COLUMNS)
+    return run["table"].current().select(*_ACCOUNT_COLUMNS)
+
+
+@query("t5_rewritten_buckets", over_acct("""SELECT COUNT(DISTINCT account_id) AS accounts, 64 AS buckets, 1 AS rewritten, MAX(updated_at) AS newest, 1 AS changed FROM acct"""))
+def rewritten_buckets(spark, sf_dir):
+    """A snapshot of all accounts, then a batch of one: its bucket alone is written again."""
+    table = up.AccountTable(spark, scratch_path(spark, "bucketed"), compact_every=100)
+    events = fx.account_events(spark, sf_dir)
+    table.apply(events, 0)
+    table.compact()
+    one = events.agg(F.min("account_id")).first()[0]
+    newest = events.agg(F.max("updated_at")).first()[0]
+    table.apply(events.filter(F.col("account_id") == one).limit(1).withColumn("updated_at", F.lit(newest)).withColumn("account_status", F.lit("CHANGED")), 1)
+    rewritten = table.compact()
+    folders = pf.files(spark, f"{table.path}/snapshots").select("folder").distinct()
+    version = F.regexp_extract("folder", "v=(\\d+)", 1)
+    per_version = folders.groupBy(version.alias("v")).count().orderBy("v").collect()
+    assert [r["count"] for r in per_version][1:] == [len(rewritten)]
+    return table.current().agg(
+        F.count(F.lit(1)).alias("accounts"), F.lit(per_version[0]["count"]).cast("int").alias("buckets"), F.lit(len(rewritten)).alias("rewritten"),
+        F.max("updated_at").alias("newest"), F.count_if(F.col("account_status") == "CHANGED").cast("int").alias("changed"))
 
 
 @query("t6_replayed_append", over_txn("SELECT currency, COUNT(*) AS records, COUNT(DISTINCT transaction_id) AS transactions FROM txn GROUP BY currency"))
@@ -357,19 +391,14 @@ def retained(spark, sf_dir):
 
 # Two account batches: before 1997 without every third account, and the rest.
 _FIRST = "(SUBSTR(updated_at, 1, 4) < '1997' AND CAST(SUBSTR(account_number, 5) AS INT) % 3 <> 0)"
-_SOURCE = f"""SELECT account_id, ARG_MAX(account_number, (updated_at, event_id)) AS account_number, ARG_MAX(holder_name, (updated_at, event_id)) AS holder_name,
- ARG_MAX(country, (updated_at, event_id)) AS country, ARG_MAX(account_status, (updated_at, event_id)) AS account_status,
- ARG_MAX(balance, (updated_at, event_id)) AS balance, ARG_MAX(risk_rating, (updated_at, event_id)) AS risk_rating, ARG_MAX(kyc_level, (updated_at, event_id)) AS kyc_level,
- ARG_MAX(created_at, (updated_at, event_id)) AS created_at, {total('total_sent')} AS total_sent, {total('total_received')} AS total_received,
- COUNT(*) AS transaction_count, MAX(last_transaction_time) AS last_transaction_time, MAX(updated_at) AS updated_at FROM acct"""
+_SOURCE = f"SELECT {_OF_BATCH} FROM acct"
 _TWO_BATCHES = f""", s0 AS ({_SOURCE} WHERE {_FIRST} GROUP BY account_id), s1 AS ({_SOURCE} WHERE NOT {_FIRST} GROUP BY account_id)"""
-_ACCOUNT_COLUMNS = ["account_id", "account_number", "holder_name", "country", "account_status", "balance", "risk_rating", "kyc_level",
-                    "created_at", "total_sent", "total_received", "transaction_count", "last_transaction_time", "updated_at"]
 _PLAIN = ", ".join(_ACCOUNT_COLUMNS)
 _ADDED = "CAST(CAST(s0.{c} AS DECIMAL(18,2)) + CAST(s1.{c} AS DECIMAL(18,2)) AS DOUBLE) AS {c}"
-_MATCHED = ("SELECT s0.account_id, s0.account_number, s0.holder_name, s0.country, s1.account_status, s1.balance, s1.risk_rating, s1.kyc_level, s0.created_at, "
-            f"{_ADDED.format(c='total_sent')}, {_ADDED.format(c='total_received')}, s0.transaction_count + s1.transaction_count AS transaction_count, "
-            "GREATEST(s0.last_transaction_time, s1.last_transaction_time) AS last_transaction_time, s1.updated_at FROM s0 JOIN s1 USING (account_id)")
+_MATCHED = "SELECT " + ", ".join([
+    "s0.account_id", *[f"s0.{c}" for c in up.FIXED_FIELDS], *[f"s1.{c}" for c in up.SNAPSHOT_FIELDS], *[_ADDED.format(c=c) for c in up.TOTALS],
+    "s0.transaction_count + s1.transaction_count AS transaction_count", "GREATEST(s0.last_transaction_time, s1.last_transaction_time) AS last_transaction_time",
+    "s1.updated_at"]) + " FROM s0 JOIN s1 USING (account_id)"
 _INSERTED = f"SELECT {_PLAIN} FROM s1 WHERE account_id NOT IN (SELECT account_id FROM s0)"
 _KEPT = f"SELECT {_PLAIN} FROM s0 WHERE account_id NOT IN (SELECT account_id FROM s1)"
 
@@ -398,7 +427,7 @@ def first_batch(spark, sf_dir):
     return table.current().select(*_ACCOUNT_COLUMNS)
 
 
-@query("m4_matched_update", over_acct(f"{_TWO_BATCHES} {_MATCHED}"))
+@query("m4_matched_update", over_acct(f"{_TWO_BATCHES} SELECT {_PLAIN} FROM ({_MATCHED})"))
 def matched_update(spark, sf_dir):
     target, source = _two_batches(spark, sf_dir)
     both = target.select("account_id").join(source.select("account_id"), "account_id")
@@ -411,18 +440,16 @@ def inserted(spark, sf_dir):
     return up.merge(target, source).join(target.select("account_id"), "account_id", "left_anti").select(*_ACCOUNT_COLUMNS)
 
 
-@query("m6_batches_equal_one_fold", over_acct(f"{_SOURCE} GROUP BY account_id".replace(
-    "ARG_MAX(created_at, (updated_at, event_id))", "'' ")))
+@query("m6_batches_equal_one_fold", over_acct(_STATE))
 def batches_equal_fold(spark, sf_dir):
     """Four batches in time order, with a compaction on the way, give what one pass over all events gives."""
-    events = fx.account_events(spark, sf_dir).withColumn("period", F.expr(
-        "CASE WHEN updated_at < '1994' THEN 0 WHEN updated_at < '1996-06' THEN 1 WHEN updated_at < '1999' THEN 2 ELSE 3 END"))
+    events = fx.account_events(spark, sf_dir).withColumn("period", F.expr(PERIOD))
     table = up.AccountTable(spark, scratch_path(spark, "m6"), compact_every=3)
     for batch_id in range(4):
         table.apply(events.filter(F.col("period") == batch_id).drop("period"), batch_id)
-    return table.current().withColumn("created_at", F.lit("")).select(*_ACCOUNT_COLUMNS)
+    return table.current().select(*_ACCOUNT_COLUMNS)
 
 
-@query("j6_full_outer_merge", over_acct(f"{_TWO_BATCHES} {_MATCHED} UNION ALL {_INSERTED} UNION ALL {_KEPT}"))
+@query("j6_full_outer_merge", over_acct(f"{_TWO_BATCHES} SELECT {_PLAIN} FROM ({_MATCHED}) UNION ALL {_INSERTED} UNION ALL {_KEPT}"))
 def full_outer_merge(spark, sf_dir):
     return up.merge(*_two_batches(spark, sf_dir)).select(*_ACCOUNT_COLUMNS)

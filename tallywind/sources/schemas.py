@@ -73,7 +73,6 @@ CATEGORIES = ["RETAIL", "CORPORATE", "GOVERNMENT", "INTERBANK"]
 CHANNELS = ["ONLINE", "BRANCH", "ATM", "MOBILE", "API"]
 
 TRANSACTION_PARTITIONS = ["txn_year", "txn_month", "currency"]
-ACCOUNT_PARTITIONS = ["country"]
 
 # Columns with a new value in almost every row; dictionary encoding is wasted on them.
 UNIQUE_COLUMNS = ["transaction_id", "kafka_key", "timestamp", "device_fingerprint", "session_id", "device_short_id", "session_prefix", "row_id"]

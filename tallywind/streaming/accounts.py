@@ -20,12 +20,10 @@ class AccountSink(Follows):
         self.table, self.metrics_path = table, metrics_path
 
     def __call__(self, events: DataFrame, batch_id: int) -> None:
-        if events.isEmpty():
-            return
         started = time.perf_counter()
         stream = self.stream(self.table.spark)
         records = self.table.apply(events, batch_id, stream)
-        if records is not None and self.metrics_path:
+        if records and self.metrics_path:
             elapsed = (time.perf_counter() - started) * 1000
             record_batch(self.table.spark, self.metrics_path, batch_id, records, transform_ms=0.0, write_ms=elapsed, wall_ms=elapsed, stream=stream)
 

@@ -223,7 +223,7 @@ def test_account_rules(spark, tmp_path, compact_every):
     assert table.apply(frame(spark, event("a", "2026-01-02", 10.0, holder_name="first"), event("a", "2026-01-01", 5.5, status="CLOSED"), event("b", "2026-01-01", None, None)), 0) == 3
     assert table.apply(frame(spark, event("a", "2026-01-03", 1.0, 2.0, "DORMANT", 9.0, holder_name="second", last_transaction_time=None),
                              event("b", "2026-01-02", None, None), event("c", "2026-01-01", None, 4.0)), 1) == 3
-    assert table.apply(frame(spark, event("a", "2026-01-03", 100.0)), 1) is None
+    assert table.apply(frame(spark, event("a", "2026-01-03", 100.0)), 1) is None and table.apply(frame(spark).limit(0), 7) == 0
     assert table.apply(frame(spark, event("a", "2025-12-31", 0.1, 0.2, "ACTIVE", 3.0)), 2) == 1
     rows = {r.account_id: r for r in table.current().collect()}
     a, b, c = rows["a"], rows["b"], rows["c"]
@@ -237,6 +237,38 @@ def test_account_rules(spark, tmp_path, compact_every):
     assert pf.history(table.commits(), 2).count() == 2
 
 
+def test_compaction_rewrites_only_met_buckets(spark, tmp_path):
+    table = up.AccountTable(spark, str(tmp_path / "accounts"), compact_every=100, buckets=16)
+    table.apply(frame(spark, *(event(f"a{i}", "2026-01-01", 1.0) for i in range(200))), 0)
+    assert table.compact() == list(range(16))
+    stored = lambda: {r.file_path for r in pf.files(spark, f"{table.path}/snapshots").collect()}
+    before = stored()
+    again = up.AccountTable(spark, table.path, compact_every=100, buckets=3)  # the table keeps its number of buckets
+    again.apply(frame(spark, event("a7", "2026-01-02", 5.0), event("a7", "2026-01-03", 6.0), event("a8", "2026-01-02")), 1)
+    met = again.compact()
+    assert 1 <= len(met) <= 2 and again.buckets == 16
+    added = stored() - before
+    assert before < stored() and {int(f.split("bucket=")[1].split("/")[0]) for f in added} == set(met)
+    rows = {r.account_id: r for r in table.current().collect()}
+    assert len(rows) == 200 and rows["a7"].total_sent == 12.0 and rows["a7"].transaction_count == 3 and rows["a9"].total_sent == 1.0
+    again.apply(frame(spark, event("a9", "2026-01-04", 1.0), event("new", "2026-01-04", 1.0)), 2)  # not compacted yet
+    assert table.current().count() == 201 and table.current().filter("account_id = 'a9'").first().total_sent == 2.0
+
+
+def test_snapshot_of_a_lost_compaction_is_not_read(spark, tmp_path):
+    """Files of a version that no compaction committed: another commit takes the version's number."""
+    table = up.AccountTable(spark, str(tmp_path / "accounts"), compact_every=100, buckets=4)
+    table.apply(frame(spark, event("a", "2026-01-01", 1.0)), 0)
+    table.compact()
+    lost = table.current().withColumn("total_sent", F.lit(99.0)).withColumn("bucket", table._bucket())
+    lost.write.partitionBy("bucket").parquet(f"{table.path}/snapshots/of=4/v={2:012d}")
+    assert table.current().first().total_sent == 1.0
+    table.apply(frame(spark, event("a", "2026-01-02", 1.0)), 1)  # version 2
+    assert table.current().first().total_sent == 2.0
+    table.compact()
+    assert table.current().first().total_sent == 2.0
+
+
 def test_late_batches_can_be_guarded(spark, tmp_path):
     for compact_every in (1, 100):
         table = up.AccountTable(spark, str(tmp_path / f"guarded{compact_every}"), compact_every, event_time_guard=True)
