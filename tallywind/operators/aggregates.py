@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as fn
 from ..sources.schemas import CATEGORIES, STATUSES, TRANSACTION_TYPES
+from .sketches import SKETCH_SIZE, percentiles_per_key
 
 
 def currency_summary(df: DataFrame) -> DataFrame:
@@ -34,15 +35,14 @@ def approx_distinct_per_group(df: DataFrame, key: str, column: str, name: str, r
     return df.groupBy(key).agg(F.approx_count_distinct(column, rsd).alias(name))
 
 
-def approx_percentiles(df: DataFrame, key: str, column: str, names: dict[str, float], accuracy: int = 10_000) -> DataFrame:
-    """All percentiles of a group from one mergeable sketch."""
-    picked = df.groupBy(key).agg(F.percentile_approx(column, list(names.values()), accuracy).alias("_p"))
-    return picked.select(key, *[F.get("_p", F.lit(i)).alias(n) for i, n in enumerate(names)])
+def approx_percentiles(df: DataFrame, key: str, column: str, names: dict[str, float], size: int = SKETCH_SIZE) -> DataFrame:
+    """All percentiles of a group from one sketch, merged in levels: few keys do not mean few tasks."""
+    return percentiles_per_key(df, key, column, names, size)
 
 
 def currency_statistics(df: DataFrame) -> DataFrame:
-    """The full currency report. The distinct count runs beside the other aggregates: in one ``agg`` Spark would
-    keep a percentile sketch per (currency, sender) instead of one per currency."""
+    """The full currency report. Distinct counts and percentiles run beside the other aggregates: in one ``agg`` Spark would
+    keep a sketch per (currency, sender), and all sketches of a currency would meet in one task."""
     base = df.groupBy("currency").agg(
         F.count(F.lit(1)).alias("txn_count"),
         F.approx_count_distinct("receiver_account", 0.05).alias("approx_unique_receivers"),
@@ -53,13 +53,13 @@ def currency_statistics(df: DataFrame) -> DataFrame:
         fn.exact_mean(F.col("fee")).alias("avg_fee"),
         fn.exact_mean(F.col("risk_score"), 4).alias("avg_risk"),
         F.count_if("is_flagged").alias("flagged_count"),
-        F.percentile_approx("amount", [0.5, 0.95, 0.99]).alias("_p"),
     )
-    senders = distinct_per_group(df, "currency", "sender_account", "unique_senders").withColumnRenamed("currency", "_on")
-    return base.join(senders, base.currency.eqNullSafe(senders["_on"]), "left").select(
-        *[c for c in base.columns if c != "_p"], "unique_senders",
-        *[F.get("_p", F.lit(i)).alias(n) for i, n in enumerate(("median_amount", "p95_amount", "p99_amount"))],
-    ).orderBy(F.desc("total_volume"), "currency")
+    senders = distinct_per_group(df, "currency", "sender_account", "unique_senders").withColumnRenamed("currency", "_sent")
+    names = {"median_amount": 0.5, "p95_amount": 0.95, "p99_amount": 0.99}
+    percentiles = approx_percentiles(df, "currency", "amount", names).withColumnRenamed("currency", "_on")
+    return base.join(senders, base.currency.eqNullSafe(senders["_sent"]), "left").join(
+        percentiles, base.currency.eqNullSafe(percentiles["_on"]), "left").select(
+        *base.columns, "unique_senders", *names).orderBy(F.desc("total_volume"), "currency")
 
 
 def cross_summary(df: DataFrame) -> DataFrame:

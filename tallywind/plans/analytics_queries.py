@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as ag
@@ -11,6 +12,7 @@ from ..operators import joins as jn
 from ..operators import upsert as up
 from ..operators import windows as wn
 from ..operators.ordered import quantiles
+from ..session import stage
 from ..sources import fixtures as fx
 from ..sources.schemas import CATEGORIES, STATUSES, TRANSACTION_TYPES
 from .oracle import TIE, mean, over_acct, over_enriched, over_txn, total
@@ -160,12 +162,17 @@ def repeat_risk_senders(spark, sf_dir):
 
 @query("q_currency_statistics", over_txn(f"""SELECT currency, COUNT(*) AS txn_count, COUNT(DISTINCT sender_account) AS unique_senders,
  {total('amount')} AS total_volume, {mean('amount')} AS avg_amount, MIN(amount) AS min_amount, MAX(amount) AS max_amount,
- {mean('fee')} AS avg_fee, {mean('risk_score', 4, 3)} AS avg_risk, CAST(COUNT(*) FILTER (WHERE is_flagged) AS BIGINT) AS flagged_count
+ {mean('fee')} AS avg_fee, {mean('risk_score', 4, 3)} AS avg_risk, CAST(COUNT(*) FILTER (WHERE is_flagged) AS BIGINT) AS flagged_count,
+ {_DISC}, ROUND(STDDEV_SAMP(amount), 2) AS stddev_amount, TRUE AS receivers_within_bound
  FROM txn GROUP BY currency"""))
 def currency_statistics(spark, sf_dir):
-    return ag.currency_statistics(fx.transactions(spark, sf_dir)).select(
+    """Every column of the report; up to the size of a sketch its percentiles are exact."""
+    txn = fx.transactions(spark, sf_dir)
+    exact = ag.distinct_per_group(txn, "currency", "receiver_account", "receivers")
+    near = F.abs(F.col("approx_unique_receivers") - F.col("receivers")) <= 3 * 0.05 * F.col("receivers")
+    return ag.currency_statistics(txn).join(exact, "currency").select(
         "currency", "txn_count", "unique_senders", "total_volume", "avg_amount", "min_amount", "max_amount",
-        "avg_fee", "avg_risk", "flagged_count")
+        "avg_fee", "avg_risk", "flagged_count", *_PERCENTILES, F.round("stddev_amount", 2).alias("stddev_amount"), near.alias("receivers_within_bound"))
 
 
 @query("j1_repeat_offender_tag", over_txn(f"""SELECT transaction_id, high_risk_txn_count, avg_risk_score,
@@ -220,9 +227,19 @@ def top_n(spark, sf_dir):
         F.desc_nulls_last("risk_score"), F.desc_nulls_last("amount"), "transaction_id").limit(50)
 
 
-@query("j10_limit")
+def found_rows(table: DataFrame, some: DataFrame) -> DataFrame:
+    """How many of some rows are rows of the table, compared in all fields."""
+    keyed = lambda df: df.select(F.sha2(F.to_json(F.struct(*table.columns)), 256).alias("_row"))
+    found = keyed(some).join(keyed(table).distinct(), "_row", "left_semi")
+    return found.agg(F.count(F.lit(1)).cast("int").alias("found")).select(
+        F.lit(some.count()).cast("int").alias("rows"), "found", F.lit(table.count()).alias("of_rows"))
+
+
+@query("j10_limit", over_txn("SELECT 10 AS rows, 10 AS found, COUNT(*) AS of_rows FROM txn"))
 def head(spark, sf_dir):
-    return fx.transactions(spark, sf_dir).limit(10)
+    """Any ten rows of the table."""
+    txn = fx.transactions(spark, sf_dir)
+    return found_rows(txn, stage(txn.limit(10), "head"))
 
 
 @query("c1_currency_sets", over_txn(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +16,9 @@ from ..sources import fixtures as fx
 from ..sources import tables as tb
 from ..sources.schemas import TRANSACTION, TRANSACTION_PARTITIONS
 from ..streaming import metrics as mt
+from .analytics_queries import found_rows
 from .io_queries import account_run, light_path, transaction_run
-from .oracle import BATCHES, ENRICHED, TXN, over_batches, over_enriched, over_txn
+from .oracle import BATCHES, ENRICHED, TXN, over_batches, over_enriched, over_txn, total
 from .registry import query
 from .runner import run_analytics
 
@@ -75,9 +77,11 @@ def commit_history(spark, sf_dir):
     return pf.history(account_run(spark, sf_dir)["table"].commits())
 
 
-@query("v8_sample")
+@query("v8_sample", over_txn("SELECT 10 AS rows, 10 AS found, COUNT(*) AS of_rows FROM txn"))
 def sample(spark, sf_dir):
-    return pf.sample(fx.transactions(spark, sf_dir))
+    """Any ten rows: all of them, with all their fields, are rows of the table."""
+    txn = fx.transactions(spark, sf_dir)
+    return found_rows(txn, stage(pf.sample(txn), "sample"))
 
 
 @query("v9_compaction", over_txn("""SELECT transaction_id, amount, currency, SUBSTR(timestamp, 1, 4)::INT AS txn_year, SUBSTR(timestamp, 6, 2)::INT AS txn_month FROM txn"""))
@@ -500,17 +504,42 @@ def richer_source(spark, sf_dir):
     return rs.richer_source(metrics.filter("batch_id % 2 = 0"), metrics.filter("batch_id % 2 = 1"))
 
 
-@query("o2_analytics_runner", over_txn("""SELECT 'currency_stats' AS output, COUNT(DISTINCT currency) AS rows FROM txn UNION ALL
- SELECT 'pivot_type_by_currency', COUNT(DISTINCT currency) FROM txn UNION ALL
- SELECT 'top_corridors', LEAST(20, COUNT(*)) FROM (SELECT 1 FROM txn WHERE sender_country <> receiver_country GROUP BY sender_country, receiver_country HAVING COUNT(*) >= 5)"""))
+@query("o1_cached_table", over_txn("SELECT COUNT(*) AS rows, TRUE AS kept, TRUE AS released FROM txn"))
+def cached_table(spark, sf_dir):
+    """A table is kept while it is read twice, and let go."""
+    base = fx.transactions(spark, sf_dir).select("transaction_id", "amount").persist(StorageLevel.MEMORY_AND_DISK)
+    first, again = base.count(), base.count()
+    kept = first == again and "InMemoryTableScan" in base._jdf.queryExecution().executedPlan().toString()
+    base.unpersist(blocking=True)
+    return spark.range(1).select(F.lit(first).alias("rows"), F.lit(kept).alias("kept"), F.lit(base.storageLevel == StorageLevel.NONE).alias("released"))
+
+
+@query("o2_analytics_runner", over_enriched(f"""SELECT 'currency_stats' AS output, currency AS item, COUNT(*) AS n, {total('amount')} AS volume FROM txn GROUP BY currency
+ UNION ALL SELECT 'pivot_type_by_currency', currency, COUNT(*), NULL FROM txn GROUP BY currency
+ UNION ALL (SELECT 'top_corridors', CONCAT(sender_country, '>', receiver_country), COUNT(*), {total('amount')} AS volume FROM enr WHERE sender_country <> receiver_country
+  GROUP BY sender_country, receiver_country HAVING COUNT(*) >= 5 ORDER BY volume DESC, sender_country, receiver_country LIMIT 20)
+ UNION ALL SELECT 'counted', 'rows', COUNT(*), NULL FROM txn
+ UNION ALL SELECT 'counted', 'circular', COUNT(*), NULL FROM txn WHERE sender_account IN (SELECT receiver_account FROM txn)
+ UNION ALL SELECT 'counted', 'one_way', COUNT(*), NULL FROM txn WHERE sender_account NOT IN (SELECT receiver_account FROM txn)
+ UNION ALL SELECT 'counted', 'repeat_offenders', COUNT(*), NULL FROM txn WHERE sender_account IN
+  (SELECT sender_account FROM txn WHERE risk_score >= 0.7 GROUP BY sender_account HAVING COUNT(*) >= 2)
+ UNION ALL SELECT 'counted', 'multi_currency_senders', COUNT(*), NULL FROM (SELECT 1 FROM txn GROUP BY sender_account HAVING COUNT(DISTINCT currency) > 1)
+ UNION ALL SELECT 'counted', 'top_per_currency', 3 * COUNT(DISTINCT currency), NULL FROM txn"""))
 def analytics_runner(spark, sf_dir):
+    """What the job wrote, and what it counted."""
     out = scratch_path(spark, "analytics")
-    run_analytics(en.enrich(fx.transactions(spark, sf_dir)), out, SLICE)
-    rows = None
-    for name in ("currency_stats", "pivot_type_by_currency", "top_corridors"):
-        found = spark.read.parquet(f"{out}/{name}").agg(F.lit(name).alias("output"), F.count(F.lit(1)).alias("rows"))
-        rows = found if rows is None else rows.unionByName(found)
-    return rows
+    counted = run_analytics(en.enrich(fx.transactions(spark, sf_dir)), out)
+    stats, pivot, corridors = (tb.read(spark, f"{out}/{n}") for n in ("currency_stats", "pivot_type_by_currency", "top_corridors"))
+    nothing = F.lit(None).cast("double")
+    types = [F.col(f"`{c}`") for c in pivot.columns if c != "currency"]
+    parts = [
+        stats.select(F.lit("currency_stats").alias("output"), F.col("currency").alias("item"), F.col("txn_count").alias("n"), F.col("total_volume").alias("volume")),
+        pivot.select(F.lit("pivot_type_by_currency").alias("output"), F.col("currency").alias("item"), sum(types[1:], types[0]).alias("n"), nothing.alias("volume")),
+        corridors.select(F.lit("top_corridors").alias("output"), F.concat_ws(">", "sender_country", "receiver_country").alias("item"), F.col("txn_count").alias("n"),
+                         F.col("total_volume").alias("volume")),
+        spark.createDataFrame(list(counted.items()), "item string, n long").select(F.lit("counted").alias("output"), "item", "n", nothing.alias("volume")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 @query("o3_output_parallelism", over_txn("SELECT 1 AS files, COUNT(DISTINCT currency) AS rows FROM txn UNION ALL SELECT 4, COUNT(DISTINCT sender_account) FROM txn"))

@@ -9,7 +9,6 @@ from ..operators import aggregates as ag
 from ..operators import arrays as ar
 from ..operators import joins as jn
 from ..operators import windows as wn
-from ..operators.ordered import ROWS_PER_SLICE
 from ..sources.tables import write_result
 from .presets import flagged_by_channel, top_corridors
 
@@ -29,7 +28,7 @@ def analytics(df: DataFrame) -> dict[str, DataFrame]:
     return results | ({"hourly_volume": ag.hourly_volume(df)} if "txn_hour" in df.columns else {})
 
 
-def run_analytics(df: DataFrame, output: str, rows_per_slice: int = ROWS_PER_SLICE) -> dict[str, int]:
+def run_analytics(df: DataFrame, output: str) -> dict[str, int]:
     """Run the job: results are written below ``output``, the row-level modules are counted. Returns the counts.
 
     The table is kept in serialized form, narrowed to the used columns, and may spill to disk; a lost block is recomputed.
@@ -39,11 +38,12 @@ def run_analytics(df: DataFrame, output: str, rows_per_slice: int = ROWS_PER_SLI
         results = analytics(base)
         for name in ("currency_stats", "pivot_type_by_currency", "top_corridors"):
             write_result(results[name], f"{output}/{name}")
+        known = jn.receivers(base)
         counted = {
             "rows": base, "multi_currency_senders": results["multi_currency_senders"],
             "repeat_offenders": jn.tag_repeat_offenders(base).filter("sender_is_repeat_offender"),
-            "circular": jn.circular(base), "one_way": jn.one_way(base),
-            "top_per_currency": wn.window_analytics(base, rows_per_slice).filter("rank_by_amount <= 3"),
+            "circular": jn.circular(base, known), "one_way": jn.one_way(base, known),
+            "top_per_currency": wn.top_per_currency(base),
         }
         return {name: frame.count() for name, frame in counted.items()}
     finally:

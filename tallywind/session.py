@@ -8,12 +8,14 @@ import uuid
 from dataclasses import dataclass, fields
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# A lookup side is broadcast only after counting it; above this many rows the
+# A lookup side is broadcast only after measuring it; above this many rows or bytes the
 # join stays a shuffle join, which AQE can split on skewed keys.
 BROADCAST_ROW_LIMIT = 200_000
+BROADCAST_BYTE_LIMIT = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -117,10 +119,46 @@ def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
-def lookup_side(df: DataFrame, label: str, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Stage a derived lookup table, count it, and hint a broadcast only when it is small enough."""
-    staged = stage(df, label)
-    return F.broadcast(staged) if staged.count() <= max_rows else staged
+def _row_bytes(schema: T.StructType) -> Column:
+    """About what a row takes in memory: eight bytes a field, and the contents of those without a fixed size."""
+    total = F.lit(16 + 8 * len(schema.fields)).cast("long")
+    for f in schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            total = total + F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{f.name}`")))), F.lit(0))
+    return total
+
+
+@dataclass(frozen=True)
+class Lookup:
+    """A staged lookup table with its size, counted while it was written."""
+
+    frame: DataFrame
+    rows: int
+    size: int
+    max_rows: int
+    max_bytes: int
+
+    @property
+    def small(self) -> bool:
+        return self.rows <= self.max_rows and self.size <= self.max_bytes
+
+    def side(self) -> DataFrame:
+        """The table, with a broadcast hint if it is small enough."""
+        return F.broadcast(self.frame) if self.small else self.frame
+
+
+def lookup(df: DataFrame, label: str, max_rows: int = BROADCAST_ROW_LIMIT, max_bytes: int = BROADCAST_BYTE_LIMIT) -> Lookup:
+    measured = Observation()
+    frame = stage(df.observe(measured, F.count(F.lit(1)).alias("rows"), F.sum(_row_bytes(df.schema)).alias("size")), label)
+    found = measured.get
+    return Lookup(frame, found.get("rows") or 0, found.get("size") or 0, max_rows, max_bytes)
+
+
+def lookup_side(df: DataFrame, label: str, max_rows: int = BROADCAST_ROW_LIMIT, max_bytes: int = BROADCAST_BYTE_LIMIT) -> DataFrame:
+    """Stage a derived lookup table, measure it, and hint a broadcast only when it is small enough."""
+    return lookup(df, label, max_rows, max_bytes).side()
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -48,9 +48,12 @@ def overwrite(df: DataFrame, path: str, partition_by: list[str], touched_only: b
 
 
 def write_result(df: DataFrame, path: str, partition_by: list[str] | None = None, files: int = 1) -> None:
-    """Write a result in a given number of files; ``files=0`` keeps the result's own partitioning."""
+    """Write a result in a given number of files; ``files=0`` keeps the result's own partitioning.
+
+    The rows are moved to the writing tasks, so that one file does not mean one task for the work before.
+    """
     if files:
-        df = df.coalesce(1) if files == 1 else df.repartition(files)
+        df = df.repartition(files)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

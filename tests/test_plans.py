@@ -15,7 +15,7 @@ from tallywind.operators import windows as wn
 from tallywind.operators.enrich import enrich
 from tallywind.plans import presets
 from tallywind.plans.runner import run_analytics
-from tallywind.session import lookup_side
+from tallywind.session import lookup, lookup_side
 from tallywind.sources import tables as tb
 from tallywind.sources import topics as tp
 from tallywind.sources.schemas import TRANSACTION_PARTITIONS
@@ -55,18 +55,32 @@ def test_partitions_are_pruned(spark, txn, tmp_path):
 
 
 def test_broadcast_only_below_the_limit(spark, txn):
-    lookup = jn.receiving_accounts(txn)
-    rows = lookup.count()
+    accounts = jn.receiving_accounts(txn)
+    rows = accounts.count()
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
         for limit, wanted in ((rows, "BroadcastHashJoin"), (rows - 1, "SortMergeJoin")):
-            side = lookup_side(lookup, "test", limit)
+            side = lookup_side(accounts, "test", limit)
             joined = txn.join(side, txn["sender_account"] == side["account"], "left_semi")
             assert wanted in plan_text(joined)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_broadcast_only_below_the_byte_limit(spark):
+    wide = spark.range(100).select("id", F.repeat(F.lit("x"), 1000).alias("text"))
+    measured = lookup(wide, "wide", max_bytes=100_000)
+    assert measured.rows == 100 and measured.size > 100_000 and not measured.small
+    assert lookup(wide, "wide", max_bytes=1 << 20).small
+
+
+def test_one_result_file_does_not_narrow_the_work(spark, txn, tmp_path):
+    wide = txn.repartition(6).select("transaction_id", F.spark_partition_id().alias("task"))
+    tb.write_result(wide, str(tmp_path / "out"))
+    stored = tb.read(spark, str(tmp_path / "out"))
+    assert stored.select("task").distinct().count() == 6 and len(stored.inputFiles()) == 1
+
+
 def test_top_n_is_limited_before_the_shuffle(txn):
     text = plan_text(wn.top_per_currency(txn))
     assert text.count("WindowGroupLimit") >= 2
@@ -89,7 +103,7 @@ def test_ad_hoc_sql_caps_what_is_shown(spark, txn):
 
 
 def test_analytics_runner(spark, txn, tmp_path):
-    counts = run_analytics(enrich(txn), str(tmp_path / "out"), 1000)
+    counts = run_analytics(enrich(txn), str(tmp_path / "out"))
     assert counts["rows"] == 6000 and counts["top_per_currency"] == 30
     assert counts["circular"] + counts["one_way"] == 6000
     assert spark.read.parquet(str(tmp_path / "out" / "pivot_type_by_currency")).count() == 10
