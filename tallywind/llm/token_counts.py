@@ -37,8 +37,9 @@ from .flat import slices
 LIMIT = 1024
 KEEP, CACHE, WINDOW = 64, 600_000, 1 << 20
 _CUT = re.compile(r"(?<=\S)(?= )")
-# Any other white space before a space: where none of these occurs, each space follows a visible character or begins the text.
+# White space before a space: where none of these occurs, each space follows a visible character or begins the text.
 _LATE_SPACES = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
+_LATE_ASCII = [x for x in _LATE_SPACES if x.isascii()]
 
 
 def _early_pattern() -> tuple[re.Pattern, re.Pattern]:
@@ -63,7 +64,7 @@ def byte_letters() -> list[str]:
     return [chr(b if b in shown else next(spare)) for b in range(256)]
 
 
-def _load(path: str):
+def load_tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks of an executor already use its cores
     from tokenizers import Tokenizer
 
@@ -87,7 +88,7 @@ def provable(path: str) -> bool:
 
 def prove_whole(path: str) -> list[str]:
     """Vocabulary strings, in the pre-tokenizer's letters, that encode alone as exactly one token."""
-    tokenizer = _load(path)
+    tokenizer = load_tokenizer(path)
     code = {letter: b for b, letter in enumerate(byte_letters())}
     special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
     found = []
@@ -118,18 +119,18 @@ def windows(text: str, size: int = WINDOW):
     yield text[at:]
 
 
-class _Kept(dict):
-    """Counts that are computed when first asked for; those of long strings are not kept."""
+class Kept(dict):
+    """Results that are computed when first asked for; those of long strings are not kept."""
 
     def __init__(self, compute):
         super().__init__()
         self.compute = compute
 
-    def __missing__(self, key: str) -> int:
-        n = self.compute(key)
+    def __missing__(self, key: str):
+        found = self.compute(key)
         if len(key) <= KEEP:
-            self[key] = n
-        return n
+            self[key] = found
+        return found
 
     def trim(self) -> None:
         """The older half goes when there are too many."""
@@ -138,40 +139,57 @@ class _Kept(dict):
                 del self[key]
 
 
+def parts_of(text: str):
+    """The text's parts, window by window: the first one of each, and the later ones without the space they begin with."""
+    for stretch in windows(text):
+        if any(x in stretch for x in (_LATE_ASCII if stretch.isascii() else _LATE_SPACES)):
+            parts = _CUT.split(stretch)
+            yield parts[0], [p[1:] for p in islice(parts, 1, None)]
+        else:
+            parts = stretch.split(" ")
+            yield parts[0], islice(parts, 1, None)
+
+
+def is_early(text: str) -> bool:
+    """No character beyond U+024F."""
+    return text.isascii() or not _LATER.search(text)
+
+
+class Pretokens:
+    """Pre-tokens of a part, in the vocabulary's letters."""
+
+    def __init__(self, tokenizer):
+        self.letters = dict(enumerate(byte_letters()))
+        self.cut = tokenizer.pre_tokenizer.pre_tokenize_str
+
+    def of(self, part: str) -> list[str]:
+        if not part:
+            return []
+        return [*map(self.spelled, _EARLY.findall(part))] if is_early(part) else [p for p, _ in self.cut(part)]
+
+    def spelled(self, pretoken: str) -> str:
+        """Its bytes as the vocabulary's letters."""
+        return pretoken.encode().decode("latin-1").translate(self.letters)
+
+
 class ShortcutCounter:
     """Counts by proven strings and merges."""
 
     def __init__(self, path: str, whole: list[str]):
-        self.tokenizer = _load(path)
-        letters = byte_letters()
-        self.letters = dict(enumerate(letters))
-        self.cut, self.merge = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize
+        self.tokenizer = load_tokenizer(path)
+        self.pretokens, self.merge = Pretokens(self.tokenizer), self.tokenizer.model.tokenize
         special = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.whole = frozenset(whole)
-        self.merged = _Kept(lambda p: len(self.merge(p)))
-        self.first = _Kept(self._part)
-        self.later = _Kept(lambda p: self._part(" " + p))
+        self.merged = Kept(lambda p: len(self.merge(p)))
+        self.first = Kept(self._part)
+        self.later = Kept(lambda p: self._part(" " + p))
 
     def _part(self, part: str) -> int:
-        if not part:
-            return 0
-        if _LATER.search(part):
-            pretokens = [p for p, _ in self.cut(part)]
-        else:
-            pretokens = [p.encode().decode("latin-1").translate(self.letters) for p in _EARLY.findall(part)]
-        return sum(1 if p in self.whole else self.merged[p] for p in pretokens)
+        return sum(1 if p in self.whole else self.merged[p] for p in self.pretokens.of(part))
 
     def _plain(self, text: str) -> int:
-        total = 0
-        for stretch in windows(text):
-            if any(x in stretch for x in _LATE_SPACES):
-                parts = _CUT.split(stretch)
-                total += self.first[parts[0]] + sum(self.later[p[1:]] for p in islice(parts, 1, None))
-            else:
-                parts = stretch.split(" ")
-                total += self.first[parts[0]] + sum(map(self.later.__getitem__, islice(parts, 1, None)))
-        return total
+        return sum(self.first[start] + sum(map(self.later.__getitem__, later)) for start, later in parts_of(text))
 
     def count(self, text: str) -> int:
         if self.special is None or not self.special.search(text):
@@ -195,7 +213,7 @@ class LibraryCounter:
             model = sentencepiece.SentencePieceProcessor(model_file=path)
             self.encode = lambda texts: map(len, model.encode(texts, num_threads=1))
         else:
-            tokenizer = _load(path)
+            tokenizer = load_tokenizer(path)
             tokenizer.no_truncation()
             tokenizer.no_padding()
             self.encode = lambda texts: (len(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False))

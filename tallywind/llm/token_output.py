@@ -9,15 +9,15 @@ and how many records share the key; a table of record starts leads to the ids. A
 Documents are range-partitioned by id, so shards are in ascending order of ``doc_id`` and ``start`` is the sum of the shards before plus
 the offset within the shard. The rows that tasks commit name the files they wrote, so lost attempts leave nothing that is read.
 
-Null texts are empty documents of one end id. Rows that share an id are all written, as copies 0, 1, ... of one key; null ids share the
-key of the smallest long and come first. An empty table gives no rows. Other columns are ignored.
+Null texts are empty documents of one end id. Rows that share an id are all written, as copies 0, 1, ... of one key in the order of their
+texts; null ids share the key of the smallest long and come first. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
-import os
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -30,67 +30,65 @@ from tallywind.session import scratch_path, stage
 
 from . import files
 from .flat import mix, slices
+from .token_counts import Kept, Pretokens, is_early, load_tokenizer, parts_of, provable, prove_whole
 
 NULL_KEY = -(1 << 63)
-CACHE, TOGETHER = 800_000, 500
-PUNCTUATION = ".,;:!?*#$%&|"
-_LATE_SPACE = re.compile(r"\s ")
-_CUT = re.compile(r"(?<=\S)(?= )")
+PUNCTUATION = ".,;:!?*#$%&|\"()-"
 
 
 class Encoder:
-    """Encodes texts with the tokenizers library. A byte-level pre-tokenizer always cuts before a space that follows a visible
-    character, so each such piece is encoded once and kept; the pieces' ids, joined, are the text's."""
+    """The ids of texts as packed bytes. Texts are cut, and parts kept, as in ``token_counts``: a proven pre-token is one known id, the
+    rest is merged by the library's model, and special strings in a text give their own ids, as the library does by default. A file for
+    which that does not hold is encoded by the library, whole texts at a time."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks of an executor already use its cores
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self.dtype = np.dtype("<u4" if self.wide else "<u2")
-        self.starts_piece = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.starts_piece[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True  # the space byte's letter
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-
-    def _learn(self, known: dict[str, bytes], pieces: set[str], lead: str) -> None:
-        """Encode unknown pieces. Those with one visible end and no space inside are encoded many to a text, each after its one space,
-        whose token begins the piece's ids; the others alone. Punctuation after a letter is always cut off by the pre-tokenizer."""
-        new = [p for p in pieces if p not in known]
-        tails = {p: p[len(p.rstrip(PUNCTUATION)):] for p in new} if lead else {}
-        parts = {p: (p[:-len(t)], t) for p, t in tails.items() if t and len(t) < len(p) and p[-len(t) - 1].isalpha()}
-        if parts:
-            self._learn(self.first, {t for _, t in parts.values()}, "")
-            self._learn(known, {c for c, _ in parts.values()}, lead)
-            known.update((p, known[c] + self.first[t]) for p, (c, t) in parts.items())
-            new = [p for p in new if p not in known]
-        plain = [p for p in new if p and lead and not p[-1].isspace() and " " not in p]
-        for at in range(0, len(plain), TOGETHER):
-            group = plain[at:at + TOGETHER]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(group)], add_special_tokens=False)[0].ids, self.dtype)
-            cuts = np.flatnonzero(self.starts_piece[ids])
-            if len(cuts) != len(group):
-                break
-            raw, ends = ids.tobytes(), [*(cuts[1:] * self.dtype.itemsize).tolist(), ids.nbytes]
-            known.update(zip(group, map(raw.__getitem__, map(slice, (cuts * self.dtype.itemsize).tolist(), ends))))
-        rest = [p for p in new if p not in known]
-        for at in range(0, len(rest), TOGETHER):
-            group = rest[at:at + TOGETHER]
-            for p, e in zip(group, self.tokenizer.encode_batch_fast([lead + p for p in group], add_special_tokens=False)):
-                known[p] = np.array(e.ids, self.dtype).tobytes()
+        self.tokenizer = load_tokenizer(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.dtype = np.dtype("<u4" if max(vocabulary.values(), default=0) >= 1 << 16 else "<u2")
+        self.exact = provable(path)
+        if not self.exact:
+            self.tokenizer.no_truncation()
+            self.tokenizer.no_padding()
+            return
+        self.special = {t.content: self._packed([i]) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.splitter = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.whole = {p: self._packed([vocabulary[p]]) for p in prove_whole(path)}
+        self.pretokens = Pretokens(self.tokenizer)
+        self.merged = Kept(lambda p: self._packed([t.id for t in self.tokenizer.model.tokenize(p)]))
+        self.first = Kept(self._part)
+        self.later = Kept(self._later)
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.dtype).tobytes() if len(ids) > 64 else struct.pack(f"<{len(ids)}{'I' if self.dtype.itemsize == 4 else 'H'}", *ids)
+
+    def _later(self, p: str) -> bytes:
+        """A part after its space. A plain word is one pre-token, and ends where punctuation begins."""
+        word = p.rstrip(PUNCTUATION)
+        if word.isalpha() and is_early(word):
+            if len(word) < len(p):
+                return self.later[word] + self.first[p[len(word):]]
+            letters = self.pretokens.spelled(" " + p)
+            return self.whole.get(letters) or self._packed([t.id for t in self.tokenizer.model.tokenize(letters)])
+        return self._part(" " + p)
+
+    def _part(self, part: str) -> bytes:
+        whole, merged = self.whole, self.merged
+        return b"".join([whole.get(p) or merged[p] for p in self.pretokens.of(part)])
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(self.first[start] + b"".join(map(self.later.__getitem__, later)) for start, later in parts_of(text))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [([t[0], *(x[1:] for x in t[1:])] if (t := _CUT.split(text)) else [""]) if _LATE_SPACE.search(text) else text.split(" ")
-               for text in (text or "" for text in texts)]
-        later = set().union(*(p[1:] for p in cut))
-        if len(self.first) + len(self.later) > CACHE:  # only what this batch has stays
-            self.first, self.later = {}, {p: x for p in later if (x := self.later.get(p)) is not None}
-        self._learn(self.first, {p[0] for p in cut}, "")
-        self._learn(self.later, later, " ")
-        get = self.later.__getitem__
-        return [self.first[p[0]] + b"".join(map(get, p[1:])) for p in cut]
+        if not self.exact:
+            return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+        for kept in (self.merged, self.first, self.later):
+            kept.trim()
+        return [self._whole_text(t) if t else b"" for t in texts]
+
+    def _whole_text(self, text: str) -> bytes:
+        if self.splitter is None or not self.splitter.search(text):
+            return self._plain(text)
+        return b"".join(self.special[t] if i % 2 else self._plain(t) for i, t in enumerate(self.splitter.split(text)))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -218,16 +216,16 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 0, folder:
             where.delete_file(inner)
             return
         files.write_bytes(path + ".mph", *index_bytes(key, length, encoder.dtype.itemsize))
-        first = np.searchsorted(key, key, "left")
+        copy = (np.arange(len(key)) - np.searchsorted(key, key, "left")).astype(np.int32)
         for at in range(0, len(key), 100_000):
             part = slice(at, at + 100_000)
             n = len(key[part])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, shard, np.int32)), pa.array([path] * n), pa.array(key[part]), pa.array((np.arange(len(key)) - first)[part].astype(np.int32)), pa.array(length[part])],
+                [pa.array(np.full(n, shard, np.int32)), pa.array([path] * n), pa.array(key[part]), pa.array(copy[part]), pa.array(length[part])],
                 names=["shard", "path", "key", "copy", "n_tokens"])
 
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key"), "text")
-    ordered = keyed.repartitionByRange(shards, "key").sortWithinPartitions("key")
+    ordered = keyed.repartitionByRange(shards, "key").sortWithinPartitions("key", "text")
     return stage(ordered.mapInArrow(write, "shard int, path string, key long, copy int, n_tokens long"), "token-keys")
 
 

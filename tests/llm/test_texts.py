@@ -25,7 +25,6 @@ def ordered(rows):
 def test_token_shards(request, plain, which):
     df = request.getfixturevalue(which)
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     got = sorted(token_output.token_digests(df).collect(), key=lambda r: r.start)
     ids = {}
     for d, t in plain(df):
