@@ -22,6 +22,7 @@ from tallywind.session import scratch_path
 from tallywind.sources import fixtures as fx
 from tallywind.sources import topics as tp
 from tallywind.sources.schemas import TRANSACTION
+from tallywind.streaming import jobs
 from tallywind.streaming.transactions import TransactionSink
 
 
@@ -35,6 +36,18 @@ def parity(spark, sf_dir):
     return pr.compare(left, left.withColumn("amount_usd", left.amount_usd + 0.05))
 
 
+def parity_equal(spark, sf_dir):
+    """Two tables that agree: one pass over each side and no join."""
+    left = en.enrich(fx.transactions(spark, sf_dir))
+    return pr.compare(left, left.select("*"))
+
+
+def backfill(spark, sf_dir):
+    """The back-fill job over the whole topic into the overwritten table."""
+    cfg = JobConfig(transactions_path=scratch_path(spark, "bench-backfill"))
+    jobs.run_backfill(spark, cfg, tp.read_files(spark, transaction_topic(spark, sf_dir)))
+
+
 def upsert_batch(spark, sf_dir):
     up.AccountTable(spark, scratch_path(spark, "bench-accounts")).apply(fx.account_events(spark, sf_dir), 0)
 
@@ -59,6 +72,9 @@ WORK = {
     "currency_sets": lambda s, d: consume(ar.multi_currency_senders(fx.transactions(s, d))),
     "upsert_batch": upsert_batch,
     "parity": lambda s, d: consume(parity(s, d)),
+    "parity_equal": lambda s, d: consume(parity_equal(s, d)),
+    "percentiles": lambda s, d: consume(ag.approx_percentiles(fx.transactions(s, d), "currency", "amount", {"p50": 0.5, "p99": 0.99})),
+    "backfill": backfill,
     "run_distribution": lambda s, d: consume(rs.distribution(rs.batch_records(fx.batch_metrics(s, d)), ["total_ms", "write_ms"])),
 }
 

@@ -22,14 +22,21 @@ def filled(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(FILLS[name]))
 
 
+INSTANT = "_instant"
+
+
+def _with_instant(df: DataFrame) -> DataFrame:
+    """The parsed instant as a column of its own: named in nine expressions it would be parsed more than once."""
+    return df.withColumn(INSTANT, fn.event_time(F.col("timestamp")))
+
+
 def clock() -> dict[str, Column]:
     """Every part comes from one parsed instant, read in the session zone (UTC)."""
-    at = fn.event_time(F.col("timestamp"))
-    return {name: part(at) for name, part in CLOCK.items()}
+    return {name: part(F.col(INSTANT)) for name, part in CLOCK.items()}
 
 
 def catalogue() -> dict[str, Column]:
-    """All derived columns by name. None reads another derived one, so one projection computes them in any order."""
+    """All derived columns by name. None reads another derived one but the instant, so one projection computes them in any order."""
     c, fee, rate = F.col, filled("fee"), filled("exchange_rate")
     ends = [filled(f"{end}_country") for end in ("sender", "receiver")]
     columns = {
@@ -51,20 +58,23 @@ def catalogue() -> dict[str, Column]:
 
 
 def time_dimensions(df: DataFrame) -> DataFrame:
-    return df.withColumns(clock())
+    return _with_instant(df).withColumns(clock()).drop(INSTANT)
 
 
 def enrich(df: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
     """The whole catalogue and the filled fields in one projection, but for the columns to ``keep``, which ``df`` has already."""
-    return df.withColumns({name: e for name, e in catalogue().items() if name not in set(keep)} | {name: filled(name) for name in FILLS})
+    derived = {name: e for name, e in catalogue().items() if name not in set(keep)} | {name: filled(name) for name in FILLS}
+    if derived.keys() & CLOCK.keys():
+        df = _with_instant(df)
+    return df.withColumns(derived).drop(INSTANT)
 
 
 def backfill(df: DataFrame) -> DataFrame:
     """The light enrichment of the back-fill job: date, year, month and its own amount bucket."""
-    at = fn.event_time(F.col("timestamp"))
-    return df.withColumns({
+    at = F.col(INSTANT)
+    return _with_instant(df).withColumns({
         "transaction_date": F.to_date(at),
         "txn_year": F.year(at),
         "txn_month": F.month(at),
         "amount_bucket": fn.backfill_bucket(F.col("amount")),
-    })
+    }).drop(INSTANT)
