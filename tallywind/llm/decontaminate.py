@@ -2,11 +2,11 @@
 
 Every three words in a row of a benchmark item are a seed. A first pass over all documents counts in how many each seed occurs; seeds in
 at most ``rare_share`` of them are rare. A second pass looks the seeds up in each whole text and groups its hits by item and diagonal (a
-little drift allowed for insertions). Every group opens a window, in which the item is aligned word by word (match 2, mismatch and gap
--1); a single common seed does so only if enough of the item's words are in the window: the share of them is an upper bound of the score,
-so no leak is lost by it, and rarity saves work without deciding a result. The score is the best local alignment over that of a perfect
-copy; from ``threshold`` on it is a leak. So a passage leaked into very many documents, whose seeds are common for that, is still found
-from one seed on, in a table of any size, and nothing is capped.
+little drift allowed for insertions). Every group opens a window. The share of the item's words that occur in it is an upper bound of the
+score, taken for all groups of a batch together; where it reaches the threshold, the item is aligned word by word (match 2, mismatch and
+gap -1). The score is the best local alignment over that of a perfect copy; from ``threshold`` on it is a leak, reported with the number
+of rare seeds among its hits. So a passage leaked into very many documents, whose seeds are common for that, is still found from one seed
+on, in a table of any size, nothing is capped, and a phrase that thousands of items share costs no alignment.
 
 The items are a query set, taken in blocks of at most ``BLOCK_WORDS`` words (or one item): each block is broadcast and met by all documents.
 Words are runs of ASCII letters, digits and non-ASCII bytes, A-Z lower-cased. Null texts have no words. Items of fewer than three words
@@ -20,11 +20,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .flat import PUNCTUATION, flat_bytes, ngram_hashes, slices, word_hashes
+from .flat import PUNCTUATION, flat_bytes, mix, ngram_hashes, slices, word_hashes
 
 SEED_WORDS, RARE_SHARE, THRESHOLD, DRIFT = 3, 0.001, 0.45, 8
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS, TOGETHER = 1_000_000, 2_000_000
 MATCH, MISS, GAP = 2, -1, -1
 
 
@@ -65,8 +66,8 @@ class Block:
         at = np.flatnonzero(self.seeds[i] == grams)
         return at, i[at]
 
-    def leaks(self, data: np.ndarray, starts: np.ndarray, threshold: float) -> list[tuple[int, int, float, int, int]]:
-        """(row, item, score, byte range of the window's aligned end and its start) of every leak in these documents."""
+    def leaks(self, data: np.ndarray, starts: np.ndarray, threshold: float) -> list[tuple[int, int, float, int, int, int]]:
+        """(row, item, score, byte range of the passage, rare seeds) of every leak in these documents."""
         words, begin, end, before = word_hashes(data, starts, PUNCTUATION)
         grams, first, offsets = ngram_hashes(words, before, SEED_WORDS)
         at, seed = self.hits(grams)
@@ -77,26 +78,45 @@ class Block:
         source = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.first_of[seed], many)
         row, item = np.repeat(row, many), self.item[source]
         diagonal = np.repeat(first[at], many) - before[row] - self.place[source]
-        weight = np.where(self.rare[np.repeat(seed, many)], 2, 1)
+        rare = self.rare[np.repeat(seed, many)].astype(np.int64)
         order = np.lexsort((diagonal, item, row))
-        row, item, diagonal, weight = row[order], item[order], diagonal[order], weight[order]
+        row, item, diagonal, rare = row[order], item[order], diagonal[order], rare[order]
         opens = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (np.diff(diagonal) > DRIFT)]))
-        found: dict[tuple[int, int], tuple[float, int, int]] = {}
-        for a, b, w in zip(opens, np.append(opens[1:], len(row)), np.add.reduceat(weight, opens)):
-            r, i = int(row[a]), int(item[a])
-            mine = self.words[self.before[i]:self.before[i + 1]]
-            low = max(int(diagonal[a]) - 2 * DRIFT, 0)
-            high = min(int(diagonal[b - 1]) + len(mine) + 2 * DRIFT, int(before[r + 1] - before[r]))
-            window = words[before[r] + low:before[r] + high]
-            if w < 2 and np.isin(mine, window).sum() / len(mine) < threshold:  # a match needs the word: no alignment scores more
-                continue
-            best, stop = align(mine, window)
-            score = best / (MATCH * len(mine))
-            if score >= threshold and score > found.get((r, i), (0.0,))[0]:
-                last = before[r] + low + max(stop - 1, 0)
-                begins = max(last - len(mine) - 2 * DRIFT, before[r] + low)
-                found[r, i] = (score, int(begin[begins] - starts[r]), int(end[last] - starts[r]))
-        return [(r, i, *x) for (r, i), x in found.items()]
+        ends = np.append(opens[1:], len(row)) - 1
+        r, i, size = row[opens], item[opens], np.diff(self.before)[item[opens]]
+        low = before[r] + np.maximum(diagonal[opens] - 2 * DRIFT, 0)
+        high = np.minimum(before[r] + diagonal[ends] + size + 2 * DRIFT, before[r + 1])
+        rare = np.add.reduceat(rare, opens)
+        found: dict[tuple[int, int], tuple[float, int, int, int]] = {}
+        for g in np.flatnonzero(self._bounds(words, low, high, i) >= threshold).tolist():
+            mine = self.words[self.before[i[g]]:self.before[i[g] + 1]]
+            best, stop = align(mine, words[low[g]:high[g]])
+            score, key = best / (MATCH * len(mine)), (int(r[g]), int(i[g]))
+            if score >= threshold and score > found.get(key, (0.0,))[0]:
+                last = low[g] + max(stop - 1, 0)
+                begins = max(last - len(mine) - 2 * DRIFT, low[g])
+                found[key] = (score, int(begin[begins] - starts[r[g]]), int(end[last] - starts[r[g]]), int(rare[g]))
+        return [(*key, *x) for key, x in found.items()]
+
+    def _bounds(self, words: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """For each window words[low:high], the share of the item's words that occur in it: a match needs the word, so no alignment scores
+        more. Words are looked up together with the number of their window; windows are taken some ``TOGETHER`` words at a time."""
+        size = np.diff(self.before)[item]
+        work = np.cumsum(size + high - low)
+        out, at = np.zeros(len(item)), 0
+        while at < len(item):
+            to = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + TOGETHER, "right")))
+            spans = []
+            for source, begin, n in ((words, low[at:to], (high - low)[at:to]), (self.words, self.before[item[at:to]], size[at:to])):
+                window = np.repeat(np.arange(to - at), n)
+                places = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
+                spans.append((window, mix(source[places] + window.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))))
+            there = np.sort(spans[0][1])
+            window, asked = spans[1]
+            hit = there[np.minimum(np.searchsorted(there, asked), len(there) - 1)] == asked
+            out[at:to] = np.bincount(window[hit], minlength=to - at) / np.maximum(size[at:to], 1)
+            at = to
+        return out
 
 
 def _blocks(items: DataFrame):
@@ -138,9 +158,11 @@ def _with_rarity(docs: DataFrame, block: Block, rare_share: float):
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, rare_share: float = RARE_SHARE) -> DataFrame:
-    """One row per document and item that it leaks: ``doc_id, item_id, score, start, end`` (bytes of the passage)."""
+    """One row per document and item that it leaks: ``doc_id, item_id, score, start, end`` (bytes of the passage), ``rare_seeds``. Ids may
+    have any type."""
     id_type, item_type = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, item_id {item_type}, score double, start long, end long"
+    schema = f"doc_id {id_type}, item_id {item_type}, score double, start long, end long, rare_seeds long"
+    item_arrow = to_arrow_type(benchmark.schema["item_id"].dataType)
     parts = []
     for block in _blocks(benchmark):
         known = _with_rarity(docs, block, rare_share)
@@ -148,10 +170,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, r
         def search(batches, known=known):
             for batch in slices(batches):
                 found = known.value.leaks(*flat_bytes(batch.column("text")), threshold)
-                rows, item, score, start, end = (list(x) for x in zip(*found)) if found else ([],) * 5
+                rows, item, score, start, end, rare = (list(x) for x in zip(*found)) if found else ([],) * 6
                 ids = batch.column("doc_id").take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([known.value.ids[i] for i in item], pa.int64()), pa.array(score, pa.float64()),
-                                                  pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=["doc_id", "item_id", "score", "start", "end"])
+                yield pa.RecordBatch.from_arrays(
+                    [ids, pa.array([known.value.ids[i] for i in item], item_arrow), pa.array(score, pa.float64()), pa.array(start, pa.int64()), pa.array(end, pa.int64()),
+                     pa.array(rare, pa.int64())], names=["doc_id", "item_id", "score", "start", "end", "rare_seeds"])
 
         parts.append(docs.select("doc_id", "text").mapInArrow(search, schema))
     if not parts:
