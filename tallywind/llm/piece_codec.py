@@ -5,8 +5,8 @@ The model protobuf is parsed here, and its parts are rebuilt as a tokenizers pip
 unigram scores) with byte fallback, and the decoder. Where no piece of the vocabulary crosses from a visible character to a marker or
 touches a line break, words are independent: each distinct word of a task is encoded once, many in one multithreaded batch.
 
-Parity: every newly met word is also encoded by the sentencepiece library; where the two differ (ties of equal scores), its ids are
-taken and the document's ``parity`` is false. ``round_trip`` tells whether decoding gives the text back (false only if the text
+All ids are the rebuilt tokenizer's. Parity: every newly met word is also encoded by the sentencepiece library; where the two differ,
+the document's ``parity`` is false. ``round_trip`` tells whether decoding gives the text back (false only if the text
 itself has the marker character, or the model's normaliser changes it).
 
 Null or empty texts give no ids and an empty decoded text. Repeated rows get equal results, an empty table an empty one; other columns
@@ -120,7 +120,7 @@ def build_tokenizer(model: PieceModel):
 
 
 class Codec:
-    """Encodes and decodes texts; knows which words needed the other library's ids."""
+    """Encodes and decodes texts; knows on which words the other library differs."""
 
     def __init__(self, path: str, threads: int = 2):
         import sentencepiece
@@ -137,16 +137,19 @@ class Codec:
         self.heads: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
         self.unequal: set[str] = set()
-        self.line = np.array(self.other.encode("\n")[1:], self.dtype).tobytes() if self.split else b""
+        self.line = np.array(self._alone("\n")[1:], self.dtype).tobytes() if self.split else b""
+
+    def _alone(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learn_alone(self, known: dict[str, bytes], words: list[str], lead: str) -> None:
         """Encode words one by one after a line break, which nothing is merged with, and ``lead``."""
-        texts, skip = [f"\n{lead}{w}" for w in words], len(self.other.encode("\n"))
+        texts, skip = [f"\n{lead}{w}" for w in words], len(self._alone("\n"))
         mine = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
         for w, a, b in zip(words, mine, self.other.encode(texts, num_threads=1) if texts else []):
             if a.ids != b:
                 self.unequal.add(lead + w)
-            known[w] = np.array(b[skip:], self.dtype).tobytes()
+            known[w] = np.array(a.ids[skip:], self.dtype).tobytes()
 
     def _learn(self, words: set[str]) -> None:
         """Words after a marker, many to a text; those with further spaces alone, and those of a text on which the libraries differ."""
@@ -157,7 +160,7 @@ class Codec:
             texts = [" ".join(g) for g in groups[at:at + 16]]
             coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
             for group, mine, theirs in zip(groups[at:at + 16], coded, self.other.encode(texts, num_threads=1)):
-                ids = np.array(theirs, self.dtype)
+                ids = np.array(mine.ids, self.dtype)
                 cuts = np.flatnonzero(self.starts_word[ids]) * self.dtype.itemsize
                 if mine.ids == theirs and len(cuts) == len(group):
                     self.later.update(zip(group, map(ids.tobytes().__getitem__, map(slice, cuts.tolist(), [*cuts[1:].tolist(), ids.nbytes]))))
@@ -179,7 +182,7 @@ class Codec:
         if not self.split:
             mine = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             theirs = self.other.encode(texts, num_threads=1)
-            return [np.array(x, self.dtype).tobytes() for x in theirs], [a == b for a, b in zip(mine, theirs)]
+            return [np.array(x, self.dtype).tobytes() for x in mine], [a == b for a, b in zip(mine, theirs)]
         plans = [[self._cut(line) for line in (" " + text.replace(MARKER, " ")).split("\n")] if text else [] for text in texts]
         later = set().union(*(words for plan in plans for _, words in plan))
         if len(self.later) + len(self.heads) > CACHE:  # only what this batch has stays
