@@ -40,7 +40,7 @@ def test_entry(spark):
 
 
 def test_few_queries_without_oracle():
-    assert set(QUERIES) - set(ORACLES) == {"j10_limit", "v4_partition_files", "v5_table_info", "v7_commit_history", "v8_sample"}
+    assert set(QUERIES) - set(ORACLES) == {"v7_commit_history"}
 
 
 def test_contract_holds_the_catalog():
