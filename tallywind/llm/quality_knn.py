@@ -65,13 +65,9 @@ def _line_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def features(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """One row per document; a document far longer than a slice is counted in parts, so memory stays bounded."""
+    """One row per document."""
     if len(starts) == 2 and len(data) > 2 * SLICE_BYTES:
-        cuts = np.append(np.arange(0, len(data), SLICE_BYTES), len(data))
-        parts = [features(data[a:b], np.array([0, b - a])) for a, b in zip(cuts, cuts[1:])]
-        whole = np.sum(parts, axis=0)
-        whole[:, N_COUNTS:] = np.average([p[0, N_COUNTS:] for p in parts], axis=0, weights=np.diff(cuts))
-        return whole
+        return _features_in_parts(data)
     row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
     hashes, _, _, before = word_hashes(data, starts)
     triples, _, triples_before = ngram_hashes(hashes, before, 3)
@@ -81,6 +77,40 @@ def features(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     ], axis=1, dtype=np.float32)
 
 
+def _features_in_parts(data: np.ndarray, size: int = SLICE_BYTES) -> np.ndarray:
+    """The same measures of one very long document. Symbols are counted part by part, each with what its last n-grams reach into; words
+    and lines are hashed part by part, cut where none is cut, and their shares taken over all hashes."""
+    counts = [np.zeros((1, TRIGRAMS)), np.zeros((1, SHAPES))]
+    words, lines, at = [], [], 0
+    space = np.flatnonzero(np.isin(data, np.frombuffer(b" \t\n\v\f\r", np.uint8)))
+    breaks = np.flatnonzero(data == 10)
+    while at < len(data):
+        end = min(at + size, len(data))
+        for k, (table, n, buckets) in enumerate(((LOWER, 3, TRIGRAMS), (_SHAPE, 4, SHAPES))):
+            part = table[data[at:end + n - 1]]
+            counts[k] += _hashed_counts(part, np.zeros(len(part), np.int64), np.array([0, len(part)]), n, buckets)
+        at = end
+    for cuts, hashed, out in ((space, lambda d: word_hashes(d, np.array([0, len(d)]))[0], words), (breaks, lambda d: _line_hashes(d, np.array([0, len(d)]))[0], lines)):
+        at = 0
+        while at < len(data):
+            i = np.searchsorted(cuts, at + size)
+            end = int(cuts[i]) + 1 if i < len(cuts) else len(data)
+            out.append(hashed(data[at:end]))
+            at = end
+    words, lines = np.concatenate(words), np.concatenate(lines)
+    triples, _, before = ngram_hashes(words, np.array([0, len(words)]), 3)
+    shares = [_distinct_share(words, np.array([0, len(words)])), _distinct_share(triples, before), _distinct_share(lines, np.array([0, len(lines)]))]
+    return np.concatenate([*counts, np.stack(shares, 1)], axis=1, dtype=np.float32)
+
+
+def nearest(near: np.ndarray, k: int) -> np.ndarray:
+    """The k largest of each row in the order of their places; of equal ones the earlier."""
+    least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k, None]
+    above, level = near > least, near == least
+    chosen = above | (level & (np.cumsum(level, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+    return np.nonzero(chosen)[1].reshape(len(near), k)
+
+
 @dataclass(frozen=True)
 class Voters:
     """The fitted space and the labelled vectors in it."""
@@ -129,7 +159,7 @@ class Voters:
         for at in range(0, len(x), block):
             part = x[at:at + block]
             near = self.project(self.weigh(part, self.rarity), self.axes) @ self.vectors.T
-            top = np.argpartition(-near, k - 1, axis=1)[:, :k]
+            top = nearest(near, k)
             weight = np.maximum(np.take_along_axis(near, top, 1), 1e-6).astype(np.float64) ** SHARPNESS * self.stands_for[top]
             out[at:at + block] = (weight * self.labels[top]).sum(1) / weight.sum(1)
             out[at:at + block][part[:, :N_COUNTS].sum(1) == 0] = self.empty_score
