@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pathlib import Path
 
+from tallywind.plans import io_queries as io
 from tallywind.plans.catalog import CATALOG
 from tallywind.session import shared_dir
+from tallywind.sources import fixtures as fx
+from tallywind.sources.schemas import TRANSACTION
+
+from plan_views import plan_text
 
 
 def stored(spark, label):
@@ -13,6 +18,24 @@ def stored(spark, label):
     return {str(p) for p in Path(shared_dir(spark)).glob(f"{label}-*")}
 
 
+def test_transactions_are_stored_as_numbers(spark, sf_dir):
+    rows = fx.staged_rows(spark, sf_dir)
+    assert set(rows.columns).isdisjoint(TRANSACTION.fieldNames()) and len(rows.columns) == 11
+    plan = plan_text(CATALOG["l6_by_transaction_type"].build(spark, sf_dir))
+    assert "l_extendedprice" in plan and "p_name" not in plan
+
+
+def test_topic_text_is_not_stored(spark, sf_dir):
+    before = stored(spark, "txn-topic")
+    assert CATALOG["s4_json_decode"].build(spark, sf_dir).count() == 6000
+    assert "Exchange" not in plan_text(CATALOG["s4_json_decode"].build(spark, sf_dir))
+    run = io.transaction_run(spark, sf_dir)
+    assert stored(spark, "txn-topic") == before
+    source = spark.read.parquet(io._topic_rows(spark, sf_dir))
+    assert "value" not in source.columns and source.count() == 6000 and len(source.inputFiles()) == io.FILES
+    assert run["progress"].count() == 3
+
+
 def test_dumps_are_not_stored(spark, sf_dir):
     assert CATALOG["b11_executor_summary"].build(spark, sf_dir).count() == 5
     assert not stored(spark, "dumps")
