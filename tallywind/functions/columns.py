@@ -117,3 +117,9 @@ def exact_mean(value: Column, digits: int = 2) -> Column:
     total = F.try_sum(money(value)).try_cast("decimal(30,8)")
     exact = F.round(F.try_divide(total, F.count(value).cast("decimal(18,0)")), digits)
     return F.coalesce(_exact_or_double(exact, F.round(F.avg(value.cast("double")), digits), value), F.round(F.avg(value.cast("double")), digits))
+
+
+def by_hash() -> Column:
+    """A set of one, to be aggregated (and read) beside values without a fixed size, such as ``max_by`` of texts: with it Spark keeps the
+    groups in a hash table and does not sort all rows, up to ``spark.sql.objectHashAggregate.sortBased.fallbackThreshold`` groups a task."""
+    return F.collect_set(F.lit(True))

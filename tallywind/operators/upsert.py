@@ -51,8 +51,8 @@ def batch_source(events: DataFrame) -> DataFrame:
     tie = F.col("event_id") if "event_id" in events.columns else F.xxhash64(*events.columns)
     newest = F.max_by(F.struct(*FIXED_FIELDS, *SNAPSHOT_FIELDS), F.struct(F.col("updated_at"), tie))
     return (
-        events.groupBy("account_id").agg(*_total_columns(), newest.alias("_newest"))
-        .select("*", "_newest.*")
+        events.groupBy("account_id").agg(*_total_columns(), newest.alias("_newest"), fn.by_hash().alias("_by_hash"))
+        .filter("size(_by_hash) > 0").select("*", "_newest.*")
         .select(*ACCOUNT.fieldNames())
     )
 

@@ -60,4 +60,5 @@ def top_per_currency(df: DataFrame, n: int = 3) -> DataFrame:
 def latest_per_key(df: DataFrame, key: str, *order: str) -> DataFrame:
     """The newest row per key as an aggregate: partial results are merged before the shuffle, no sort of the group."""
     newest = F.max_by(F.struct(*df.columns), F.struct(*order))
-    return df.groupBy(F.col(key).alias("_key")).agg(newest.alias("_row")).select("_row.*")
+    rows = df.groupBy(F.col(key).alias("_key")).agg(newest.alias("_row"), fn.by_hash().alias("_by_hash"))
+    return rows.filter("size(_by_hash) > 0").select("_row.*")

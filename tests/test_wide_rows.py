@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallywind.plans.catalog import CATALOG
@@ -30,6 +31,12 @@ def test_both_ways_of_decoding_give_the_same_rows(spark):
     assert [r.account_id for r in tp.account_updates(envelope(spark), ACCOUNT).collect()] == ["a"]
 
 
+@pytest.mark.parametrize("name", ["m2_merge_source", "w11_latest_per_account"])
+def test_newest_rows_need_no_sort(spark, sf_dir, name):
+    plan = plan_text(CATALOG[name].build(spark, sf_dir))
+    assert "ObjectHashAggregate" in plan and "SortAggregate" not in plan
+
+
 def test_wide_steps_are_left_to_methods_that_are_compiled(spark, sf_dir):
     CATALOG["x1_enriched_transactions"].build(spark, sf_dir)
     assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
