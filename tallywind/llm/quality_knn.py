@@ -14,6 +14,7 @@ equal scores; ties among neighbours go to the earlier voter, in the order of the
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -126,8 +127,9 @@ class Voters:
     def weigh(x: np.ndarray, rarity: np.ndarray) -> np.ndarray:
         out = np.empty((len(x), WIDTH), np.float32)
         for a, b, power in ((0, TRIGRAMS, 1.0), (TRIGRAMS, N_COUNTS, 1.0)):
-            part = np.sqrt(x[:, a:b]) * rarity[a:b]
-            out[:, a:b] = power * part / np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-9)
+            for i in range(0, len(x), 256):
+                part = np.sqrt(x[i:i + 256, a:b]) * rarity[a:b]
+                out[i:i + 256, a:b] = power * part / np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-9)
         out[:, N_COUNTS:] = (1 - x[:, N_COUNTS:]) * 0.7
         return out
 
@@ -177,12 +179,22 @@ def fit_voters(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -
         for batch in slices(batches):
             x = features(*flat_bytes(batch.column("text")))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("turn"), batch.column("label").cast(pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], names=["turn", "label", "x"])
-
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("turn", "label", "text").mapInArrow(measure, "turn long, label int, x binary").collect()
-    rows.sort(key=lambda r: (r.turn, r.label))
-    x = np.frombuffer(b"".join(r.x for r in rows), np.float32).reshape(len(rows), WIDTH)
-    return Voters.fit(x, np.array([r.label for r in rows]), np.array([max(1.0, often[r.label] / per_label) for r in rows]))
+                [batch.column("turn"), batch.column("label").cast(pa.int32()), pa.array([pa.compress(r.tobytes(), codec="zstd", asbytes=True) for r in x], pa.binary())],
+                names=["turn", "label", "x"])
+
+    def fit(batches):
+        rows = pa.Table.from_batches(batches, pa.schema([("turn", pa.int64()), ("label", pa.int32()), ("x", pa.binary())]))
+        turn, label = rows["turn"].to_numpy(), rows["label"].to_numpy()
+        order = np.lexsort((label, turn))
+        x = np.empty((len(order), WIDTH), np.float32)
+        for to, value in zip(np.argsort(order), rows["x"]):
+            x[to] = np.frombuffer(pa.decompress(value.as_buffer(), decompressed_size=4 * WIDTH, codec="zstd"), np.float32)
+        found = Voters.fit(x, label[order], np.array([max(1.0, often[v] / per_label) for v in label[order].tolist()]))
+        yield pa.RecordBatch.from_arrays([pa.array([] if found is None else [pickle.dumps(found)], pa.binary())], names=["voters"])
+
+    measured = docs.select("doc_id", "text").join(chosen, "doc_id").select("turn", "label", "text").mapInArrow(measure, "turn long, label int, x binary")
+    fitted = measured.repartition(1).mapInArrow(fit, "voters binary").collect()  # 2 * per_label rows in one task; the driver gets the 2 MB that are broadcast
+    return pickle.loads(fitted[0].voters) if fitted else None
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> DataFrame:

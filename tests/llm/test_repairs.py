@@ -116,3 +116,23 @@ def test_item_ids_of_any_type(spark):
     docs = spark.createDataFrame([("d1", "say alpha beta gamma delta epsilon now"), ("d2", "one two three four five"), ("d3", "nothing here")], "doc_id string, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()}
     assert got == {("d1", "q-1"), ("d2", None)}
+
+
+def test_the_sample_of_the_quality_vote_is_not_collected(spark, monkeypatch):
+    """The driver gets the fitted voters (one row), not the features of their texts."""
+    from tallywind.llm import quality_knn as qk
+
+    docs = spark.createDataFrame([(i, f"text {i} " + "good words here. " * (i % 7)) for i in range(300)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS quality")
+    sizes, plain = [], type(docs).collect
+
+    def collect(self):
+        rows = plain(self)
+        sizes.append(sum(len(v) for r in rows for v in r if isinstance(v, (bytes, bytearray))))
+        return rows
+
+    monkeypatch.setattr(type(docs), "collect", collect)
+    voters = qk.fit_voters(docs, labels)
+    limit = 4 * (qk.WIDTH * (qk.DIMENSIONS + 1) + len(voters.labels) * (qk.DIMENSIONS + 3)) + 4096
+    assert len(voters.labels) > 150 and sum(sizes) <= limit < 4 * qk.WIDTH * len(voters.labels)
+    assert qk.fit_voters(docs, labels.filter("false")) is None
