@@ -12,6 +12,19 @@ _BIT = np.zeros((256, 8), np.uint8)  # place of the k-th set bit of a byte
 for _b in range(256):
     for _k, _p in enumerate([p for p in range(8) if _b >> p & 1]):
         _BIT[_b, _k] = _p
+_ODD, _PAIRS, _HALVES, _ONES, _TOPS = (np.uint64(x * 0x0101010101010101) for x in (0x55, 0x33, 0x0F, 0x01, 0x80))
+_1, _2, _4, _8, _BYTE = (np.uint64(x) for x in (1, 2, 4, 8, 255))
+
+
+def bit_place(words: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Place of the k-th set bit (from 0) of each word, which has more than k."""
+    k = k.astype(np.uint64)
+    upto = words - (words >> _1 & _ODD)
+    upto = (upto & _PAIRS) + (upto >> _2 & _PAIRS)
+    upto = (upto + (upto >> _4) & _HALVES) * _ONES  # in each byte: the set bits up to its end
+    shift = np.bitwise_count((k * _ONES | _TOPS) - upto & _TOPS).astype(np.uint64) << np.uint64(3)  # bytes that end before the bit
+    left = k - (upto << _8 >> shift & _BYTE)
+    return (shift + _BIT.ravel()[(words >> shift & _BYTE) << np.uint64(3) | left]).astype(np.int64)
 
 
 def write_arrays(path: str, head: dict, arrays: dict[str, np.ndarray]) -> None:
@@ -81,18 +94,7 @@ class EliasFano:
     def _zero(self, k: np.ndarray) -> np.ndarray:
         """Place of the k-th zero (from 0) of the high bits."""
         word = np.searchsorted(self.zeros, k, "right") - 1
-        left = k - self.zeros[word].astype(np.int64)
-        flipped = ~self.high[word]
-        at = word.astype(np.int64) * 64
-        done = np.zeros(len(k), bool)
-        for byte in range(8):
-            part = (flipped >> np.uint64(8 * byte) & np.uint64(255)).astype(np.int64)
-            count = np.bitwise_count(part).astype(np.int64)
-            here = ~done & (left < count)
-            at[here] += 8 * byte + _BIT[part[here], left[here]]
-            done |= here
-            left = np.where(done, left, left - count)
-        return at
+        return word * 64 + bit_place(~self.high[word], k - self.zeros[word].astype(np.int64))
 
     def rank(self, x: np.ndarray) -> np.ndarray:
         """How many values are smaller than each x: the place where x, or its successor, stands."""
@@ -124,15 +126,7 @@ class EliasFano:
         ones = np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros if not hasattr(self, "_ones") else self._ones
         self._ones = ones
         word = np.searchsorted(ones, i, "right") - 1
-        left, at = i - ones[word], word.astype(np.int64) * 64
-        bits, done = self.high[word], np.zeros(len(i), bool)
-        for byte in range(8):
-            part = (bits >> np.uint64(8 * byte) & np.uint64(255)).astype(np.int64)
-            count = np.bitwise_count(part).astype(np.int64)
-            here = ~done & (left < count)
-            at[here] += 8 * byte + _BIT[part[here], left[here]]
-            done |= here
-            left = np.where(done, left, left - count)
+        at = word * 64 + bit_place(self.high[word], i - ones[word])
         return ((at - i) << self.low_bits) + self.lows(i).astype(np.int64)
 
     def values(self) -> np.ndarray:

@@ -107,6 +107,31 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, between: np.ndarray = _SPA
     return span_hash(prefix_hash(LOWER[data]), begin, end), begin, end, before
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, where each is first, and each key's place among them: ``np.unique`` by one sort of plain numbers, which
+    have the key's upper bits above its position; where those do not tell all keys apart, by ``np.unique`` itself."""
+    n = len(keys)
+    bits = max(n - 1, 0).bit_length()
+    drop = 0
+    if n:
+        low, high = int(keys.min()), int(keys.max())
+        drop = max(0, (high - low).bit_length() + bits - 64)
+    if n < 2 or drop > 32:
+        return np.unique(keys, return_index=True, return_inverse=True)
+    mixed = (keys.view(np.uint64) - np.uint64(low % (1 << 64)) >> np.uint64(drop) << np.uint64(bits)) | np.arange(n, dtype=np.uint64)
+    mixed.sort()
+    at = (mixed & np.uint64((1 << bits) - 1)).astype(np.int64)
+    ordered = keys[at]
+    if drop and (ordered[1:] < ordered[:-1]).any():
+        return np.unique(keys, return_index=True, return_inverse=True)
+    is_first = np.empty(n, bool)
+    is_first[0] = True
+    np.not_equal(ordered[1:], ordered[:-1], out=is_first[1:])
+    where = np.empty(n, np.int64)
+    where[at] = np.cumsum(is_first) - 1
+    return ordered[is_first], at[is_first], where
+
+
 def ngram_hashes(hashes: np.ndarray, before: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash and first word of every n words in a row of one document, and the number of n-grams before each document."""
     count = np.maximum(np.diff(before) - n + 1, 0)

@@ -35,7 +35,7 @@ from tallywind.session import scratch_path, stage
 
 from . import files
 from .elias_fano import EliasFano, open_arrays, write_arrays
-from .flat import flat_bytes, slices, word_hashes
+from .flat import distinct, flat_bytes, slices, word_hashes
 from .quality_knn import fold
 
 END = np.int64(0x1E6E0F7A5B3C2D11)
@@ -59,11 +59,11 @@ def grams(batch) -> tuple[np.ndarray, ...]:
     """Before each text so many tokens; the distinct words; each token's place among them; the distinct pairs (place of the context *
     number of words + place of the word); each token's place among those. All sorted."""
     stream, before = token_stream(batch)
-    unique, where = np.unique(stream, return_inverse=True)
+    unique, _, where = distinct(stream)
     ahead = np.empty_like(where)
     ahead[1:] = where[:-1]
     ahead[before[:-1]] = np.searchsorted(unique, END)
-    pair, pair_where = np.unique(ahead * len(unique) + where, return_inverse=True)
+    pair, _, pair_where = distinct(ahead * len(unique) + where)
     return before, unique, where, pair, pair_where
 
 
@@ -134,7 +134,9 @@ class Reader:
             level, pointers = sequences["pair"], sequences["pointer"]
             at = context[a:b] - head["context"]
             i = level.rank(key[a:b] - head["first"])
-            inside = (i < pointers.access(at + 1)) & (word[a:b] >= 0)  # relative to the context's successors
+            runs = np.flatnonzero(np.diff(at, prepend=-1))  # a context's words stand together
+            ends = np.repeat(pointers.access(at[runs] + 1), np.diff(runs, append=b - a))
+            inside = (i < ends) & (word[a:b] >= 0)  # relative to the context's successors
             inside[inside] = level.access(i[inside]) == (key[a:b] - head["first"])[inside]
             weight = -views["weight"][at].astype(np.float64) / STEP
             found = np.zeros(b - a)
@@ -168,7 +170,7 @@ class Reader:
         if len(self.trie.levels) > 1:
             at = with_two_before(before)
             at = at[pair_number[pair_where[at - 1]] >= 0]
-            triple, first, triple_where = np.unique(pair_where[at - 1] * len(unique) + where[at], return_index=True, return_inverse=True)
+            triple, first, triple_where = distinct(pair_where[at - 1] * len(unique) + where[at])
             each[at] = self.follow(1, pair_number[triple // len(unique)], number[triple % len(unique)], each[at[first]])[1][triple_where]
         rows = len(before) - 1
         return (np.diff(before), np.bincount(text, count[where] > 0, rows).astype(np.int64), np.bincount(text, logs[where], rows), np.bincount(text, each, rows))

@@ -14,7 +14,8 @@ import pytest
 from tokenizers import Tokenizer
 
 from tallywind.llm import lm_trie, piece_codec, suffix_dedup, token_output
-from tallywind.llm.elias_fano import EliasFano, open_arrays, write_arrays
+from tallywind.llm.elias_fano import EliasFano, bit_place, open_arrays, write_arrays
+from tallywind.llm.flat import distinct
 
 
 def ordered(rows):
@@ -198,3 +199,20 @@ def test_deep_shallow_orders_like_sorted():
         if group[a] == group[b]:
             shared = next((k for k in range(40) if strings[a][k] != strings[b][k]), 40)
             assert n == shared
+
+
+def test_bit_place():
+    words = np.concatenate([np.random.default_rng(0).integers(0, 2**64, 200, dtype=np.uint64), np.array([2**64 - 1, 1, 1 << 63, 255, 1 << 56], np.uint64)])
+    for word in words:
+        places = np.flatnonzero(np.unpackbits(np.array([word], "<u8").view(np.uint8), bitorder="little"))
+        assert (bit_place(np.full(len(places), word), np.arange(len(places))) == places).all()
+
+
+@pytest.mark.parametrize("keys", [
+    [], [5], [5, 5, 3, -2], [-2**63, 2**63 - 1, 0, 0], [3, 1, 2] * 200, np.random.default_rng(1).integers(-2**63, 2**63 - 1, 3000),
+    np.random.default_rng(2).integers(-2**40, 2**40, 3000) // 2**20 * 2**20 + np.arange(3000) % 3,
+    np.concatenate([np.arange(500, 0, -1), [-2**63, 2**63 - 1]])])  # the last ones differ in bits that the sort leaves out
+def test_distinct(keys):
+    keys = np.array(keys, np.int64)
+    for got, wanted in zip(distinct(keys), np.unique(keys, return_index=True, return_inverse=True)):
+        assert got.tolist() == wanted.tolist()
