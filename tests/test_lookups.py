@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from plan_views import plan_text
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tallywind.operators import joins as jn
 from tallywind.operators import sketches as sk
-from tallywind.session import lookup
+from tallywind.session import TIDY, lookup, stage
+from tallywind.sources import tables
 
 
 @pytest.fixture(scope="module")
@@ -80,3 +82,25 @@ def test_small_sketches_keep_their_rank_error(spark):
     row = sk.percentiles_per_key(df, "k", "x", {"p50": 0.5, "p99": 0.99}, size=2000, fan_in=3).first()
     shares = df.agg(F.avg((F.col("x") <= row.p50).cast("int")), F.avg((F.col("x") <= row.p99).cast("int"))).first()
     assert abs(shares[0] - 0.5) < 0.005 and abs(shares[1] - 0.99) < 0.005
+
+
+def _shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.length()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+@pytest.mark.parametrize("write", ["stage", "overwrite"])
+def test_writes_leave_no_shuffle_files(spark, tmp_path, write):
+    df = spark.range(20_000).selectExpr("id", "md5(CAST(id AS STRING)) AS h", "id % 3 AS part").repartition(5, "h")
+    setting, before = spark.conf.get(TIDY, None), _shuffle_files(spark)
+    if write == "stage":
+        assert len(stage(df, "tidy").collect()) == 20_000
+    else:
+        tables.overwrite(tables.balanced(df, ["part"]), str(tmp_path / "t"), ["part"])
+        assert len(tables.read(spark, str(tmp_path / "t")).collect()) == 20_000
+    left = 20
+    while left and {f for f in _shuffle_files(spark) - before if f.endswith(".data")}:
+        time.sleep(0.25)
+        left -= 1
+    assert left
+    assert spark.conf.get(TIDY, None) == setting
