@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from ..operators import aggregates as ag
 from ..operators import arrays as ar
 from ..operators import joins as jn
 from ..operators import windows as wn
+from ..session import stage
 from ..sources.tables import write_result
 from .presets import flagged_by_channel, top_corridors
 
@@ -31,20 +31,17 @@ def analytics(df: DataFrame) -> dict[str, DataFrame]:
 def run_analytics(df: DataFrame, output: str) -> dict[str, int]:
     """Run the job: results are written below ``output``, the row-level modules are counted. Returns the counts.
 
-    The table is kept in serialized form, narrowed to the used columns, and may spill to disk; a lost block is recomputed.
+    The used columns are staged once, so no module derives them again and what is stored is one narrow copy at any size of memory.
     """
-    base = df.select(*[c for c in USED if c in df.columns]).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        results = analytics(base)
-        for name in ("currency_stats", "pivot_type_by_currency", "top_corridors"):
-            write_result(results[name], f"{output}/{name}")
-        known = jn.receivers(base)
-        counted = {
-            "rows": base, "multi_currency_senders": results["multi_currency_senders"],
-            "repeat_offenders": jn.tag_repeat_offenders(base).filter("sender_is_repeat_offender"),
-            "circular": jn.circular(base, known), "one_way": jn.one_way(base, known),
-            "top_per_currency": wn.top_per_currency(base),
-        }
-        return {name: frame.count() for name, frame in counted.items()}
-    finally:
-        base.unpersist()
+    base = stage(df.select(*[c for c in USED if c in df.columns]), "analytics-input")
+    results = analytics(base)
+    for name in ("currency_stats", "pivot_type_by_currency", "top_corridors"):
+        write_result(results[name], f"{output}/{name}")
+    known = jn.receivers(base)
+    counted = {
+        "rows": base, "multi_currency_senders": results["multi_currency_senders"],
+        "repeat_offenders": jn.tag_repeat_offenders(base).filter("sender_is_repeat_offender"),
+        "circular": jn.circular(base, known), "one_way": jn.one_way(base, known),
+        "top_per_currency": wn.top_per_currency(base),
+    }
+    return {name: frame.count() for name, frame in counted.items()}
