@@ -5,7 +5,10 @@ task: with ten currencies, or one sender holding a third of all rows, that task
 never ends. Here the ordering value is cut into slices at approximate quantiles
 of the whole table, so a (key, slice) cell is at most about one slice long
 whatever the key's share. A value repeated so often that it fills slices by
-itself is cut further along the tie-break. Rows are then windowed per cell,
+itself is cut further along the tie-break. A key that has few of the rows needs
+few cells: up to one slice's worth of rows is one cell, and beyond that as many
+slices are joined as the key's share of the rows allows, so the number of cells
+follows the rows and not keys times slices. Rows are then windowed per cell,
 and what a cell needs from the cells before or after it (counts, sums, edge
 rows) comes from one small summary row per cell.
 
@@ -22,6 +25,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import columns as fn
 from ..session import lookup_side, stage
 
 ROWS_PER_SLICE = 1_000_000
@@ -30,6 +34,9 @@ SKETCH_SIZE, SKETCHES_PER_TASK = 65_535, 32
 QUANTILES_PER_CALL = 1_000
 # Sub-cells per slice: four hexadecimal digits of the tie-break hash.
 SUB = 16 ** 4
+# How many slices may be joined in a key. Its cells are as long as a slice where its values are spread as the table's are, and never longer
+# than that many slices; repeated values stay apart.
+STEPS = (1, 8, 64, 512)
 
 
 @dataclass(frozen=True)
@@ -39,6 +46,11 @@ class Cuts:
     bounds: tuple[float, ...]
     repeated: tuple[float, ...]
     tie_digits: int
+    rows: int = 0
+
+    def every(self, step: int) -> tuple[float, ...]:
+        """The bounds when ``step`` slices are joined."""
+        return tuple(sorted({*self.bounds[::step], *self.repeated, *map(_after, self.repeated)}))
 
 
 def _after(value: float) -> float:
@@ -68,7 +80,7 @@ def plan_cuts(df: DataFrame, value: Column, rows_per_slice: int) -> Cuts:
     quantiles.sort()
     repeated = sorted({a for a, b in zip(quantiles, quantiles[1:]) if a == b})
     bounds = sorted({*quantiles, *repeated, *(_after(v) for v in repeated)})
-    return Cuts(tuple(bounds), tuple(repeated), digits)
+    return Cuts(tuple(bounds), tuple(repeated), digits, total)
 
 
 def _merged(sketches: DataFrame, parts: int) -> DataFrame:
@@ -97,6 +109,7 @@ class OrderedRows:
         self.cell = [*self.group, "_cell"]
         value = value.cast("double")
         self.cuts = plan_cuts(df if base is None else base, value, rows_per_slice)
+        self.steps = None if self.single else self._steps(df if base is None else base, rows_per_slice)
         self.rows = self._in_cells(df, value, tie)
         self.source = self.rows if base is None else self._in_cells(base, value, tie)
         ordering = F.desc_nulls_last("_value") if descending else F.asc_nulls_first("_value")
@@ -113,18 +126,32 @@ class OrderedRows:
         """The whole input fits one slice: every key is one cell, and nothing has to be carried between cells."""
         return not self.cuts.bounds and not self.cuts.tie_digits
 
+    def _named(self) -> dict[str, Column]:
+        return {name: F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")) for name, key in zip(self.group, self.keys)}
+
+    def _steps(self, df: DataFrame, rows_per_slice: int) -> DataFrame:
+        """How many slices are joined in each key that has more rows than one. There are at most as many such keys as slices, so they are broadcast."""
+        step = F.lit(STEPS[0])
+        for wider in STEPS[1:]:
+            step = F.when(F.col("_n") * wider <= self.cuts.rows, wider).otherwise(step)
+        counted = df.select(*[c.alias(name) for name, c in self._named().items()]).groupBy(*self.group).agg(F.count(F.lit(1)).alias("_n"))
+        return F.broadcast(stage(counted.filter(F.col("_n") > rows_per_slice).select(*self.group, step.alias("_step")), "steps"))
+
     def _in_cells(self, df: DataFrame, value: Column, tie: Column) -> DataFrame:
         cuts, descending = self.cuts, self.descending
-        named = {name: F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")) for name, key in zip(self.group, self.keys)}
-        rows = df.withColumns({"_value": value, "_tie": tie, **named})
+        rows = df.withColumns({"_value": value, "_tie": tie, **self._named()})
         if self.single:
             return rows.withColumn("_cell", F.lit(0).cast("long"))
+        rows = rows.join(self.steps, self.group, "left")
+        slices = []
         if cuts.bounds:
-            rows = Bucketizer(splits=[float("-inf"), *cuts.bounds, float("inf")], inputCol="_value",
-                              outputCol="_slice", handleInvalid="keep").transform(rows)
-            piece = F.col("_slice").cast("long")
+            piece = F
+            for step in STEPS:
+                slices.append(f"_slice{step}")
+                rows = Bucketizer(splits=[float("-inf"), *cuts.every(step), float("inf")], inputCol="_value",
+                                  outputCol=slices[-1], handleInvalid="keep").transform(rows)
+                piece = piece.when(F.col("_step") == step, F.col(slices[-1]).cast("long"))
         else:
-            rows = rows.withColumn("_slice", F.lit(0.0))
             piece = F.when(F.col("_value").isNotNull(), F.lit(0).cast("long"))
         piece = F.coalesce(-piece, F.lit(1).cast("long")) if descending else F.coalesce(piece, F.lit(-1).cast("long"))
         sub = F.lit(0).cast("long")
@@ -132,7 +159,8 @@ class OrderedRows:
             spans = F.col("_value").isNull() | F.isnan("_value") | F.col("_value").isin(list(cuts.repeated))
             # A row without an identity comes first among its equals.
             sub = F.when(spans, F.coalesce(F.conv(F.substring("_tie", 1, cuts.tie_digits), 16, 10).cast("long"), sub)).otherwise(sub)
-        return rows.withColumn("_cell", piece * SUB + sub).drop("_slice")
+        cell = F.when(F.col("_step").isNotNull(), piece * SUB + sub).otherwise(F.lit(0).cast("long"))
+        return rows.withColumn("_cell", cell).drop("_step", *slices)
 
     def summary(self, *aggregates: Column) -> DataFrame:
         """One row per cell; partial aggregation keeps the shuffle small."""
@@ -269,8 +297,8 @@ def offset_and_running(df: DataFrame, keys: list[str], value: Column, tie: Colum
     order = F.struct("_value", "_tie")
     cells = ordered.summary(
         F.min_by(F.struct(amount), order).alias("_first"), F.max_by(F.struct(amount), order).alias("_last"),
-        F.sum("_amount").alias("_s"),
-    )
+        F.sum("_amount").alias("_s"), fn.by_hash().alias("_by_hash"),
+    ).filter("size(_by_hash) > 0")
     carried = cells.select(
         *ordered.cell,
         F.lag("_last").over(ordered.cells)[amount].alias("_past"),

@@ -65,6 +65,21 @@ def test_no_cell_outgrows_a_few_slices(data):
     assert sum(sizes) == ROWS and len(sizes) > 20 and max(sizes) <= 3 * SLICE
 
 
+def test_cells_follow_the_rows(spark, tmp_path):
+    """Many keys and many slices: not a cell per key and slice."""
+    path = str(tmp_path / "many")
+    spark.range(4000).selectExpr("CAST(id AS STRING) AS id", "IF(id % 4 = 0, 'hot', CONCAT('k', id % 40)) AS key", "CAST(id * 7919 % 4000 AS DOUBLE) AS value").write.parquet(path)
+    df = spark.read.parquet(path)
+    ordered = OrderedRows(df, ["key"], F.col("value"), F.md5("id"), False, 50)
+    sizes = [r["n"] for r in ordered.summary(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 4000 and len(sizes) <= 8 * 4000 / 50 and max(sizes) <= 8 * 50
+    small = OrderedRows(df, ["key"], F.col("value"), F.md5("id"), False, 101).summary(F.count(F.lit(1)).alias("n")).filter("_key0 <> '=hot'")
+    assert {r["n"] for r in small.collect()} == {100}  # a key that fits a slice is one cell
+    for falling in (True, False):
+        got, wanted = (rank_columns(df, ["key"], F.col("value"), F.md5("id"), falling, size) for size in (50, 10 ** 6))
+        assert sorted(got.select("id", "row_number").collect()) == sorted(wanted.select("id", "row_number").collect())
+
+
 @pytest.mark.parametrize("slice_rows", [SLICE, 10_000])
 def test_ranks(data, slice_rows):
     df, groups = data
