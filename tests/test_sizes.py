@@ -6,9 +6,13 @@ from pathlib import Path
 
 from tallywind.plans import io_queries as io
 from tallywind.plans.catalog import CATALOG
+from tallywind.plans.runner import USED
 from tallywind.session import shared_dir
 from tallywind.sources import fixtures as fx
+from tallywind.sources import tables as tb
+from tallywind.sources import topics as tp
 from tallywind.sources.schemas import TRANSACTION
+from tallywind.streaming import transactions as txs
 
 from plan_views import plan_text
 
@@ -46,3 +50,32 @@ def test_account_topic_is_written_by_several_tasks(spark, sf_dir):
     assert len(spark.read.parquet(run["account-topic"]).inputFiles()) > 8
     merges = run["table"].commits().filter("operation <> 'COMPACT'").orderBy("version").collect()
     assert [r.batch_id for r in merges] == [1, 2, 3]  # no event is older than the first cut
+
+
+def test_analytics_input_is_staged_narrow(spark, sf_dir):
+    before = stored(spark, "analytics-input")
+    CATALOG["o2_analytics_runner"].build(spark, sf_dir)
+    (new,) = stored(spark, "analytics-input") - before
+    assert set(spark.read.parquet(new).columns) == set(USED)
+
+
+def test_light_rows_are_made_once(spark, sf_dir):
+    before = stored(spark, "light-rows")
+    assert CATALOG["s8_partitioned_append"].build(spark, sf_dir).count() == 6000
+    assert len(stored(spark, "light-rows") - before) == 1
+
+
+def test_stream_shuffles_only_the_folders_of_the_clock(spark, sf_dir):
+    decoded = tp.decode(fx.transaction_envelope(spark, sf_dir), TRANSACTION)
+    plan = plan_text(txs.prepared(decoded))
+    moved = next(part for part in plan.split("\n\n") if "Exchange" in part and "Input" in part)
+    assert "txn_month" in moved and "txn_hour" not in moved and "date_str" not in moved
+
+
+def test_batches_of_a_restarted_stream_have_a_bound(spark, sf_dir, monkeypatch):
+    """Its shuffle is on disk until a batch is written."""
+    monkeypatch.setattr(io, "BATCH_ROWS", 1000)
+    before = stored(spark, "stream-table")
+    assert CATALOG["t2_restart"].build(spark, sf_dir).agg({"records": "sum"}).first()[0] == 6000
+    (table,) = stored(spark, "stream-table") - before
+    assert tb.stream_rows(spark, table).select("batch_id").distinct().count() == io.FILES
