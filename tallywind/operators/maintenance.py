@@ -7,10 +7,12 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import lookup_side, stage
+from ..session import lookup_side, stage, tidy
 from .profile import files, settings
 
 TARGET_BYTES = 256 << 20
+# What a rewrite reads at a time: its shuffle, a few times that, is on disk until the rows are written.
+BYTES_PER_JOB = 1 << 30
 # A partition folder's column values stay the text they are in its name.
 _AS_NAMED = {"spark.sql.sources.partitionColumnTypeInference.enabled": "false"}
 
@@ -20,15 +22,41 @@ def compact(spark: SparkSession, source: str, target: str, partition_by: list[st
     """Rewrite a table into few files per partition; ``drop`` removes a leaf level such as ``batch_id``.
 
     Rows are gathered by partition; AQE splits a partition that is too large for
-    one task, and ``rows_per_file`` bounds the files of the rest. The result is a
+    one task, and ``rows_per_file`` bounds the files of the rest. Where the source has a folder level for each of ``partition_by``, as many
+    partitions as have about ``BYTES_PER_JOB`` are rewritten at a time, and what they shuffled is removed before the next. The result is a
     new folder: readers of the old one are not disturbed, and switching is up to the caller.
     """
-    df = spark.read.parquet(source).drop(*(drop or []))
-    (df.hint("rebalance", *partition_by).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).option("compression", "zstd")
-     .partitionBy(*partition_by).parquet(target))
+    source = source.rstrip("/")
+    everything = spark.read.parquet(source)
+    for i, folders in enumerate(_portions(spark, source, partition_by) or [None]):
+        part = everything
+        if folders is not None:
+            part = spark.read.schema(everything.schema).option("basePath", source).parquet(*[f"{source}/{unquote(f)}" for f in folders])
+        _rewrite(part.drop(*(drop or [])), target, partition_by, rows_per_file, "append" if i else "overwrite")
     return spark.read.parquet(target)
 
 
+def _portions(spark: SparkSession, source: str, partition_by: list[str]) -> list[list[str]]:
+    """The source's folders in portions of about ``BYTES_PER_JOB``, those of one partition together; none if it has not these levels, or is small."""
+    level = [F.regexp_extract("folder", f"(?:^|/){name}=([^/]*)", 1).alias(f"_{i}") for i, name in enumerate(partition_by)]
+    listed = files(spark, source).groupBy(*level).agg(F.sum("file_size").alias("size"), F.collect_set("folder").alias("folders")).collect()  # one row per partition
+    if sum(r.size for r in listed) <= BYTES_PER_JOB or any("" in r[:len(partition_by)] for r in listed):
+        return []
+    portions, size = [[]], 0
+    for r in sorted(listed, key=lambda r: r[:len(partition_by)]):
+        if size and size + r.size > BYTES_PER_JOB:
+            portions, size = [*portions, []], 0
+        portions[-1] += sorted(r.folders)
+        size += r.size
+    return portions
+
+
+def _rewrite(rows: DataFrame, target: str, partition_by: list[str], rows_per_file: int, mode: str) -> None:
+    with tidy(rows.sparkSession):
+        (rows.hint("rebalance", *partition_by).write.mode(mode).option("maxRecordsPerFile", rows_per_file).option("compression", "zstd")
+         .partitionBy(*partition_by).parquet(target))
+
+
 def compaction_plan(spark: SparkSession, path: str, target_bytes: int = TARGET_BYTES) -> DataFrame:
     """Which files to rewrite together: ``folder, file_path, file_size, bin``, from the files' sizes alone.
 

@@ -205,6 +205,27 @@ def test_compaction_keeps_rows_and_files_shrink(spark, topic, tmp_path):
     assert (info.row_count, info.version, info.columns, info.partition_columns) == (before.count(), 3, len(after.columns), ",".join(TRANSACTION_PARTITIONS))
 
 
+def test_compaction_goes_in_portions(spark, tmp_path, monkeypatch):
+    """A portion's shuffle is gone before the next begins; a partition is in one portion, so it still gets one file."""
+    source, target = str(tmp_path / "source"), str(tmp_path / "target")
+    rows = spark.range(400).select(
+        "id", F.concat(F.lit("t"), "id").alias("text"), (F.col("id") % 2).alias("batch_id"), (F.col("id") % 3).cast("int").alias("txn_year"),
+        F.when(F.col("id") % 5 > 0, F.concat(F.lit("c:/"), F.col("id") % 5)).alias("currency"))
+    rows.repartition(3).write.partitionBy("batch_id", "txn_year", "currency").parquet(source)
+    jobs_run, rewrite = [], mn._rewrite
+    monkeypatch.setattr(mn, "_rewrite", lambda part, *more: jobs_run.append(part.count()) or rewrite(part, *more))
+    monkeypatch.setattr(mn, "BYTES_PER_JOB", 20_000)
+    after = mn.compact(spark, source, target, ["txn_year", "currency"], drop=["batch_id"])
+    wanted = rows.drop("batch_id")
+    assert after.schema["currency"].dataType == wanted.schema["currency"].dataType and after.count() == 400
+    assert after.select(wanted.columns).exceptAll(wanted).isEmpty()
+    assert len(jobs_run) > 2 and sum(jobs_run) == 400
+    assert [r["count"] for r in pf.files(spark, target).groupBy("folder").count().collect()] == [1] * 15
+    flat = str(tmp_path / "flat")
+    wanted.write.parquet(flat)
+    assert mn.compact(spark, flat, str(tmp_path / "of-flat"), ["txn_year", "currency"]).count() == 400
+
+
 def event(account, at, sent=0.0, received=0.0, status="ACTIVE", balance=1.0, **more):
     values = dict(account_id=account, account_number="n", holder_name="h", bank_code="b", country="FR", currency="EUR", account_type="T", account_status=status,
                   balance=balance, total_sent=sent, total_received=received, transaction_count=1, risk_rating=0.1, kyc_level="FULL",
