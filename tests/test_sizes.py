@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
+from tallywind import JobConfig
 from tallywind.plans import io_queries as io
 from tallywind.plans.catalog import CATALOG
 from tallywind.plans.runner import USED
@@ -12,6 +13,7 @@ from tallywind.sources import fixtures as fx
 from tallywind.sources import tables as tb
 from tallywind.sources import topics as tp
 from tallywind.sources.schemas import TRANSACTION
+from tallywind.streaming import jobs
 from tallywind.streaming import transactions as txs
 
 from plan_views import plan_text
@@ -94,3 +96,21 @@ def test_damaged_records_are_parsed_once(spark, sf_dir):
     """Readable and unreadable rows come from one stored reading, without another parse."""
     found = CATALOG["s6_malformed_records"].build(spark, sf_dir)
     assert found.count() == 6000 and "from_json" not in plan_text(found)
+
+
+def test_backfill_reads_a_sound_topic_once(spark, sf_dir, tmp_path):
+    """Records are counted as they leave the source; a second look is for records that could not be read."""
+    passed = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for batch in batches:
+            passed.add(batch.num_rows)
+            yield batch
+
+    for damage, times in ((False, 1), (True, 2)):
+        envelope = fx.transaction_envelope(spark, sf_dir, damage=damage)
+        before = passed.value
+        path = jobs.run_backfill(spark, JobConfig(), envelope.mapInArrow(counting, envelope.schema), str(tmp_path / f"light-{damage}"))
+        aside = spark.read.parquet(f"{path}_quarantine")
+        assert spark.read.parquet(path).count() + aside.count() == 6000 and (aside.count() > 0) == damage
+        assert passed.value - before == 6000 * times
